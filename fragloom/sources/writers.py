@@ -12,7 +12,7 @@ def sliced_line() -> Column:
 
 def scored_line(columns: list) -> Column:
     """Input fields and the score with 8 decimals; a row without a score has an empty last field."""
-    return F.concat_ws("\t", *columns, F.coalesce(F.format_string("%.8f", F.col("nll")), F.lit("")))
+    return F.concat_ws("\t", *columns, F.when(F.col("nll").isNotNull(), F.format_string("%.8f", F.col("nll"))).otherwise(F.lit("")))
 
 
 def results_csv(df: DataFrame) -> DataFrame:
