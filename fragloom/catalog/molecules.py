@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import attach, descriptors
 from ..operators import graph, randomize, slicing, tokenmodel
 from ..plans import decorate as loop
+from ..operators.spread import spread
 from ..plans.slice import slice_table
 from ..sources import writers
 from . import fixtures as fx
@@ -13,7 +14,7 @@ from .registry import query
 
 def _distinct(df, column="smiles"):
     """Distinct texts of a view: the molecule work is done once per text."""
-    return df.select(column).distinct()
+    return spread(df.select(column).distinct(), column)
 
 
 # sites and arms of fx_molecule under the single-bond rule
@@ -69,7 +70,7 @@ DIGITS = "WITH " + fx.sql("fx_assembly") + """, d AS (SELECT mol_id, smiles, unn
     FROM e GROUP BY mol_id""")
 def assembly_sites(spark, sf):
     mols = fx.view(spark, sf, "fx_assembly")
-    rows = graph.with_cut_sites(graph.parse_molecules(mols), "hr")
+    rows = graph.with_cut_sites(graph.parse_molecules(spread(mols, "mol_id")), "hr")
     atoms, bonds = F.col("graph.atoms"), F.col("graph.bonds")
     whole = [descriptors.span(n, atoms, bonds).cast("bigint").alias(n) for n in ("hac", "num_rings", "hba", "hbd")]
     return rows.select("mol_id", F.size("sites").cast("bigint").alias("n_sites"), *whole,
@@ -85,7 +86,8 @@ def assembly_slices(spark, sf):
                                        F.count_if(F.size("picks") == 2).alias("two_cuts"))
 
 
-@query("slice_conditions", DIGITS + """, p AS (SELECT mol_id, smiles, i, CAST(floor(mol_id / pow(10, i)) AS BIGINT) % 10 AS g FROM d),
+@query("slice_conditions", DIGITS + """, p AS (SELECT mol_id, smiles, i, CAST(floor(mol_id / pow(10, i)) AS BIGINT) % 10 AS g FROM d
+          WHERE mol_id IN (SELECT min(mol_id) FROM fx_assembly GROUP BY smiles)),
     w AS (SELECT *, CASE g WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 6 WHEN 7 THEN 2 WHEN 8 THEN 2 WHEN 9 THEN 2 ELSE 1 END AS h,
                  CASE WHEN g = 5 THEN 1 ELSE 0 END AS r FROM p),
     t AS (SELECT smiles, sum(h) + 2 AS h, sum(r) AS r FROM (SELECT DISTINCT smiles, i, h, r FROM w) GROUP BY smiles),

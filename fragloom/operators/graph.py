@@ -49,7 +49,7 @@ def _graph_row(text):
     except kernel.Invalid as e:
         return (None, None, None, str(e))
     atoms = [(i, m.sym[i], m.arom[i], m.charge[i], m.n_h[i], None if m.map_no[i] is None else int(m.map_no[i]),
-              len(m.adj[i]), m.in_ring(i), *f) for i, f in enumerate(m.atom_features())]
+              len(m.adj[i]), m.ring[i], *f) for i, f in enumerate(m.atom_features())]
     return atoms, [(i, *b) for i, b in enumerate(m.bonds)], m.components, None
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attach
 from . import graph
+from .spread import spread
 
 
 def _seed(seed, *parts) -> Column:
@@ -32,7 +33,8 @@ def training_pairs(sliced: DataFrame, epochs: int = 1, kind: str = "multi", seed
     """
     if kind not in ("multi", "single"):
         raise ValueError(f"unknown kind '{kind}'")
-    rows = sliced.select("scaffold", "decorations", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    rows = spread(sliced.select("scaffold", "decorations"))
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     key = (F.col("epoch"), F.col("scaffold"), F.col("decorations"))
     rows = rows.withColumn("_spelled", F.get(graph.respell(F.array("scaffold"), _seed(seed, *key)), F.lit(0)))
     order = attach.points(F.col("_spelled"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attach, conditions, descriptors
 from . import graph
+from .spread import spread
 
 ATOMS_PER_UNIT = 40
 
@@ -29,11 +30,15 @@ def _unit_test(first, second) -> Column:
     return F.pmod(F.hash(first, second), F.col("n_units")) == F.col("unit")
 
 
-def distinct_units(df: DataFrame, column: str = "smiles") -> DataFrame:
-    """Distinct texts, heavy ones repeated once per unit: the one shuffle before enumeration."""
+def distinct_units(df: DataFrame, column: str = "smiles", partitions: int = None) -> DataFrame:
+    """Distinct texts, heavy ones repeated once per unit, spread over the tasks.
+
+    Copies are merged before they are shuffled; the second shuffle moves distinct texts only.
+    """
     text = df.select(F.col(column).alias("smiles")).where(F.col("smiles").isNotNull())
     units = text.withColumn("n_units", work_units(F.col("smiles")))
-    return units.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("n_units") - 1))).distinct()
+    units = units.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("n_units") - 1))).distinct()
+    return spread(units, "smiles", "unit", partitions=partitions)
 
 
 def reject_reason() -> Column:
@@ -133,9 +138,10 @@ def enumerate_cuts(df: DataFrame, max_cuts: int, scaffold_conditions=None) -> Da
 
 
 def slice_molecules(df: DataFrame, rule_set="hr", max_cuts: int = 4, scaffold_conditions=None,
-                    decoration_conditions=None, contributions=None, column: str = "smiles") -> DataFrame:
+                    decoration_conditions=None, contributions=None, column: str = "smiles",
+                    partitions: int = None) -> DataFrame:
     """All slicings before dedup: (smiles canonical, scaffold, decorations, cuts)."""
-    parsed = graph.parse_molecules(distinct_units(df, column)).where(reject_reason().isNull())
+    parsed = graph.parse_molecules(distinct_units(df, column, partitions)).where(reject_reason().isNull())
     cuts = with_cuts(parsed, rule_set, scaffold_conditions, decoration_conditions, contributions)
     picks = enumerate_cuts(cuts, max_cuts, scaffold_conditions)
 

@@ -5,8 +5,11 @@ the scaffold token next to the attachment point.  p(t | c) = (n(c,t) + alpha) /
 with V the decoration tokens including the end token; an unseen context gives 1 / V.
 """
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,32 +114,45 @@ def draw_rows(scaffolds: DataFrame, n: int, seed: int, key: list) -> DataFrame:
     return rows.withColumn("_state", draws.start_state(draws.hash_hex(seed, *key, "draw")))
 
 
+def sampler(model: DataFrame, order: int = 2, max_len: int = 256):
+    """Prepare a model once; returns a function that adds `decoration` and `nll` to draw rows.
+
+    A small model goes to the tasks whole; a larger one is joined step by step.
+    """
+    few = model.select("context", "token", "n", "alpha").limit(BROADCAST_ROWS + 1).toPandas()
+    if len(few) <= BROADCAST_ROWS:
+        shared = model.sparkSession.sparkContext.broadcast(_Table(few, order))
+        return lambda rows: _sample_with_table(rows, shared, max_len)
+    contexts, scalars = materialise(_by_context(model)), materialise(_alphabet(model))
+    return lambda rows: _sample_by_joins(rows, contexts, scalars, order, max_len)
+
+
 def sample(scaffolds: DataFrame, model: DataFrame, n: int = 1, order: int = 2, max_len: int = 256, seed: int = 0,
            key: list = ("scaffold",)) -> DataFrame:
     """n decorations per scaffold row: adds `draw`, `decoration` and `nll`.
 
     Each step takes the first token, in token order, whose running probability exceeds the
     row's next draw; a decoration ends at the end token or after max_len - 1 steps.
-    A small model goes to the tasks whole; a larger one is joined step by step.
     """
-    rows = draw_rows(scaffolds, n, seed, list(key))
-    if model.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return sample_broadcast(rows, model, order, max_len)
-    return sample_by_joins(rows, model, order, max_len)
+    return sampler(model, order, max_len)(draw_rows(scaffolds, n, seed, list(key)))
 
 
-def sample_broadcast(rows: DataFrame, model: DataFrame, order: int, max_len: int) -> DataFrame:
+def _sample_with_table(rows: DataFrame, shared, max_len: int) -> DataFrame:
     """Sampling with the (size-checked) model table in every task."""
-    shared = rows.sparkSession.sparkContext.broadcast(_Table(model.select("context", "token", "n", "alpha").toPandas(), order))
     schema = T.StructType([f for f in rows.schema.fields if f.name not in ("near", "_state")] + [
         T.StructField("decoration", T.StringType()), T.StructField("nll", T.DoubleType())])
+    hidden = rows.select(*[f.name for f in schema.fields[:-2]], "near", "_state")
+    kept = [f.name for f in schema.fields[:-2]]
 
-    def run(parts):
-        for pdf in parts:
-            texts, nlls = shared.value.walk(pdf["near"].to_numpy(), pdf["_state"].to_numpy(), max_len)
-            yield pdf.drop(columns=["near", "_state"]).assign(decoration=texts, nll=nlls)
+    def run(batches):
+        for batch in batches:
+            near, state = batch.column("near").to_pylist(), batch.column("_state").to_numpy()
+            texts, nlls = shared.value.walk(near, state, max_len)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array(nlls, pa.float64())],
+                names=[*kept, "decoration", "nll"])
 
-    return rows.mapInPandas(run, schema)
+    return hidden.mapInArrow(run, schema)
 
 
 class _Table:
@@ -191,16 +207,19 @@ class _Table:
         return texts, nll
 
 
-def sample_by_joins(rows: DataFrame, model: DataFrame, order: int, max_len: int, steps_per_table: int = 8) -> DataFrame:
+def _alphabet(model: DataFrame) -> DataFrame:
+    tokens_in_order = F.array_sort(F.collect_set("token")).alias("_alphabet")
+    return model.agg(F.max("n_tokens").alias("_v"), F.max("alpha").alias("_alpha"), tokens_in_order)
+
+
+def _sample_by_joins(rows: DataFrame, contexts: DataFrame, scalars: DataFrame, order: int, max_len: int,
+                     steps_per_table: int = 8) -> DataFrame:
     """The same sampling for models of any size: one join with the context table per step.
 
     Open rows are joined to one row per context; every few steps they are written out to
     cut the lineage, and finished rows leave the loop.
     """
     kept = [c for c in rows.columns if c not in ("near", "_state")]
-    alphabet = model.select("token").distinct().agg(F.array_sort(F.collect_list("token")).alias("_alphabet"))
-    contexts = materialise(_by_context(model))
-    scalars = _scalars(model).crossJoin(alphabet)
     active = rows.withColumns({"_history": F.array_repeat(F.lit(tokens.BEGIN), order),
                                "_tokens": F.array().cast("array<string>"), "nll": F.lit(0.0)})
     done = []
@@ -213,9 +232,7 @@ def sample_by_joins(rows: DataFrame, model: DataFrame, order: int, max_len: int,
             active = active.where(~ended)
             if active.isEmpty():
                 break
-    result = done[0]
-    for more in done[1:]:
-        result = result.unionByName(more)
+    result = reduce(lambda a, b: a.unionByName(b), done)
     return result.select(*kept, F.array_join(F.filter("_tokens", lambda t: t != tokens.END), "").alias("decoration"), "nll")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import attach
 from ..operators import graph, merge, randomize, tokenmodel
 from ..operators.lineage import materialise
+from ..operators.spread import spread
 
 
 def initial_results(scaffolds: DataFrame, column: str = "smiles") -> DataFrame:
@@ -16,15 +17,14 @@ def initial_results(scaffolds: DataFrame, column: str = "smiles") -> DataFrame:
             .select("smiles", F.col("smiles").alias("scaffold"), empty.alias("decorations"), "count"))
 
 
-def _sampled(frontier: DataFrame, model: DataFrame, r: int, n: int, attempts: int, repeats: bool,
-             order: int, max_len: int, seed: int) -> DataFrame:
-    variants = randomize.randomized(frontier, "smiles", r, attempts, repeats, seed, "_spelled")
-    rows = variants.select(
+def _variants(open_rows: DataFrame, r: int, attempts: int, repeats: bool, seed: int) -> DataFrame:
+    """Random spellings with their point numbers; every spelling gets a task slot of its own."""
+    spelled = randomize.randomized(spread(open_rows), "smiles", r, attempts, repeats, seed, "_spelled")
+    rows = spelled.select(
         F.col("smiles"), F.col("scaffold").alias("origin"), "decorations", "variant_no",
         attach.points(F.col("_spelled")).alias("points"), attach.remove_numbers(F.col("_spelled")).alias("scaffold"))
     # rows without a numbered point cannot take a decoration
-    rows = rows.where(F.size("points") > 0)
-    return tokenmodel.sample(rows, model, n, order, max_len, seed, ["smiles", "variant_no"])
+    return spread(rows.where(F.size("points") > 0), "smiles", "variant_no")
 
 
 def _round_multi(sampled: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def _round_multi(sampled: DataFrame) -> DataFrame:
     counted = sampled.groupBy(
         "smiles", "origin", "decorations", F.get("points", F.lit(0)).alias("point"), "decoration").agg(
         F.count(F.lit(1)).alias("n"))
+    counted = spread(counted, "smiles", "point", "decoration")
     joined = counted.withColumn(
         "_new", graph.graft(F.col("smiles"), attach.number_first(F.col("decoration"), F.col("point"))))
     joined = joined.where(F.col("_new").isNotNull()).withColumn("_clean", graph.clean_decoration(F.col("decoration")))
@@ -45,8 +46,9 @@ def _round_single(sampled: DataFrame) -> DataFrame:
     parts = attach.unpack_single(F.col("decoration"))
     entries = F.array_sort(F.transform(
         F.col("points"), lambda p, i: F.struct(p.alias("point"), F.get(parts, i).alias("text"))))
-    counted = (sampled.where(F.size(parts) == attach.count_points(F.col("scaffold")))
-               .groupBy("smiles", "origin", entries.alias("entries")).agg(F.count(F.lit(1)).alias("n")))
+    fitting = sampled.where(F.size(parts) == attach.count_points(F.col("scaffold")))
+    counted = fitting.groupBy("smiles", "origin", entries.alias("entries")).agg(F.count(F.lit(1)).alias("n"))
+    counted = spread(counted, "smiles", "entries")
     texts = F.transform("entries", lambda e: attach.number_first(e["text"], e["point"]))
     joined = counted.withColumn("_new", graph.graft_numbered(F.col("smiles"), texts)).where(F.col("_new").isNotNull())
     joined = joined.withColumn("_clean", graph.clean_all(F.transform("entries", lambda e: e["text"])))
@@ -68,9 +70,11 @@ def decorate(scaffolds: DataFrame, model: DataFrame, kind: str = "multi", r: int
         raise ValueError(f"unknown kind '{kind}'")
     rounds = [materialise(initial_results(scaffolds, column))]
     open_rows = rounds[0].select("smiles", "scaffold", "decorations")
+    draw = tokenmodel.sampler(model, order, max_len)
     limit = rounds[0].agg(F.max(attach.count_points(F.col("smiles")))).first()[0] or 0
     for i in range(limit if kind == "multi" else min(limit, 1)):
-        sampled = _sampled(open_rows, model, r, n, max_randomized, repeats, order, max_len, seed + i)
+        variants = _variants(open_rows, r, max_randomized, repeats, seed + i)
+        sampled = draw(tokenmodel.draw_rows(variants, n, seed + i, ["smiles", "variant_no"]))
         grown = (_round_multi if kind == "multi" else _round_single)(sampled)
         fresh = materialise(merge.dedup(grown, F.col("n")))
         seen = rounds[0].select("smiles")
