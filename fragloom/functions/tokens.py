@@ -24,5 +24,5 @@ def untokenize(tokens: Column) -> Column:
 def point_neighbour(scaffold: Column) -> Column:
     """Token after the first attachment point, before it when it is last, '' without one."""
     body = tokenize(scaffold, marks=False)
-    at = F.array_position(F.transform(body, lambda t: t.rlike(r"^(\*|\[\*.*\])$")), F.lit(True)).cast("int")
+    at = F.array_position(F.transform(body, lambda t: (t == "*") | t.startswith("[*")), F.lit(True)).cast("int")
     return F.when(at > 0, F.coalesce(F.get(body, at), F.get(body, at - 2), F.lit(""))).otherwise(F.lit(""))

@@ -1,6 +1,6 @@
 """Vocabularies as tables (side, token, id)."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens
@@ -64,15 +64,15 @@ def add_rows(vocabulary: DataFrame, rows: DataFrame) -> DataFrame:
             F.raise_error(F.lit("id already present in vocabulary")).cast("bigint"))).select("side", "token", "id")
 
 
-def _fits_map(vocabulary: DataFrame) -> bool:
-    return vocabulary.limit(MAP_LIMIT + 1).count() <= MAP_LIMIT
+def _small(vocabulary: DataFrame):
+    """The rows of a vocabulary within MAP_LIMIT, None beyond it."""
+    rows = vocabulary.select("side", "token", "id").limit(MAP_LIMIT + 1).collect()
+    return rows if len(rows) <= MAP_LIMIT else None
 
 
-def _maps(vocabulary: DataFrame, sides: list, forward: bool) -> DataFrame:
-    key, value = ("token", "id") if forward else ("id", "token")
-    return vocabulary.agg(*[
-        F.map_from_entries(F.collect_list(F.when(F.col("side") == s, F.struct(key, value)))).alias(f"_map_{s}")
-        for s in sides])
+def _constant_map(rows, side: str, forward: bool):
+    mine = [(r["token"], r["id"]) if forward else (r["id"], r["token"]) for r in rows if r["side"] == side]
+    return F.map_from_arrays(F.lit([k for k, _ in mine]), F.lit([v for _, v in mine]))
 
 
 def encode(df: DataFrame, vocabulary: DataFrame, sides: dict, key: str = "key") -> DataFrame:
@@ -86,15 +86,17 @@ def decode(df: DataFrame, vocabulary: DataFrame, sides: dict, key: str = "key")
     return out.withColumns({f"{s}_text": tokens.untokenize(F.col(f"{s}_text")) for s in sides})
 
 
-def _translate(df, vocabulary, arrays: dict, key, suffix, forward):
-    if _fits_map(vocabulary):
-        joined = df.crossJoin(F.broadcast(_maps(vocabulary, list(arrays), forward)))
+def _look_up(array, words):
+    return F.transform(array, lambda t: F.try_element_at(words, t))
 
-        def lookup(side, array: Column):
-            found = F.transform(array, lambda t: F.try_element_at(F.col(f"_map_{side}"), t))
-            return F.when(F.forall(found, lambda x: x.isNotNull()), found)
 
-        return joined.select(*df.columns, *[lookup(s, a).alias(f"{s}{suffix}") for s, a in arrays.items()])
+def _translate(df, vocabulary, arrays: dict, key, suffix, forward):
+    few = _small(vocabulary)
+    if few is not None:
+        # one step per column use: an expression used twice in one step is evaluated twice
+        out = df.withColumns({f"_found_{s}": _look_up(a, _constant_map(few, s, forward)) for s, a in arrays.items()})
+        return out.select(*df.columns, *[
+            F.when(F.forall(f"_found_{s}", lambda x: x.isNotNull()), F.col(f"_found_{s}")).alias(f"{s}{suffix}") for s in arrays])
     source, target = ("token", "id") if forward else ("id", "token")
     for side, array in arrays.items():
         words = vocabulary.where(F.col("side") == side).select(F.col(source).alias("_word"), F.col(target).alias("_hit"))
