@@ -22,7 +22,8 @@ BOND = T.StructType([
 PARSED = T.StructType([
     T.StructField("atoms", T.ArrayType(ATOM)), T.StructField("bonds", T.ArrayType(BOND)),
     T.StructField("components", T.IntegerType()), T.StructField("reason", TEXT)])
-SLICED = T.StructType([T.StructField("scaffold", TEXT), T.StructField("decorations", TEXTS)])
+SLICED = T.StructType([
+    T.StructField("scaffold", TEXT), T.StructField("decorations", TEXTS), T.StructField("smiles", TEXT)])
 
 
 def _kernel(result):
@@ -64,14 +65,9 @@ def canonical(text: pa.Array) -> pa.Array:
     return pa.array(_rows(kernel.canonical_text, text), type=pa.string())
 
 
-@_kernel(T.ArrayType(TEXTS))
-def _cut_sides(text: pa.Array, bonds: pa.Array) -> pa.Array:
-    return pa.array(_rows(kernel.cut_sides, text, bonds), type=pa.list_(pa.list_(pa.string())))
-
-
 @_kernel(SLICED)
-def _scaffold_of(text: pa.Array, bonds: pa.Array, near: pa.Array, decorations: pa.Array) -> pa.Array:
-    rows = _rows(lambda t, b, n, d: kernel.scaffold_of(t, list(zip(b, n, d))), text, bonds, near, decorations)
+def _scaffold_of(text: pa.Array, bonds: pa.Array, near: pa.Array) -> pa.Array:
+    rows = _rows(lambda t, b, n: kernel.scaffold_of(t, list(zip(b, n))), text, bonds, near)
     return pa.array(rows, type=to_arrow_type(SLICED))
 
 
@@ -102,12 +98,9 @@ def respell(texts: Column, seed: Column) -> Column:
     return _respell(texts, seed)
 
 
-def cut_sides(text: Column, bonds: Column) -> Column:
-    return _cut_sides(text, bonds)
-
-
-def scaffold_of(text: Column, bonds: Column, near: Column, decorations: Column) -> Column:
-    return _scaffold_of(text, bonds, near, decorations)
+def scaffold_of(text: Column, bonds: Column, near: Column) -> Column:
+    """Scaffold, decorations by point and canonical molecule of one choice of cuts."""
+    return _scaffold_of(text, bonds, near)
 
 
 def graft(scaffold: Column, decoration: Column, keep_labels: bool = False) -> Column:

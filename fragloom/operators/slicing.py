@@ -71,13 +71,10 @@ def with_cuts(df: DataFrame, rule_set, scaffold_conditions=None, decoration_cond
 
         df = (df.withColumn("whole", F.struct(*[descriptors.span(n, atoms, bonds, table=table).alias(n) for n in names]))
               .withColumn("parts", F.transform("sites", far_side)))
-    df = (df.withColumn("texts", graph.cut_sides(F.col("smiles"), F.transform("sites", lambda s: s["idx"])))
-          .withColumn("canonical", graph.canonical(F.col("smiles"))))
 
     def oriented(site, i):
         def side(near):
-            fields = [site["idx"].alias("bond"), site["v"].alias("v"), site["last"].alias("last"), F.lit(near).alias("near"),
-                      F.get(F.get(F.col("texts"), i), F.lit(int(near))).alias("text")]
+            fields = [site["idx"].alias("bond"), site["v"].alias("v"), site["last"].alias("last"), F.lit(near).alias("near")]
             if names:
                 part = F.get(F.col("parts"), i)
                 rest = F.struct(*[(F.col("whole")[n] - part["far"][n] - part["lost"][n]).alias(n) for n in names])
@@ -89,7 +86,7 @@ def with_cuts(df: DataFrame, rule_set, scaffold_conditions=None, decoration_cond
     cuts = F.flatten(F.transform("sites", oriented))
     if decoration_conditions:
         cuts = F.filter(cuts, lambda c: conditions.predicate(decoration_conditions, lambda n: c["part"][n]))
-    return df.select("smiles", "canonical", "n_units", "unit", cuts.alias("cuts"), *(["whole"] if names else []))
+    return df.select("smiles", "n_units", "unit", cuts.alias("cuts"), *(["whole"] if names else []))
 
 
 def disjoint(p, d) -> Column:
@@ -134,7 +131,7 @@ def enumerate_cuts(df: DataFrame, max_cuts: int, scaffold_conditions=None) -> Da
             gone = F.aggregate("picks", F.lit(0.0), lambda s, p: s + p["part"][name] + p["lost"][name])
             return F.col("whole")[name] - gone
         rows = rows.where(conditions.predicate(scaffold_conditions, left))
-    return rows.select("smiles", "canonical", "picks")
+    return rows.select("smiles", "picks")
 
 
 def slice_molecules(df: DataFrame, rule_set="hr", max_cuts: int = 4, scaffold_conditions=None,
@@ -148,9 +145,9 @@ def slice_molecules(df: DataFrame, rule_set="hr", max_cuts: int = 4, scaffold_co
     def field(name):
         return F.transform("picks", lambda p: p[name])
 
-    return (picks.withColumn("_s", graph.scaffold_of(F.col("smiles"), field("bond"), field("near"), field("text")))
-            .select(attach.number_all(F.col("_s.scaffold")).alias("scaffold"), F.col("_s.decorations").alias("decorations"),
-                    F.size("_s.decorations").alias("cuts"), F.col("canonical").alias("smiles")))
+    return (picks.withColumn("_s", graph.scaffold_of(F.col("smiles"), field("bond"), field("near")))
+            .select(attach.number_all(F.col("_s.scaffold")).alias("scaffold"), "_s.decorations",
+                    F.size("_s.decorations").alias("cuts"), "_s.smiles"))
 
 
 def distinct_slicings(slicings: DataFrame) -> DataFrame:

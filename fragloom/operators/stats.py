@@ -30,9 +30,10 @@ def bin_index(x: Column) -> Column:
 
 def histogram(df: DataFrame) -> DataFrame:
     """(grp, bin, n, p): values outside [0, 100] dropped, empty bins counted as 1, normalised."""
-    binned = (df.where((F.col("nll") >= 0) & (F.col("nll") <= 100))
-              .groupBy("grp", bin_index(F.col("nll")).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
-    grid = df.select("grp").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    inside = (F.col("nll") >= 0) & (F.col("nll") <= 100)
+    counted = df.groupBy("grp", F.when(inside, bin_index(F.col("nll"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    binned = counted.where(F.col("bin").isNotNull())
+    grid = counted.select("grp").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
     full = grid.join(binned, ["grp", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     return full.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("grp")))
 

@@ -57,8 +57,10 @@ def _by_context(model: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("_counts"), F.max("n_context").alias("_total"))
 
 
-def _scalars(model: DataFrame) -> DataFrame:
-    return model.agg(F.max("n_tokens").alias("_v"), F.max("alpha").alias("_alpha"))
+def _alphabet(model: DataFrame) -> DataFrame:
+    """One row: V, alpha and the decoration tokens in order."""
+    in_order = F.array_sort(F.collect_set("token")).alias("_alphabet")
+    return model.agg(F.max("n_tokens").alias("_v"), F.max("alpha").alias("_alpha"), in_order)
 
 
 def score(pairs: DataFrame, model: DataFrame, order: int = 2, vocabulary: DataFrame = None) -> DataFrame:
@@ -69,14 +71,12 @@ def score(pairs: DataFrame, model: DataFrame, order: int = 2, vocabulary: DataFr
     makes nll NULL, and so does a token outside `vocabulary` (side, token) when given.
     """
     pairs = with_near(pairs)
-    known = model.select("token").distinct().withColumn("_known", F.lit(True))
     events = token_events(pairs.select("near", "decoration").distinct(), order)
     p = ((F.coalesce(F.try_element_at("_counts", F.col("token")), F.lit(0)) + F.col("_alpha"))
          / (F.coalesce("_total", F.lit(0)) + F.col("_alpha") * F.col("_v")))
-    scored = (events.join(known, "token", "left").join(_by_context(model), "context", "left")
-              .crossJoin(F.broadcast(_scalars(model)))
+    scored = (events.join(_by_context(model), "context", "left").crossJoin(F.broadcast(_alphabet(model)))
               .groupBy("near", "decoration")
-              .agg(F.sum(-F.log(p)).alias("_nll"), F.bool_or(F.col("_known").isNull()).alias("oov")))
+              .agg(F.sum(-F.log(p)).alias("_nll"), F.bool_or(~F.array_contains("_alphabet", F.col("token"))).alias("oov")))
     out = pairs.join(scored, ["near", "decoration"], "left")
     if vocabulary is not None:
         out = _vocabulary_check(out, vocabulary)
@@ -207,11 +207,6 @@ class _Table:
         return texts, nll
 
 
-def _alphabet(model: DataFrame) -> DataFrame:
-    tokens_in_order = F.array_sort(F.collect_set("token")).alias("_alphabet")
-    return model.agg(F.max("n_tokens").alias("_v"), F.max("alpha").alias("_alpha"), tokens_in_order)
-
-
 def _sample_by_joins(rows: DataFrame, contexts: DataFrame, scalars: DataFrame, order: int, max_len: int,
                      steps_per_table: int = 8) -> DataFrame:
     """The same sampling for models of any size: one join with the context table per step.

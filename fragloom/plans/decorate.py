@@ -9,6 +9,10 @@ from ..operators.lineage import materialise
 from ..operators.spread import spread
 
 
+# Distinct samples of one molecule that may be joined in the same task.
+ROWS_IN_ONE_TASK = 4096
+
+
 def initial_results(scaffolds: DataFrame, column: str = "smiles") -> DataFrame:
     """The scaffolds themselves as results, repeats counted."""
     empty = F.create_map().cast("map<int,string>")
@@ -27,12 +31,18 @@ def _variants(open_rows: DataFrame, r: int, attempts: int, repeats: bool, seed:
     return spread(rows.where(F.size("points") > 0), "smiles", "variant_no")
 
 
-def _round_multi(sampled: DataFrame) -> DataFrame:
+def _by_molecule(counted: DataFrame, rows_per_molecule: int, *rest: str) -> DataFrame:
+    """Spread join work so that a molecule is read once, unless it has too many rows for one task."""
+    keys = ["smiles"] if rows_per_molecule <= ROWS_IN_ONE_TASK else ["smiles", *rest]
+    return spread(counted, *keys).sortWithinPartitions("smiles")
+
+
+def _round_multi(sampled: DataFrame, rows_per_molecule: int) -> DataFrame:
     """Join at the first point.  Equal samples are counted before they are joined."""
     counted = sampled.groupBy(
         "smiles", "origin", "decorations", F.get("points", F.lit(0)).alias("point"), "decoration").agg(
         F.count(F.lit(1)).alias("n"))
-    counted = spread(counted, "smiles", "point", "decoration")
+    counted = _by_molecule(counted, rows_per_molecule, "point", "decoration")
     joined = counted.withColumn(
         "_new", graph.graft(F.col("smiles"), attach.number_first(F.col("decoration"), F.col("point"))))
     joined = joined.where(F.col("_new").isNotNull()).withColumn("_clean", graph.clean_decoration(F.col("decoration")))
@@ -41,14 +51,14 @@ def _round_multi(sampled: DataFrame) -> DataFrame:
         attach.add_entry(F.col("decorations"), F.col("point"), F.col("_clean")).alias("decorations"), "n")
 
 
-def _round_single(sampled: DataFrame) -> DataFrame:
+def _round_single(sampled: DataFrame, rows_per_molecule: int) -> DataFrame:
     """Join all points at once, numbered by appearance in the random spelling."""
     parts = attach.unpack_single(F.col("decoration"))
     entries = F.array_sort(F.transform(
         F.col("points"), lambda p, i: F.struct(p.alias("point"), F.get(parts, i).alias("text"))))
     fitting = sampled.where(F.size(parts) == attach.count_points(F.col("scaffold")))
     counted = fitting.groupBy("smiles", "origin", entries.alias("entries")).agg(F.count(F.lit(1)).alias("n"))
-    counted = spread(counted, "smiles", "entries")
+    counted = _by_molecule(counted, rows_per_molecule, "entries")
     texts = F.transform("entries", lambda e: attach.number_first(e["text"], e["point"]))
     joined = counted.withColumn("_new", graph.graft_numbered(F.col("smiles"), texts)).where(F.col("_new").isNotNull())
     joined = joined.withColumn("_clean", graph.clean_all(F.transform("entries", lambda e: e["text"])))
@@ -75,7 +85,7 @@ def decorate(scaffolds: DataFrame, model: DataFrame, kind: str = "multi", r: int
     for i in range(limit if kind == "multi" else min(limit, 1)):
         variants = _variants(open_rows, r, max_randomized, repeats, seed + i)
         sampled = draw(tokenmodel.draw_rows(variants, n, seed + i, ["smiles", "variant_no"]))
-        grown = (_round_multi if kind == "multi" else _round_single)(sampled)
+        grown = (_round_multi if kind == "multi" else _round_single)(sampled, r * n)
         fresh = materialise(merge.dedup(grown, F.col("n")))
         seen = rounds[0].select("smiles")
         for earlier in rounds[1:]:
