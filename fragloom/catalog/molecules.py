@@ -107,12 +107,14 @@ def slice_conditions(spark, sf):
 
 
 # every cut of an eight-atom chain: two ends at one cut, a middle and two ends at two cuts
-@query("slice_distinct", "WITH " + fx.sql("fx_word") + """, w AS (SELECT DISTINCT smiles AS w FROM fx_word),
+WORD_SLICINGS = "WITH " + fx.sql("fx_word") + """, w AS (SELECT DISTINCT smiles AS w FROM fx_word),
     one AS (SELECT reverse(w[1:i]) AS l, w[i + 1:8] AS r FROM w, range(1, 8) x(i)),
-    two AS (SELECT w[i + 1:j] AS mid, reverse(w[1:i]) AS l, w[j + 1:8] AS r FROM w, range(1, 8) x(i), range(1, 8) y(j) WHERE i < j)
-    SELECT DISTINCT 1 AS cuts, concat_ws('|', l, r) AS slicing FROM one
-    UNION SELECT DISTINCT 1, concat_ws('|', r, l) FROM one
-    UNION SELECT DISTINCT 2, least(concat_ws('|', mid, l, r), concat_ws('|', reverse(mid), r, l)) FROM two""")
+    two AS (SELECT w[i + 1:j] AS mid, reverse(w[1:i]) AS l, w[j + 1:8] AS r FROM w, range(1, 8) x(i), range(1, 8) y(j) WHERE i < j),
+    s AS (SELECT DISTINCT 1 AS cuts, concat_ws('|', l, r) AS slicing FROM one UNION SELECT DISTINCT 1, concat_ws('|', r, l) FROM one
+    UNION SELECT DISTINCT 2, least(concat_ws('|', mid, l, r), concat_ws('|', reverse(mid), r, l)) FROM two) """
+
+
+@query("slice_distinct", WORD_SLICINGS + "SELECT cuts, slicing FROM s")
 def slice_distinct(spark, sf):
     rows = slice_table(fx.view(spark, sf, "fx_word"), "hr", 2)
     core = F.regexp_replace(F.col("scaffold"), r"\[\*:\d\]", "")
@@ -189,11 +191,14 @@ def canonical_spellings(spark, sf):
     return keyed.groupBy("smiles").agg(F.countDistinct("form").alias("n_forms"))
 
 
-@query("random_variants")
+@query("random_variants", "WITH " + fx.sql("fx_assembly") + """ SELECT smiles, CAST(4 AS BIGINT) AS n_variants, CAST(4 AS BIGINT) AS n_texts, true AS same FROM fx_assembly GROUP BY smiles""")
 def random_variants(spark, sf):
-    """Distinct random spellings of every assembly molecule."""
+    """Four distinct random spellings of every molecule, all of them that molecule."""
     mols = _distinct(fx.view(spark, sf, "fx_assembly"))
-    return randomize.randomized(mols, "smiles", 4, attempts=200, seed=1)
+    rows = randomize.randomized(mols, "smiles", 4, attempts=200, seed=1)
+    same = rows.withColumn("_a", graph.canonical(F.col("smiles"))).withColumn("_b", graph.canonical(F.col("randomized")))
+    return same.groupBy("smiles").agg(F.count(F.lit(1)).alias("n_variants"), F.countDistinct("randomized").alias("n_texts"),
+                                      F.bool_and(F.col("_a") == F.col("_b")).alias("same"))
 
 
 # --- joins ---
@@ -255,11 +260,7 @@ def graft_back(spark, sf):
 
 # --- jobs ---
 
-@query("training_pairs_multi", "WITH " + fx.sql("fx_word") + """, w AS (SELECT DISTINCT smiles AS w FROM fx_word),
-    one AS (SELECT reverse(w[1:i]) AS l, w[i + 1:8] AS r FROM w, range(1, 8) x(i)),
-    two AS (SELECT w[i + 1:j] AS mid, reverse(w[1:i]) AS l, w[j + 1:8] AS r FROM w, range(1, 8) x(i), range(1, 8) y(j) WHERE i < j),
-    s AS (SELECT DISTINCT concat_ws('|', l, r) AS s FROM one UNION SELECT DISTINCT concat_ws('|', r, l) FROM one
-    UNION SELECT DISTINCT least(concat_ws('|', mid, l, r), concat_ws('|', reverse(mid), r, l)) FROM two)
+@query("training_pairs_multi", WORD_SLICINGS + """
     SELECT CAST(e AS INT) AS epoch, count(*) AS n_pairs, true AS one_point FROM s, range(0, 2) x(e) GROUP BY ALL""")
 def training_pairs_multi(spark, sf):
     pairs = randomize.training_pairs(slice_table(fx.view(spark, sf, "fx_word"), "hr", 2), 2, "multi", 4)
@@ -267,9 +268,14 @@ def training_pairs_multi(spark, sf):
         F.count(F.lit(1)).alias("n_pairs"), F.bool_and(attach.count_points(F.col("decoration")) == 1).alias("one_point"))
 
 
-@query("training_pairs_single")
+@query("training_pairs_single", WORD_SLICINGS + """
+    SELECT CAST(cuts AS BIGINT) AS cuts, CAST(0 AS INT) AS epoch, count(*) AS n_pairs, count(*) AS n_whole FROM s GROUP BY cuts""")
 def training_pairs_single(spark, sf):
-    return randomize.training_pairs(slice_table(fx.view(spark, sf, "fx_molecule"), "hr", 3), 2, "single", 4)
+    """Every packed pair joins to a molecule without open points."""
+    pairs = randomize.training_pairs(slice_table(fx.view(spark, sf, "fx_word"), "hr", 2), 1, "single", 4)
+    joined = pairs.withColumn("whole", graph.graft_packed(F.col("scaffold"), F.col("decoration")))
+    return joined.groupBy("epoch", attach.count_points(F.col("scaffold")).cast("bigint").alias("cuts")).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("whole").isNotNull() & ~F.contains("whole", F.lit("*"))).alias("n_whole"))
 
 
 @query("sliced_lines", """SELECT v.line FROM (VALUES (concat('[*:0]N1CCN([*:1])CC1', chr(9), '[*]C(c1ccccc1)=O;[*]Cc1ccccc1', chr(9), 'C(c1ccccc1)(N1CCN(Cc2ccccc2)CC1)=O'))) v(line)
@@ -301,6 +307,33 @@ def decorate_single(spark, sf):
     return _grown(spark, sf, "single")
 
 
+# A model that has only ever seen a methyl: every open chain must end up closed by methyls, and only by
+# them, whatever spellings are drawn.  A chain and its reverse are one molecule, shown by the smaller text.
+METHYLS = "WITH " + fx.sql("fx_word") + """
+    SELECT concat('[*:0]', min(smiles), '[*:1]') AS scaffold, '{"0":"[*]C","1":"[*]C"}' AS decorations
+    FROM fx_word GROUP BY least(smiles, reverse(smiles))"""
+
+
+def _closed_by_methyls(spark, sf, kind):
+    beside = spark.createDataFrame([("[*]" + a,) for a in "CNOS"] + [("C([*])C",)], "scaffold string")
+    train = beside.withColumn("decoration", F.lit("[*]C" if kind == "multi" else "[*]C|[*]C"))
+    chains = fx.view(spark, sf, "fx_word").select(F.concat(F.lit("[*:0]"), "smiles", F.lit("[*:1]")).alias("smiles"))
+    rows = loop.decorate(chains, tokenmodel.fit(train, 3, 1e-12), kind, r=1, n=1, order=3, seed=2)
+    closed = rows.where(~F.contains("smiles", F.lit("*")))
+    flat = closed.withColumn("decorations", F.map_from_entries(F.array_sort(F.map_entries("decorations"))))
+    return writers.results_csv(flat).select("scaffold", "decorations")
+
+
+@query("decorate_multi_closed", METHYLS)
+def decorate_multi_closed(spark, sf):
+    return _closed_by_methyls(spark, sf, "multi")
+
+
+@query("decorate_single_closed", METHYLS)
+def decorate_single_closed(spark, sf):
+    return _closed_by_methyls(spark, sf, "single")
+
+
 @query("decorate_scaffolds", "WITH " + fx.sql("fx_scaffold") + """SELECT scaffold AS smiles, scaffold, '{}' AS decorations, count(*) AS "count" FROM fx_scaffold GROUP BY scaffold""")
 def decorate_scaffolds(spark, sf):
     """The starting scaffolds stay in the results with their own count."""
