@@ -218,16 +218,51 @@ def graft_first(spark, sf):
         "pair_id", F.col("smiles").isNotNull().alias("joined"), attach.count_points(F.col("smiles")).alias("open_points"))
 
 
-@query("graft_texts", "WITH " + fx.sql("fx_pair") + """, v AS (SELECT * FROM (VALUES
-    ('*c1ccc(Br)cc1', '[*]C', 'Brc1ccc(C)cc1'), ('*c1ccc(Br)cc1', '[*]CC', 'Brc1ccc(CC)cc1'),
-    ('*c1ccc(Br)cc1', '[*]c1ccccc1', 'Brc1ccc(-c2ccccc2)cc1'), ('*c1ccc(Br)cc1', '[*]OC', 'Brc1ccc(cc1)OC'),
-    ('*c1ccc(Br)cc1', '[*]N(C)C', 'Brc1ccc(cc1)N(C)C'), ('*c1ccc(Br)cc1', '[*]C(=O)O', 'Brc1ccc(C(=O)O)cc1'),
-    ('*c1ccc(Br)cc1', '*Cl', 'Brc1ccc(cc1)Cl')) v(scaffold, decoration, smiles))
-    SELECT scaffold, decoration, smiles, count(*) AS n FROM fx_pair LEFT JOIN v USING (scaffold, decoration) WHERE scaffold = '*c1ccc(Br)cc1' GROUP BY ALL""")
+# --- fixed values: joined texts, checked by hand ---
+GRAFTED = """(VALUES
+    ('[*:0]c1ccccc1[*:1]', '[*]C', '[*]c1c(C)cccc1'),
+    ('[*:0]c1ccccc1[*:1]', '[*]CC', '[*]c1c(CC)cccc1'),
+    ('[*:0]c1ccccc1[*:1]', '[*]c1ccccc1', '[*]c1c(-c2ccccc2)cccc1'),
+    ('[*:0]c1ccccc1[*:1]', '[*]OC', '[*]c1c(cccc1)OC'),
+    ('[*:0]c1ccccc1[*:1]', '[*]N(C)C', '[*]c1c(cccc1)N(C)C'),
+    ('[*:0]c1ccccc1[*:1]', '[*]C(=O)O', '[*]c1c(C(=O)O)cccc1'),
+    ('[*:0]c1ccccc1[*:1]', '*Cl', '[*]c1c(cccc1)Cl'),
+    ('[*:1]CCN1CCN([*:0])CC1', '[*]C', '[*]N1CCN(CCC)CC1'),
+    ('[*:1]CCN1CCN([*:0])CC1', '[*]CC', '[*]N1CCN(CCCC)CC1'),
+    ('[*:1]CCN1CCN([*:0])CC1', '[*]c1ccccc1', '[*]N1CCN(CCc2ccccc2)CC1'),
+    ('[*:1]CCN1CCN([*:0])CC1', '[*]OC', '[*]N1CCN(CCOC)CC1'),
+    ('[*:1]CCN1CCN([*:0])CC1', '[*]N(C)C', '[*]N1CCN(CCN(C)C)CC1'),
+    ('[*:1]CCN1CCN([*:0])CC1', '[*]C(=O)O', '[*]N1CCN(CCC(=O)O)CC1'),
+    ('[*:1]CCN1CCN([*:0])CC1', '*Cl', '[*]N1CCN(CCCl)CC1'),
+    ('[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]', '[*]C', '[*]c1c(ccc([*])c1)NC(C)=O'),
+    ('[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]', '[*]CC', '[*]c1c(ccc([*])c1)NC(CC)=O'),
+    ('[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]', '[*]c1ccccc1', '[*]c1c(ccc([*])c1)NC(c1ccccc1)=O'),
+    ('[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]', '[*]OC', '[*]c1c(ccc([*])c1)NC(=O)OC'),
+    ('[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]', '[*]N(C)C', '[*]c1c(ccc([*])c1)NC(N(C)C)=O'),
+    ('[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]', '[*]C(=O)O', '[*]c1c(ccc([*])c1)NC(C(=O)O)=O'),
+    ('[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]', '*Cl', '[*]c1c(ccc([*])c1)NC(Cl)=O'),
+    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]C', '[*]c1c(cccc1N1CCN(CC=CCC)CC1)Cl'),
+    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]CC', '[*]c1c(cccc1N1CCN(CC=CCCC)CC1)Cl'),
+    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]c1ccccc1', '[*]c1c(cccc1N1CCN(CC=CCc2ccccc2)CC1)Cl'),
+    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]OC', '[*]c1c(cccc1N1CCN(CC=CCOC)CC1)Cl'),
+    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]N(C)C', '[*]c1c(cccc1N1CCN(CC=CCN(C)C)CC1)Cl'),
+    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]C(=O)O', '[*]c1c(cccc1N1CCN(CC=CCC(=O)O)CC1)Cl'),
+    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '*Cl', '[*]c1c(cccc1N1CCN(CC=CCCl)CC1)Cl'),
+    ('*c1ccc(Br)cc1', '[*]C', 'Brc1ccc(C)cc1'),
+    ('*c1ccc(Br)cc1', '[*]CC', 'Brc1ccc(CC)cc1'),
+    ('*c1ccc(Br)cc1', '[*]c1ccccc1', 'Brc1ccc(-c2ccccc2)cc1'),
+    ('*c1ccc(Br)cc1', '[*]OC', 'Brc1ccc(cc1)OC'),
+    ('*c1ccc(Br)cc1', '[*]N(C)C', 'Brc1ccc(cc1)N(C)C'),
+    ('*c1ccc(Br)cc1', '[*]C(=O)O', 'Brc1ccc(C(=O)O)cc1'),
+    ('*c1ccc(Br)cc1', '*Cl', 'Brc1ccc(cc1)Cl')
+    ) g(scaffold, decoration, smiles)"""
+
+
+@query("graft_texts", "WITH " + fx.sql("fx_pair") + f"""
+    SELECT scaffold, decoration, smiles, count(*) AS n FROM fx_pair LEFT JOIN {GRAFTED} USING (scaffold, decoration) GROUP BY ALL""")
 def graft_texts(spark, sf):
-    pairs = fx.view(spark, sf, "fx_pair").where(F.col("scaffold") == "*c1ccc(Br)cc1")
-    counted = pairs.groupBy("scaffold", "decoration").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("smiles", graph.graft_first(F.col("scaffold"), F.col("decoration")))
+    counted = fx.view(spark, sf, "fx_pair").groupBy("scaffold", "decoration").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("smiles", graph.graft_first(attach.remove_numbers(F.col("scaffold")), F.col("decoration")))
 
 
 @query("graft_all", "WITH " + fx.sql("fx_pair") + f"""SELECT pair_id, core IS NOT NULL AND scaffold NOT LIKE '%*:2%' AND scaffold LIKE '%*:1%' AS joined

@@ -13,9 +13,9 @@ MAP_LIMIT = 5000
 def corpus_tokens(df: DataFrame, sides: dict) -> DataFrame:
     """Distinct (side, token) of the text columns given as {side: column}."""
     pairs = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("text")) for s, c in sides.items()])
-    # distinct texts first: most of a large corpus repeats, and tokens are costlier than texts
-    texts = df.select(F.inline(pairs)).where(F.col("text").isNotNull()).distinct()
-    return texts.select("side", F.explode(tokens.tokenize(F.col("text"), marks=False)).alias("token")).distinct()
+    # tokens are merged map-side, so the shuffle carries an alphabet per task and no text
+    found = F.array_distinct(tokens.tokenize(F.col("text"), marks=False))
+    return df.select(F.inline(pairs)).select("side", F.explode(found).alias("token")).distinct()
 
 
 def build(df: DataFrame, sides: dict) -> DataFrame:
