@@ -124,6 +124,21 @@ def slice_distinct(spark, sf):
     return rows.select("cuts", F.when(F.col("cuts") == 1, there).otherwise(F.least(there, back)).alias("slicing"))
 
 
+@query("normalize_sliced", WORD_SLICINGS + "SELECT CAST(cuts AS BIGINT) AS cuts, count(*) AS n, count(*) AS n_same FROM s GROUP BY cuts")
+def normalize_sliced(spark, sf):
+    """Respelled scaffolds with their numbers turned round come back to the sliced form."""
+    sliced = slice_table(fx.view(spark, sf, "fx_word"), "hr", 2)
+    last = F.size("decorations") - 1
+    turned = F.regexp_replace(F.regexp_replace(F.col("scaffold"), r"\[\*:0\]", "[*:x]"), r"\[\*:1\]", "[*:0]")
+    turned = F.regexp_replace(turned, F.lit(r"\[\*:x\]"), F.concat(F.lit("[*:"), last.cast("string"), F.lit("]")))
+    rows = sliced.select(F.col("scaffold").alias("was"), F.col("decorations").alias("had"), "cuts", F.get(
+        graph.respell(F.array(turned), F.xxhash64("scaffold", "decorations")), F.lit(0)).alias("scaffold"),
+        F.reverse("decorations").alias("decorations"))
+    back = graph.normalize_sliced(rows)
+    same = (F.col("scaffold") == F.col("was")) & (F.col("decorations") == F.col("had"))
+    return back.groupBy(F.col("cuts").cast("bigint").alias("cuts")).agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_same"))
+
+
 @query("slice_texts", """SELECT * FROM (VALUES
     ('C(C)(Nc1ccc(cc1)OC)=O', 'amide', '[*:0]C(C)=O', '[*]Nc1ccc(cc1)OC'), ('C(C)(Nc1ccc(cc1)OC)=O', 'amide', '[*:0]Nc1ccc(cc1)OC', '[*]C(C)=O'),
     ('C(C)(Nc1ccc(cc1)OC)=O', 'ether', '[*:0]C', '[*]Oc1ccc(cc1)NC(C)=O'), ('C(C)(Nc1ccc(cc1)OC)=O', 'ether', '[*:0]Oc1ccc(cc1)NC(C)=O', '[*]C'),

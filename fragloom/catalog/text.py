@@ -129,6 +129,17 @@ def decorations_map(spark, sf):
                        entries(attach.rekey(F.col("m"), remap)).alias("rekeyed"))
 
 
+@query("numbered_map", "WITH " + fx.sql("fx_round") + """
+    SELECT smiles, scaffold, decoration, concat('3=', regexp_replace(decoration, '\\[\\*\\]|\\*', '[*]'), ';8=[*]O') AS entries
+    FROM fx_round WHERE decoration LIKE '%*%'""")
+def numbered_map(spark, sf):
+    rows = fx.view(spark, sf, "fx_round").where(F.contains("decoration", F.lit("*")))
+    pair = F.array(attach.number_first(F.col("decoration"), 3), F.lit("[*:8]O"))
+    entries = F.transform(F.array_sort(F.map_entries(attach.map_by_number(pair))),
+                          lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
+    return rows.select("smiles", "scaffold", "decoration", F.array_join(entries, ";").alias("entries"))
+
+
 @query("merged_labels", "WITH " + fx.sql("fx_round") + """
     SELECT smiles, scaffold, point, CASE point WHEN 0 THEN '0,10,2' WHEN 1 THEN '1,10,2' ELSE '10,2' END AS labels FROM fx_round""")
 def merged_labels(spark, sf):

@@ -84,6 +84,11 @@ def zip_map(keys: Column, values: Column) -> Column:
     return F.map_from_arrays(F.slice(keys, 1, n), F.slice(values, 1, n))
 
 
+def map_by_number(decorations: Column) -> Column:
+    """Map from an array of numbered decorations: their first numbers to their bare texts."""
+    return F.map_from_arrays(F.transform(decorations, first_point), F.transform(decorations, remove_numbers))
+
+
 def add_entry(decorations: Column, key: Column, value: Column) -> Column:
     """Map with one more entry; an existing entry of that key gives way."""
     kept = F.map_filter(decorations, lambda k, _: k != key)

@@ -8,6 +8,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import kernel
 from ..functions import attach, rules
+from .spread import spread
 
 TEXT, TEXTS = T.StringType(), T.ArrayType(T.StringType())
 ATOM = T.StructType([
@@ -103,6 +104,27 @@ def scaffold_of(text: Column, bonds: Column, near: Column) -> Column:
     return _scaffold_of(text, bonds, near)
 
 
+@_kernel(SLICED)
+def _normalized(scaffold: pa.Array, decorations: pa.Array) -> pa.Array:
+    return pa.array(_rows(kernel.normalized, scaffold, decorations), type=to_arrow_type(SLICED))
+
+
+def normalize_sliced(df: DataFrame) -> DataFrame:
+    """Renumber (scaffold, decorations) by the canonical scaffold; decorations[i] belongs to point i.
+
+    Rows whose points do not match their decorations are left out.
+    """
+    rows = spread(df).withColumn("_clean", clean_all(F.col("decorations")))
+    rows = rows.withColumn("_n", _normalized(F.col("scaffold"), F.col("_clean"))).where(F.col("_n").isNotNull())
+    return rows.select(attach.number_all(F.col("_n.scaffold")).alias("scaffold"), "_n.decorations",
+                       *[c for c in df.columns if c not in ("scaffold", "decorations")])
+
+
+def label_decoration(decoration: Column, number) -> Column:
+    """Canonical text with the first point numbered."""
+    return canonical(attach.number_first(decoration, number))
+
+
 def graft(scaffold: Column, decoration: Column, keep_labels: bool = False) -> Column:
     """Join at the decoration's numbered point; NULL when the pair does not fit."""
     return _graft(scaffold, decoration, F.lit(keep_labels))
