@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import dataset, tokenmodel
+from ..operators.lineage import materialise
 from ..plans import quality
 from ..sources import writers
 from . import fixtures as fx
@@ -77,7 +78,7 @@ def nll_lines(spark, sf):
     SELECT CAST(epoch AS INT) AS epoch, batch, round(avg(nll), 6) AS loss FROM placed
     WHERE batch < (SELECT floor(count(*) / 128) FROM t) GROUP BY ALL""")
 def nll_batch_mean(spark, sf):
-    scored = tokenmodel.score(fx.view(spark, sf, "fx_train"), _model(spark, sf)).select("pair_id", "nll")
+    scored = materialise(tokenmodel.score(fx.view(spark, sf, "fx_train"), _model(spark, sf)).select("pair_id", "nll"))
     return tokenmodel.batch_mean(dataset.batches(scored, "pair_id", 2, 128, 7)).withColumn("loss", F.round("loss", 6))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens
 from ..operators import dataset, vocab
+from ..plans import jobs
 from . import fixtures as fx
 from .registry import query
 from .text import TOK
@@ -142,9 +143,7 @@ def batch_counts(spark, sf):
     SELECT pair_id, CAST(epoch AS INT) AS epoch, batch, CAST(len(d_ids) AS BIGINT) AS n,
            array_to_string(list_concat(d_ids, [0 for i in range(0, w - len(d_ids))]), ' ') AS ids FROM wide""")
 def padded_batches(spark, sf):
-    ids = vocab.encode(fx.view(spark, sf, "fx_train"), _vocab(spark, sf), SIDES, "pair_id")
-    ids = dataset.in_vocabulary(ids, ["scaffold_ids", "decoration_ids"]).select("pair_id", "decoration_ids")
-    rows = dataset.pad(dataset.batches(ids, "pair_id", 2, 128, 7), ["decoration_ids"])
+    rows = jobs.epoch_batches(fx.view(spark, sf, "fx_train"), _vocab(spark, sf), 2, 128, "pair_id", 7)
     return rows.select("pair_id", "epoch", "batch", F.col("decoration_ids_len").cast("bigint").alias("n"),
                        _flat(F.col("decoration_ids")).alias("ids"))
 

@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import randomize, tokenmodel, vocab
+from ..operators import dataset, randomize, tokenmodel, vocab
+from ..operators.lineage import materialise
+from ..operators.spread import spread
 from ..sources import readers, writers
 
 
@@ -18,6 +20,17 @@ def vocabularies(pairs: DataFrame) -> DataFrame:
     return vocab.build(pairs, {"scaffold": "scaffold", "decoration": "decoration"})
 
 
+def epoch_batches(pairs: DataFrame, vocabulary: DataFrame, epochs: int, batch_size: int, key: str, seed: int = 0) -> DataFrame:
+    """Encoded, shuffled, batched and padded pairs per epoch; pairs with unknown tokens left out.
+
+    Encoded rows are written once, in even pieces: numbering reads them several times.
+    """
+    ids = vocab.encode(spread(pairs.select(key, "scaffold", "decoration")), vocabulary, {"scaffold": "scaffold", "decoration": "decoration"}, key)
+    columns = ["scaffold_ids", "decoration_ids"]
+    ids = materialise(dataset.in_vocabulary(ids, columns).select(key, *columns))
+    return dataset.pad(dataset.batches(ids, key, epochs, batch_size, seed), columns)
+
+
 def nlls(spark, pairs_path: str, model: DataFrame, output: str, order: int = 2, gzip: bool = False):
     """Append the score to every input line; further fields stay as they are."""
     scored = tokenmodel.score(readers.read_pairs(spark, pairs_path), model, order)
