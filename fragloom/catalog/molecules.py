@@ -39,7 +39,7 @@ def cut_sites(spark, sf):
 
 
 def _picks(df, rules, max_cuts, scaffold=None, decoration=None):
-    parsed = graph.parse_molecules(slicing.distinct_units(df)).where(slicing.reject_reason().isNull())
+    parsed = graph.parse_molecules(slicing.distinct_units(df, max_cuts)).where(slicing.reject_reason().isNull())
     return slicing.enumerate_cuts(slicing.with_cuts(parsed, rules, scaffold, decoration), max_cuts, scaffold)
 
 

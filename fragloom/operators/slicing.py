@@ -20,23 +20,24 @@ from .spread import spread
 ATOMS_PER_UNIT = 40
 
 
-def work_units(smiles: Column) -> Column:
-    """Units of a molecule: 1 up to ATOMS_PER_UNIT atoms, then with the cube of the size."""
+def work_units(smiles: Column, max_cuts: int) -> Column:
+    """Units of a molecule: 1 up to ATOMS_PER_UNIT atoms, then as its choices of cuts grow."""
     atoms = F.regexp_count(smiles, F.lit(r"Br|Cl|[A-Zbcnops*]"))
-    return F.pow(F.greatest(F.ceil(atoms / F.lit(ATOMS_PER_UNIT)), F.lit(1)), F.lit(3)).cast("int")
+    size = F.greatest(F.ceil(atoms / F.lit(ATOMS_PER_UNIT)), F.lit(1))
+    return F.pow(size, F.lit(max_cuts - 1)).cast("int")
 
 
 def _unit_test(first, second) -> Column:
     return F.pmod(F.hash(first, second), F.col("n_units")) == F.col("unit")
 
 
-def distinct_units(df: DataFrame, column: str = "smiles", partitions: int = None) -> DataFrame:
+def distinct_units(df: DataFrame, max_cuts: int, column: str = "smiles", partitions: int = None) -> DataFrame:
     """Distinct texts, heavy ones repeated once per unit, spread over the tasks.
 
     Copies are merged before they are shuffled; the second shuffle moves distinct texts only.
     """
     text = df.select(F.col(column).alias("smiles")).where(F.col("smiles").isNotNull())
-    units = text.withColumn("n_units", work_units(F.col("smiles")))
+    units = text.withColumn("n_units", work_units(F.col("smiles"), max_cuts))
     units = units.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("n_units") - 1))).distinct()
     return spread(units, "smiles", "unit", partitions=partitions)
 
@@ -138,7 +139,7 @@ def slice_molecules(df: DataFrame, rule_set="hr", max_cuts: int = 4, scaffold_co
                     decoration_conditions=None, contributions=None, column: str = "smiles",
                     partitions: int = None) -> DataFrame:
     """All slicings before dedup: (smiles canonical, scaffold, decorations, cuts)."""
-    parsed = graph.parse_molecules(distinct_units(df, column, partitions)).where(reject_reason().isNull())
+    parsed = graph.parse_molecules(distinct_units(df, max_cuts, column, partitions)).where(reject_reason().isNull())
     cuts = with_cuts(parsed, rule_set, scaffold_conditions, decoration_conditions, contributions)
     picks = enumerate_cuts(cuts, max_cuts, scaffold_conditions)
 

@@ -93,7 +93,7 @@ def test_work_units_do_not_change_the_result(spark, texts, monkeypatch):
     mols = texts("CC(C)(C)OC(=O)NCCOCCN", "CCCC", "CCCC")
     want = sorted(map(str, slice_table(mols, "hr", 4).collect()))
     monkeypatch.setattr(slicing, "ATOMS_PER_UNIT", 5)
-    assert slicing.distinct_units(mols).count() > 2
+    assert slicing.distinct_units(mols, 4).count() > 2
     assert sorted(map(str, slice_table(mols, "hr", 4).collect())) == want
     assert slice_table(mols, "hr", 1).count() == sum("cuts=1" in r for r in want)
 
