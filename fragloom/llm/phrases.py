@@ -43,9 +43,9 @@ class Rolling:
             return np.zeros(0, dtype=np.uint64)
         if self.up is None or len(self.up) < n:
             size = max(n, 1 << 12)
-            self.up = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE, dtype=np.uint64)]).astype(np.uint64))
-            inverse = np.uint64(pow(_BASE, -1, 1 << 64))
-            self.down = np.cumprod(np.concatenate([[1], np.full(size - 1, inverse, dtype=np.uint64)]).astype(np.uint64))
+            one = np.ones(1, dtype=np.uint64)
+            self.up, self.down = (np.cumprod(np.append(one, np.full(size - 1, step, dtype=np.uint64)), dtype=np.uint64)
+                                  for step in (_BASE, pow(_BASE, -1, 1 << 64)))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.up[:n], dtype=np.uint64)])
         out = (sums[self.window:] - sums[:-self.window]) * self.down[:n - self.window + 1]
         out = (out ^ (out >> np.uint64(32))) * np.uint64(_MIX)
