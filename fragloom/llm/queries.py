@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.lineage import new_path
-from . import bpe, decontaminate, html_text, ordinal, phrases, quality, secret_scan, sharding, simhash, warc
+from . import bpe, decontaminate, html_text, oracles, ordinal, phrases, quality, secret_scan, sharding, simhash, warc
 
 LLM_QUERIES, LLM_ORACLES = {}, {}
 SHARDS = 24
@@ -23,7 +23,7 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_rendezvous_sharding")
+@query("op1_rendezvous_sharding", oracles.RENDEZVOUS)
 def rendezvous_sharding(spark, sf_dir):
     """Law `key`: doc_id and the number of shards decide; one more shard takes rows only into itself."""
     rows = sharding.sized(table(spark, sf_dir, "documents"))
@@ -33,7 +33,7 @@ def rendezvous_sharding(spark, sf_dir):
     return grown.select(*columns, F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-@query("op2_warc_round_trip")
+@query("op2_warc_round_trip", oracles.WARC)
 def warc_round_trip(spark, sf_dir):
     path = new_path(spark, "warc")
     warc.archive(table(spark, sf_dir, "pages"), path)
@@ -81,7 +81,7 @@ def simhash_near_dedup(spark, sf_dir):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op6_benchmark_decontamination")
+@query("op6_benchmark_decontamination", oracles.DECONTAMINATION)
 def benchmark_decontamination(spark, sf_dir):
     rows = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     pairs = F.sequence(F.lit(0), F.size("hit_spans") - 2, F.lit(2))
@@ -117,6 +117,6 @@ def bpe_digests(docs, path, pattern, **options):
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op10_repeated_phrases")
+@query("op10_repeated_phrases", oracles.PHRASES)
 def repeated_phrases(spark, sf_dir):
     return phrases.without_repeats(table(spark, sf_dir, "documents"))
