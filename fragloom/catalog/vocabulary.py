@@ -97,7 +97,7 @@ def _flat(ids):
 @query("encode", "WITH " + ENCODED.replace("{source}", "fx_train") + """
     SELECT pair_id, array_to_string(s_ids, ' ') AS scaffold_ids, array_to_string(d_ids, ' ') AS decoration_ids FROM enc""")
 def encode(spark, sf):
-    rows = vocab.encode(fx.view(spark, sf, "fx_train"), _vocab(spark, sf), SIDES, "pair_id")
+    rows = vocab.encode(fx.view(spark, sf, "fx_train"), _vocab(spark, sf), SIDES)
     return rows.select("pair_id", _flat(F.col("scaffold_ids")).alias("scaffold_ids"),
                        _flat(F.col("decoration_ids")).alias("decoration_ids"))
 
@@ -105,16 +105,36 @@ def encode(spark, sf):
 @query("decode", "WITH " + fx.sql("fx_train") + " SELECT pair_id, scaffold AS scaffold_text, decoration AS decoration_text FROM fx_train")
 def decode(spark, sf):
     words = _vocab(spark, sf)
-    ids = vocab.encode(fx.view(spark, sf, "fx_train"), words, SIDES, "pair_id")
-    back = vocab.decode(ids, words, {"scaffold": "scaffold_ids", "decoration": "decoration_ids"}, "pair_id")
+    ids = vocab.encode(fx.view(spark, sf, "fx_train"), words, SIDES)
+    back = vocab.decode(ids, words, {"scaffold": "scaffold_ids", "decoration": "decoration_ids"})
     return back.select("pair_id", "scaffold_text", "decoration_text")
 
 
+@query("encode_repeated_keys", "WITH " + ENCODED.replace("{source}", "fx_train") + """
+    SELECT split_part(pair_id, '-', 1) AS order_key, array_to_string(d_ids, ' ') AS decoration_ids FROM enc""")
+def encode_repeated_keys(spark, sf):
+    """The order key repeats, and rows of one order have different texts."""
+    rows = fx.view(spark, sf, "fx_train").select(F.split_part("pair_id", F.lit("-"), F.lit(1)).alias("order_key"), "decoration")
+    return vocab.encode(rows, _vocab(spark, sf), {"decoration": "decoration"}).select("order_key", _flat(F.col("decoration_ids")).alias("decoration_ids"))
+
+
+@query("decode_empty", "WITH " + fx.sql("fx_train") + """
+    SELECT pair_id, CASE CAST(split_part(pair_id, '-', 2) AS INT) % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE decoration END AS decoration_text FROM fx_train""")
+def decode_empty(spark, sf):
+    """Every third row has no ids, every third has an id outside the vocabulary."""
+    words = _vocab(spark, sf)
+    ids = vocab.encode(fx.view(spark, sf, "fx_train"), words, {"decoration": "decoration"})
+    kind = F.split_part("pair_id", F.lit("-"), F.lit(2)).cast("int") % 3
+    none = F.slice("decoration_ids", 1, 0)
+    ids = ids.withColumn("decoration_ids", F.when(kind == 0, none).when(kind == 1, F.array(F.lit(-7).cast("bigint"))).otherwise(F.col("decoration_ids")))
+    return vocab.decode(ids, words, {"decoration": "decoration_ids"}).select("pair_id", "decoration_text")
+
+
 @query("oov_rows", "WITH " + ENCODED.replace("{source}", "fx_pair").replace("body AS", fx.sql("fx_pair") + ", body AS", 1) + """
     SELECT pair_id, len(list_filter(s_ids, lambda x: x IS NULL)) > 0 AS scaffold_oov,
            len(list_filter(d_ids, lambda x: x IS NULL)) > 0 AS decoration_oov FROM enc""")
 def oov_rows(spark, sf):
-    rows = vocab.encode(fx.view(spark, sf, "fx_pair"), _vocab(spark, sf), SIDES, "pair_id")
+    rows = vocab.encode(fx.view(spark, sf, "fx_pair"), _vocab(spark, sf), SIDES)
     return rows.select("pair_id", F.col("scaffold_ids").isNull().alias("scaffold_oov"),
                        F.col("decoration_ids").isNull().alias("decoration_oov"))
 

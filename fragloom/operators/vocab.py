@@ -6,10 +6,6 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from .ranking import ranked
 
-# A vocabulary is carried to every row as a map only up to this many tokens.
-MAP_LIMIT = 5000
-
-
 def corpus_tokens(df: DataFrame, sides: dict) -> DataFrame:
     """Distinct (side, token) of the text columns given as {side: column}."""
     pairs = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("text")) for s, c in sides.items()])
@@ -64,45 +60,35 @@ def add_rows(vocabulary: DataFrame, rows: DataFrame) -> DataFrame:
             F.raise_error(F.lit("id already present in vocabulary")).cast("bigint"))).select("side", "token", "id")
 
 
-def _small(vocabulary: DataFrame):
-    """The rows of a vocabulary within MAP_LIMIT, None beyond it."""
-    rows = vocabulary.select("side", "token", "id").limit(MAP_LIMIT + 1).collect()
-    return rows if len(rows) <= MAP_LIMIT else None
-
-
-def _constant_map(rows, side: str, forward: bool):
-    mine = [(r["token"], r["id"]) if forward else (r["id"], r["token"]) for r in rows if r["side"] == side]
-    return F.map_from_arrays(F.lit([k for k, _ in mine]), F.lit([v for _, v in mine]))
-
-
-def encode(df: DataFrame, vocabulary: DataFrame, sides: dict, key: str = "key") -> DataFrame:
-    """Add `<side>_ids` (NULL when a token is unknown) for text columns {side: column}."""
-    return _translate(df, vocabulary, {s: tokens.tokenize(F.col(c)) for s, c in sides.items()}, key, "_ids", True)
-
+def encode(df: DataFrame, vocabulary: DataFrame, sides: dict) -> DataFrame:
+    """Add `<side>_ids` (NULL when a token is unknown or the text is) for text columns {side: column}."""
+    for side, column in sides.items():
+        df = _translate(df, vocabulary, side, F.sha2(column, 256), tokens.tokenize(F.col(column)), f"{side}_ids", True)
+    return df
 
-def decode(df: DataFrame, vocabulary: DataFrame, sides: dict, key: str = "key") -> DataFrame:
-    """Add `<side>_text` for id columns {side: column}."""
-    out = _translate(df, vocabulary, {s: F.col(c) for s, c in sides.items()}, key, "_text", False)
-    return out.withColumns({f"{s}_text": tokens.untokenize(F.col(f"{s}_text")) for s in sides})
 
+def decode(df: DataFrame, vocabulary: DataFrame, sides: dict) -> DataFrame:
+    """Add `<side>_text` for id columns {side: column}; no ids are the empty text, unknown or NULL ids NULL."""
+    for side, column in sides.items():
+        name = F.sha2(F.concat_ws(",", F.transform(column, lambda i: F.coalesce(i.cast("string"), F.lit("?")))), 256)
+        df = _translate(df, vocabulary, side, F.when(F.col(column).isNotNull(), name), F.col(column), f"{side}_text", False)
+        df = df.withColumn(f"{side}_text", tokens.untokenize(F.col(f"{side}_text")))
+    return df
 
-def _look_up(array, words):
-    return F.transform(array, lambda t: F.try_element_at(words, t))
 
+def _translate(df, vocabulary, side, name, array, out, forward):
+    """Translate every different sequence once, by a join of its tokens; `name` is the sequence's digest.
 
-def _translate(df, vocabulary, arrays: dict, key, suffix, forward):
-    few = _small(vocabulary)
-    if few is not None:
-        # one step per column use: an expression used twice in one step is evaluated twice
-        out = df.withColumns({f"_found_{s}": _look_up(a, _constant_map(few, s, forward)) for s, a in arrays.items()})
-        return out.select(*df.columns, *[
-            F.when(F.forall(f"_found_{s}", lambda x: x.isNotNull()), F.col(f"_found_{s}")).alias(f"{s}{suffix}") for s in arrays])
+    Rows find their result by the digest, so repeated rows and keys do not meet.  Whether the
+    vocabulary is broadcast is left to its measured size; the result is the same.
+    """
     source, target = ("token", "id") if forward else ("id", "token")
-    for side, array in arrays.items():
-        words = vocabulary.where(F.col("side") == side).select(F.col(source).alias("_word"), F.col(target).alias("_hit"))
-        spread = df.select(key, F.posexplode(array).alias("_pos", "_word")).join(words, "_word", "left")
-        found = spread.groupBy(key).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_hit"))), lambda e: e["_hit"]).alias("_found"))
-        df = df.join(found, key, "left").select(*df.columns, F.when(
-            F.forall("_found", lambda x: x.isNotNull()), F.col("_found")).alias(f"{side}{suffix}"))
-    return df
+    words = vocabulary.where(F.col("side") == side).select(F.col(source).alias("_word"), F.col(target).alias("_hit"))
+    named = df.withColumn("_name", name)
+    different = named.where(F.col("_name").isNotNull()).select("_name", array.alias("_seq")).dropDuplicates(["_name"])
+    spread = different.select("_name", F.posexplode_outer("_seq").alias("_pos", "_word"))
+    found = spread.join(words, "_word", "left").groupBy("_name").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_hit")))).alias("_found"))
+    found = found.select("_name", F.when(F.forall("_found", lambda e: e["_hit"].isNotNull()),
+                                         F.transform("_found", lambda e: e["_hit"])).alias(out))
+    return named.drop(out).join(found, "_name", "left").drop("_name")

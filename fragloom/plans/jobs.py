@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ..operators import dataset, randomize, tokenmodel, vocab
 from ..operators.lineage import materialise
-from ..operators.spread import spread
 from ..sources import readers, writers
 
 
@@ -23,9 +22,9 @@ def vocabularies(pairs: DataFrame) -> DataFrame:
 def epoch_batches(pairs: DataFrame, vocabulary: DataFrame, epochs: int, batch_size: int, key: str, seed: int = 0) -> DataFrame:
     """Encoded, shuffled, batched and padded pairs per epoch; pairs with unknown tokens left out.
 
-    Encoded rows are written once, in even pieces: numbering reads them several times.
+    Encoded rows are written once: numbering reads them several times.
     """
-    ids = vocab.encode(spread(pairs.select(key, "scaffold", "decoration")), vocabulary, {"scaffold": "scaffold", "decoration": "decoration"}, key)
+    ids = vocab.encode(pairs.select(key, "scaffold", "decoration"), vocabulary, {"scaffold": "scaffold", "decoration": "decoration"})
     columns = ["scaffold_ids", "decoration_ids"]
     ids = materialise(dataset.in_vocabulary(ids, columns).select(key, *columns))
     return dataset.pad(dataset.batches(ids, key, epochs, batch_size, seed), columns)

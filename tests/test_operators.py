@@ -1,5 +1,6 @@
 """Operators on small tables: golden values, properties, brute force."""
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -144,17 +145,24 @@ def test_vocabulary_tables(spark):
         vocab.add_rows(v, again).collect()
 
 
-def test_encoding_by_joins_equals_encoding_by_map(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, "C[*]", "CCl"), (2, "N[*]", "O"), (3, "C[*]", "F")], "key int, scaffold string, decoration string")
-    sides = {"scaffold": "scaffold", "decoration": "decoration"}
-    v = vocab.build(rows.where("key < 3"), sides)
-    want = sorted(map(str, vocab.encode(rows, v, sides).collect()))
-    monkeypatch.setattr(vocab, "MAP_LIMIT", 1)
-    encoded = vocab.encode(rows, v, sides)
-    assert sorted(map(str, encoded.collect())) == want
-    assert encoded.where("key = 3").first()["decoration_ids"] is None
-    back = vocab.decode(encoded.where("key < 3"), v, {"decoration": "decoration_ids"}).collect()
-    assert {r["key"]: r["decoration_text"] for r in back} == {1: "CCl", 2: "O"}
+def test_encoding_is_one_path_for_any_vocabulary(spark):
+    texts = ["C[*]", "CCl", "N[*]", "", None, "F", "C[*]", "CC" * 300]
+    big = [("s", f"[{i}]", i + 10) for i in range(6000)] + [("s", t, i) for i, t in enumerate(["<pad>", "$", "^", "C", "[*]", "Cl", "N"])]
+    rows = spark.createDataFrame([(1, t) for t in texts], "key int, smi string").withColumn("s_ids", F.lit("clash"))
+    words = spark.createDataFrame(big, "side string, token string, id bigint")
+    number = {t: i for _, t, i in big}
+    want = sorted(str((t, None if t in (None, "F") else [number[x] for x in ["^", *re.findall(r"\[\*\]|Cl|.", t), "$"]])) for t in texts)
+    for limit in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        encoded = vocab.encode(rows, words, {"s": "smi"})
+        assert sorted(str((r["smi"], r["s_ids"])) for r in encoded.collect()) == want
+        back = vocab.decode(encoded, words, {"s": "s_ids"}).collect()
+        assert all(r["s_text"] == (None if r["smi"] in (None, "F") else r["smi"]) for r in back) and len(back) == len(texts)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    ids = spark.createDataFrame([([],), (None,), ([None],), ([3, 77777],)], "ids array<bigint>")
+    assert [r["s_text"] for r in vocab.decode(ids, words, {"s": "ids"}).collect() if r["ids"] == []] == [""]
+    assert vocab.decode(ids, words, {"s": "ids"}).where("s_text IS NULL").count() == 3
+    assert vocab.encode(rows.limit(0), words, {"s": "smi"}).count() == 0
 
 
 def test_batches_drop_the_last_and_pad(spark):
