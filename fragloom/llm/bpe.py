@@ -20,7 +20,7 @@ from .rows import add_columns, kept_columns, named
 CHUNK, OVERLAP = 65_536, 1_024
 #: Characters at the end of a chunk where its boundaries may differ from those of the whole text.
 UNSURE = 8
-CACHED, SHORT = 300_000, 48
+CACHED, SHORT = 150_000, 48
 
 
 def read_ranks(path: str) -> dict:
@@ -163,24 +163,25 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK
         encoder = Encoder(path, pattern)
 
         def run(texts):
-            ids = [encoder.encode(t) for t in texts]
-            return [pack(i) for i in ids], [len(i) for i in ids]
+            ids = [pack(encoder.encode(t)) for t in texts]  # packed at once: lists of one text at a time
+            return ids, [len(i) // 4 for i in ids]
         return run
 
     def pieces():
         encoder = Encoder(path, pattern)
 
         def run(texts):
-            done = [encoder.encode_marked(t, [(0, overlap - UNSURE), (step, len(t) - UNSURE)]) for t in texts]
-            return [pack(i) for i, _ in done], [m[0] for _, m in done], [m[1] for _, m in done]
+            done = [(pack(ids), *marks) for ids, marks in (
+                encoder.encode_marked(t, [(0, overlap - UNSURE), (step, len(t) - UNSURE)]) for t in texts)]
+            return [list(column) for column in zip(*done)] if done else [[], [], []]
         return run
 
     def joined():
         encoder = Encoder(path, pattern)
 
         def run(rows):
-            ids = [stitch([(c["text"], unpack(c["ids"]), c["left"], c["right"]) for c in row], step, encoder) for row in rows]
-            return [pack(i) for i in ids], [len(i) for i in ids]
+            ids = [pack(stitch([(c["text"], unpack(c["ids"]), c["left"], c["right"]) for c in row], step, encoder)) for row in rows]
+            return ids, [len(i) // 4 for i in ids]
         return run
 
     short = add_columns(source.where(n_chunks == 1), ["_text"], fields, whole, keep=keep)
