@@ -30,6 +30,24 @@ def parse_rejects(spark, sf):
     return mols.join(slicing.rejects(_distinct(mols)), "smiles").select("mol_id", "smiles", "reason")
 
 
+@query("slice_documents_rejects", "SELECT doc_id, length(text) AS n_chars, true AS rejected FROM documents WHERE text IS NOT NULL")
+def slice_documents_rejects(spark, sf):
+    """Prose of any length is told from molecules by one parse of each different text."""
+    docs = fx.table(spark, sf, "documents").where(F.col("text").isNotNull())
+    found = slicing.rejects(slicing.distinct_texts(docs, "text")).select(F.col("smiles").alias("text"), "reason")
+    return docs.join(found, "text", "left").select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.col("reason").isNotNull().alias("rejected"))
+
+
+@query("condition_rejects", """SELECT p_partkey AS mol_id, CASE p_partkey % 4 WHEN 0 THEN 'CC[Xx]CC' WHEN 1 THEN 'CCO' ELSE 'CC=C' END AS smiles,
+    CASE p_partkey % 4 WHEN 0 THEN 'unknown_element' ELSE 'unknown_atom_type' END AS reason FROM part WHERE p_partkey % 4 != 2""")
+def condition_rejects(spark, sf):
+    """Molecules outside the tables of masses and contributions are named; palladium has a mass."""
+    mols = fx.table(spark, sf, "part").selectExpr("p_partkey AS mol_id", """CASE p_partkey % 4 WHEN 0 THEN 'CC[Xx]CC' WHEN 1 THEN 'CCO'
+        WHEN 2 THEN 'CC[Pd]CC' ELSE 'CC=C' END AS smiles""")
+    table = {"CH3": 0.1, "CH2": 0.2, "PdH0": 0.0}
+    return mols.join(slicing.rejects(_distinct(mols), contributions=table), "smiles").select("mol_id", "smiles", "reason")
+
+
 @query("cut_sites", MOL + "SELECT mol_id, CAST(m AS BIGINT) AS n_sites FROM m WHERE m IS NOT NULL")
 def cut_sites(spark, sf):
     mols = fx.view(spark, sf, "fx_molecule")
@@ -39,8 +57,9 @@ def cut_sites(spark, sf):
 
 
 def _picks(df, rules, max_cuts, scaffold=None, decoration=None):
-    parsed = graph.parse_molecules(slicing.distinct_units(df, max_cuts)).where(slicing.reject_reason().isNull())
-    return slicing.enumerate_cuts(slicing.with_cuts(parsed, rules, scaffold, decoration), max_cuts, scaffold)
+    parsed = graph.parse_molecules(slicing.distinct_texts(df)).where(slicing.reject_reason().isNull())
+    cuts = slicing.with_cuts(parsed, rules, scaffold, decoration)
+    return slicing.enumerate_cuts(slicing.work_units(cuts, max_cuts), max_cuts, scaffold)
 
 
 @query("slices_by_cuts", MOL + """, k AS (

@@ -130,14 +130,16 @@ def decorations_map(spark, sf):
 
 
 @query("numbered_map", "WITH " + fx.sql("fx_round") + """
-    SELECT smiles, scaffold, decoration, concat('3=', regexp_replace(decoration, '\\[\\*\\]|\\*', '[*]'), ';8=[*]O') AS entries
-    FROM fx_round WHERE decoration LIKE '%*%'""")
+    SELECT smiles, scaffold, decoration, CASE WHEN decoration LIKE '%*%'
+        THEN concat('3=', regexp_replace(decoration, '\\[\\*\\]|\\*', '[*]'), ';8=[*]O') ELSE '8=[*]O' END AS entries,
+        CASE WHEN decoration LIKE '%*%' THEN '' ELSE decoration END AS left_out FROM fx_round""")
 def numbered_map(spark, sf):
-    rows = fx.view(spark, sf, "fx_round").where(F.contains("decoration", F.lit("*")))
+    rows = fx.view(spark, sf, "fx_round")
     pair = F.array(attach.number_first(F.col("decoration"), 3), F.lit("[*:8]O"))
     entries = F.transform(F.array_sort(F.map_entries(attach.map_by_number(pair))),
                           lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
-    return rows.select("smiles", "scaffold", "decoration", F.array_join(entries, ";").alias("entries"))
+    return rows.select("smiles", "scaffold", "decoration", F.array_join(entries, ";").alias("entries"),
+                       F.array_join(attach.unnumbered(pair), ";").alias("left_out"))
 
 
 @query("merged_labels", "WITH " + fx.sql("fx_round") + """

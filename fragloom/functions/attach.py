@@ -85,8 +85,17 @@ def zip_map(keys: Column, values: Column) -> Column:
 
 
 def map_by_number(decorations: Column) -> Column:
-    """Map from an array of numbered decorations: their first numbers to their bare texts."""
-    return F.map_from_arrays(F.transform(decorations, first_point), F.transform(decorations, remove_numbers))
+    """Map from an array of numbered decorations: their first numbers to their bare texts.
+
+    A decoration without a number has no key and is left out; `unnumbered` lists those.
+    """
+    numbered = F.filter(decorations, lambda d: first_point(d).isNotNull())
+    return F.map_from_arrays(F.transform(numbered, first_point), F.transform(numbered, remove_numbers))
+
+
+def unnumbered(decorations: Column) -> Column:
+    """The decorations that `map_by_number` leaves out."""
+    return F.filter(decorations, lambda d: first_point(d).isNull())
 
 
 def add_entry(decorations: Column, key: Column, value: Column) -> Column:

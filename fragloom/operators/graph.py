@@ -40,7 +40,7 @@ def _rows(fn, *arrays):
     for row in zip(*(a.to_pylist() for a in arrays)):
         try:
             out.append(None if any(x is None for x in row) else fn(*row))
-        except kernel.Invalid:
+        except (kernel.Invalid, RecursionError):
             out.append(None)
     return out
 
@@ -50,6 +50,8 @@ def _graph_row(text):
         m = kernel.parse(text or "")
     except kernel.Invalid as e:
         return (None, None, None, str(e))
+    except Exception as e:  # one odd row must not end the job
+        return (None, None, None, f"error_{type(e).__name__}")
     atoms = [(i, m.sym[i], m.arom[i], m.charge[i], m.n_h[i], None if m.map_no[i] is None else int(m.map_no[i]),
               len(m.adj[i]), m.ring[i], *f) for i, f in enumerate(m.atom_features())]
     return atoms, [(i, *b) for i, b in enumerate(m.bonds)], m.components, None

@@ -5,9 +5,9 @@ cuts on distinct bonds whose removed sides are pairwise disjoint; the scaffold i
 stays.  Atoms are numbered depth-first, so the far side of a bridge is the interval
 v..last and every disjointness test is a comparison of two intervals.
 
-Choices grow one cut per level inside generator steps, without a join or a shuffle.  A
-molecule with many atoms is split beforehand into work units that share out its first
-two cuts, so that no task has to enumerate it alone.
+Choices grow one cut per level inside generator steps, without a join.  Texts are parsed and
+rejects dropped before anything is multiplied; a molecule with many cuts is then split into
+work units that share out its first two cuts, so that no task has to enumerate it alone.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -17,46 +17,51 @@ from ..functions import attach, conditions, descriptors
 from . import graph
 from .spread import spread
 
-ATOMS_PER_UNIT = 40
+#: Pairs of first and second cuts that one work unit tries.
+PAIRS_PER_UNIT = 2000
 
 
-def work_units(smiles: Column, max_cuts: int) -> Column:
-    """Units of a molecule: 1 up to ATOMS_PER_UNIT atoms, then as its choices of cuts grow."""
-    atoms = F.regexp_count(smiles, F.lit(r"Br|Cl|[A-Zbcnops*]"))
-    size = F.greatest(F.ceil(atoms / F.lit(ATOMS_PER_UNIT)), F.lit(1))
-    return F.pow(size, F.lit(max_cuts - 1)).cast("int")
-
-
-def _unit_test(first, second) -> Column:
-    return F.pmod(F.hash(first, second), F.col("n_units")) == F.col("unit")
+def distinct_texts(df: DataFrame, column: str = "smiles", partitions: int = None) -> DataFrame:
+    """Distinct texts, spread over the tasks; copies are merged before they are shuffled."""
+    text = df.select(F.col(column).alias("smiles")).where(F.col("smiles").isNotNull())
+    return spread(text.distinct(), "smiles", partitions=partitions)
 
 
-def distinct_units(df: DataFrame, max_cuts: int, column: str = "smiles", partitions: int = None) -> DataFrame:
-    """Distinct texts, heavy ones repeated once per unit, spread over the tasks.
+def work_units(df: DataFrame, max_cuts: int, pairs: int = None, partitions: int = None) -> DataFrame:
+    """Rows with `cuts` -> the same rows for each range of first cuts, and for each part of the second cuts
+    where one first cut has too many; so a row has fewer copies than pairs of cuts.
 
-    Copies are merged before they are shuffled; the second shuffle moves distinct texts only.
+    Adds first_lo, first_n, second_of, second_k.  Rows without cuts are left out.
     """
-    text = df.select(F.col(column).alias("smiles")).where(F.col("smiles").isNotNull())
-    units = text.withColumn("n_units", work_units(F.col("smiles"), max_cuts))
-    units = units.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("n_units") - 1))).distinct()
-    return spread(units, "smiles", "unit", partitions=partitions)
+    pairs = pairs or PAIRS_PER_UNIT
+    df = df.where(F.size("cuts") > 0)
+    n = F.size("cuts").cast("bigint")
+    if max_cuts == 1:
+        return df.withColumns({"first_lo": F.lit(0), "first_n": n.cast("int"), "second_of": F.lit(1), "second_k": F.lit(0)})
+    width = F.greatest(F.floor(F.lit(pairs) / n), F.lit(1)).cast("bigint")
+    parts = F.ceil(n / F.lit(pairs)).cast("bigint")
+    units = df.withColumn("_unit", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(n / width) * parts - 1)))
+    units = units.withColumns({"first_lo": (F.floor(F.col("_unit") / parts) * width).cast("int"), "first_n": width.cast("int"),
+                               "second_of": parts.cast("int"), "second_k": (F.col("_unit") % parts).cast("int")})
+    return spread(units.drop("_unit"), "smiles", "first_lo", "second_k", partitions=partitions)
 
 
-def reject_reason() -> Column:
-    """Why a parsed row cannot be sliced, NULL when it can."""
+def reject_reason(contributions=None) -> Column:
+    """Why a parsed row cannot be sliced, NULL when it can; contributions: the table of a clogp condition."""
     return (F.when(F.col("reason").isNotNull(), F.col("reason"))
             .when(F.col("graph.components") > 1, F.lit("multi_component"))
-            .when(F.exists(F.col("graph.atoms"), lambda a: a["elem"] == "*"), F.lit("attachment_point")))
+            .when(F.exists(F.col("graph.atoms"), lambda a: a["elem"] == "*"), F.lit("attachment_point"))
+            .otherwise(descriptors.unknown_reason(F.col("graph.atoms"), contributions)))
 
 
-def rejects(df: DataFrame, column: str = "smiles") -> DataFrame:
+def rejects(df: DataFrame, column: str = "smiles", contributions=None) -> DataFrame:
     """Rows that slicing leaves out, each with its reason."""
-    return (graph.parse_molecules(df, column).withColumn("reason", reject_reason())
+    return (graph.parse_molecules(df, column).withColumn("reason", reject_reason(contributions))
             .where(F.col("reason").isNotNull()).drop("graph"))
 
 
 def with_cuts(df: DataFrame, rule_set, scaffold_conditions=None, decoration_conditions=None, table=None) -> DataFrame:
-    """Parsed units -> `cuts`: oriented cuts that pass the decoration conditions.
+    """Parsed rows -> `cuts`: oriented cuts that pass the decoration conditions.
 
     The conditions act here, before any combination exists; `whole` keeps the molecule's
     own descriptors for the scaffold conditions.
@@ -87,7 +92,7 @@ def with_cuts(df: DataFrame, rule_set, scaffold_conditions=None, decoration_cond
     cuts = F.flatten(F.transform("sites", oriented))
     if decoration_conditions:
         cuts = F.filter(cuts, lambda c: conditions.predicate(decoration_conditions, lambda n: c["part"][n]))
-    return df.select("smiles", "n_units", "unit", cuts.alias("cuts"), *(["whole"] if names else []))
+    return df.select("smiles", cuts.alias("cuts"), *(["whole"] if names else []))
 
 
 def disjoint(p, d) -> Column:
@@ -98,8 +103,12 @@ def disjoint(p, d) -> Column:
             .otherwise(F.lit(False)))
 
 
+#: Descriptors that only fall with every further cut, so that a scaffold below its least can be left at once.
+FALLING = ("hac", "mol_weight")
+
+
 def enumerate_cuts(df: DataFrame, max_cuts: int, scaffold_conditions=None) -> DataFrame:
-    """All choices of 1..max_cuts disjoint cuts, one row each in `picks`.
+    """All choices of 1..max_cuts disjoint cuts of the work units, one row each in `picks`.
 
     Every level either stops a choice (an option without a cut) or extends it by a cut on
     a later bond.  Outer generators keep the optimizer from evaluating the options a
@@ -108,16 +117,23 @@ def enumerate_cuts(df: DataFrame, max_cuts: int, scaffold_conditions=None) -> Da
     cut_type = df.schema["cuts"].dataType.elementType
     stop = F.array(F.struct(F.lit(None).cast(cut_type).alias("cut")))
     none = F.slice(stop, 1, 0)
-    rows = (df.withColumn("_first", F.explode_outer("cuts")).where(F.col("_first").isNotNull())
-            .withColumn("picks", F.array("_first")))
-    stop_here = _unit_test(F.col("_first.bond"), F.lit(-1))
-    if max_cuts == 1:
-        rows = rows.where(stop_here)
+
+    def left(name):
+        gone = F.aggregate("picks", F.lit(0.0), lambda s, p: s + p["part"][name] + p["lost"][name])
+        return F.col("whole")[name] - gone
+
+    early = {n: {"min": w["min"] if isinstance(w, dict) else w} for n, w in (scaffold_conditions or {}).items()
+             if n in FALLING and (not isinstance(w, dict) or "min" in w)}
+    rows = (df.withColumn("_first", F.explode_outer(F.slice("cuts", F.col("first_lo") + 1, F.col("first_n"))))
+            .where(F.col("_first").isNotNull()).withColumn("picks", F.array("_first")))
+    if early:
+        rows = rows.where(conditions.predicate(early, left))
+    stop_here = F.col("second_k") == 0
     for level in range(2, max_cuts + 1):
-        def extends(d):
+        def extends(d, i):
             later = d["bond"] > F.element_at("picks", -1)["bond"]
-            mine = _unit_test(F.col("_first.bond"), d["bond"]) if level == 2 else F.lit(True)
-            return later & mine & F.forall("picks", lambda p: disjoint(p, d))
+            mine = (i % F.col("second_of") == F.col("second_k")) if level == 2 else F.lit(True)
+            return mine & later & F.forall("picks", lambda p: disjoint(p, d))
 
         open_row = F.size("picks") == level - 1
         grown = F.transform(F.filter("cuts", extends), lambda c: F.struct(c.alias("cut")))
@@ -127,10 +143,9 @@ def enumerate_cuts(df: DataFrame, max_cuts: int, scaffold_conditions=None) -> Da
         rows = (rows.withColumn("_next", F.explode_outer(options)).where(F.col("_next").isNotNull())
                 .withColumn("picks", F.when(F.col("_next.cut").isNull(), F.col("picks"))
                             .otherwise(F.concat("picks", F.array("_next.cut")))).drop("_next"))
+        if early:
+            rows = rows.where(conditions.predicate(early, left))
     if scaffold_conditions:
-        def left(name):
-            gone = F.aggregate("picks", F.lit(0.0), lambda s, p: s + p["part"][name] + p["lost"][name])
-            return F.col("whole")[name] - gone
         rows = rows.where(conditions.predicate(scaffold_conditions, left))
     return rows.select("smiles", "picks")
 
@@ -139,9 +154,9 @@ def slice_molecules(df: DataFrame, rule_set="hr", max_cuts: int = 4, scaffold_co
                     decoration_conditions=None, contributions=None, column: str = "smiles",
                     partitions: int = None) -> DataFrame:
     """All slicings before dedup: (smiles canonical, scaffold, decorations, cuts)."""
-    parsed = graph.parse_molecules(distinct_units(df, max_cuts, column, partitions)).where(reject_reason().isNull())
+    parsed = graph.parse_molecules(distinct_texts(df, column, partitions)).where(reject_reason(contributions).isNull())
     cuts = with_cuts(parsed, rule_set, scaffold_conditions, decoration_conditions, contributions)
-    picks = enumerate_cuts(cuts, max_cuts, scaffold_conditions)
+    picks = enumerate_cuts(work_units(cuts, max_cuts, partitions=partitions), max_cuts, scaffold_conditions)
 
     def field(name):
         return F.transform("picks", lambda p: p[name])

@@ -61,10 +61,11 @@ def divergence(dist: DataFrame, at: str) -> DataFrame:
 
     Each group is normalised, and so is the average, before the logarithms.
     """
-    norm = dist.groupBy("grp").agg(F.sum("p").alias("_s"))
-    n = norm.agg(F.count(F.lit(1)).alias("_g"), F.sum("_s").alias("_all"))
-    q = dist.groupBy(at).agg(F.sum("p").alias("_q"))
-    rows = dist.join(norm, "grp").join(q, at).crossJoin(F.broadcast(n))
+    # one aggregate by place carries every group's share of it; groups are few, so a place's list is short
+    places = dist.groupBy(at).agg(F.collect_list(F.struct("grp", "p")).alias("_l"), F.sum("p").alias("_q"))
+    rows = places.select("_q", F.inline("_l"))
+    norm = rows.groupBy("grp").agg(F.sum("p").alias("_s"))
+    rows = rows.join(F.broadcast(norm), "grp").crossJoin(F.broadcast(norm.agg(F.count(F.lit(1)).alias("_g"), F.sum("_s").alias("_all"))))
     share = F.col("p") / F.col("_s")
     average = F.col("_q") / F.col("_all")
     term = F.when(share > 0, share * F.log(share / average)).otherwise(0.0)

@@ -33,8 +33,9 @@ def epoch_batches(pairs: DataFrame, vocabulary: DataFrame, epochs: int, batch_si
 def nlls(spark, pairs_path: str, model: DataFrame, output: str, order: int = 2, gzip: bool = False):
     """Append the score to every input line; further fields stay as they are."""
     scored = tokenmodel.score(readers.read_pairs(spark, pairs_path), model, order)
-    filled = scored.withColumn("rest", F.when(F.col("rest") != "", F.col("rest")))
-    writers.write_scored(filled, output, ["scaffold", "decoration", "rest"], gzip)
+    # further fields are there or not, each with its TAB
+    whole = F.concat("decoration", F.when(F.col("rest") != "", F.concat(F.lit("\t"), "rest")).otherwise(F.lit("")))
+    writers.write_scored(scored.withColumn("_fields", whole), output, ["scaffold", "_fields"], gzip)
 
 
 def samples(spark, scaffolds_path: str, model: DataFrame, output: str, with_nll: bool = False, gzip: bool = False,
@@ -48,5 +49,5 @@ def samples(spark, scaffolds_path: str, model: DataFrame, output: str, with_nll:
     if with_nll:
         writers.write_scored(drawn, output, ["scaffold", "decoration"], gzip)
     else:
-        line = F.concat_ws("\t", "scaffold", "decoration").alias("value")
+        line = writers.tab_line("scaffold", "decoration").alias("value")
         drawn.select(line).write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(output)

@@ -1,8 +1,9 @@
 """Text and table inputs."""
 
 import json
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,8 +57,10 @@ def read_conditions(spark: SparkSession, path: str) -> tuple:
 
 def read_training_sets(spark: SparkSession, folder: str) -> DataFrame:
     """(set_no, scaffold, decoration): files of a folder, numbered from 0 by name."""
-    lines = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("_file"))
-    names = lines.select("_file").distinct().withColumn("set_no", F.row_number().over(Window.orderBy("_file")) - 1)
+    text = spark.read.text(folder)
+    # the listing that the scan has made anyway; file contents are read once
+    names = sorted(unquote(f.rsplit("/", 1)[-1]) for f in text.inputFiles())
+    lines = text.select("value", (F.array_position(F.lit(names), F.col("_metadata.file_name")) - 1).cast("int").alias("set_no"))
     f = fields(F.col("value"))
-    return lines.join(F.broadcast(names), "_file").select(
+    return lines.select(
         "set_no", F.get(f, F.lit(0)).alias("scaffold"), F.get(f, F.lit(1)).alias("decoration"))

@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 from ..functions import attach
 
 
+def tab_line(*columns) -> Column:
+    """Fields joined by TAB; a NULL field is an empty one, so later fields keep their places."""
+    return F.concat_ws("\t", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in columns])
+
+
 def sliced_line() -> Column:
-    return F.concat_ws("\t", "scaffold", attach.pack_list(F.col("decorations")), "smiles")
+    return tab_line("scaffold", attach.pack_list(F.col("decorations")), "smiles")
 
 
 def scored_line(columns: list) -> Column:
     """Input fields and the score with 8 decimals; a row without a score has an empty last field."""
-    return F.concat_ws("\t", *columns, F.when(F.col("nll").isNotNull(), F.format_string("%.8f", F.col("nll"))).otherwise(F.lit("")))
+    return tab_line(*columns, F.when(F.col("nll").isNotNull(), F.format_string("%.8f", F.col("nll"))))
 
 
 def results_csv(df: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def write_sliced(df: DataFrame, parquet_path: str = None, text_path: str = None)
 
 def write_training_sets(pairs: DataFrame, path: str):
     """One folder per epoch, all epochs in one job."""
-    lines = pairs.select("epoch", F.concat_ws("\t", "scaffold", "decoration").alias("value"))
+    lines = pairs.select("epoch", tab_line("scaffold", "decoration").alias("value"))
     lines.write.mode("overwrite").partitionBy("epoch").text(path)
 
 

@@ -93,12 +93,31 @@ def test_conditions_agree_with_descriptors_of_the_parts(spark, texts):
 def test_work_units_do_not_change_the_result(spark, texts, monkeypatch):
     mols = texts("CC(C)(C)OC(=O)NCCOCCN", "CCCC", "CCCC")
     want = sorted(map(str, slice_table(mols, "hr", 4).collect()))
-    monkeypatch.setattr(slicing, "ATOMS_PER_UNIT", 5)
-    assert slicing.distinct_units(mols, 4).count() > 2
-    assert sorted(map(str, slice_table(mols, "hr", 4).collect())) == want
+    for pairs in (1, 7, 30):
+        monkeypatch.setattr(slicing, "PAIRS_PER_UNIT", pairs)
+        cuts = slicing.with_cuts(graph.parse_molecules(slicing.distinct_texts(mols)), "hr")
+        units = slicing.work_units(cuts, 4)
+        assert units.count() > 2
+        assert units.groupBy("smiles", F.size("cuts").alias("n")).count().where("count > n * n").count() == 0
+        assert sorted(map(str, slice_table(mols, "hr", 4).collect())) == want
     assert slice_table(mols, "hr", 1).count() == sum("cuts=1" in r for r in want)
 
 
+def test_very_long_lines_are_parsed_once(spark, texts):
+    chain, line = "C" * 2000, "word and " * 7000
+    rows = slicing.rejects(texts(line, chain, "C" * 60_000 + "(")).collect()
+    assert sorted(len(r["smiles"]) for r in rows) == [60_001, 63_000] and all(r["reason"] for r in rows)
+    assert slicing.slice_molecules(texts(line, "C" * 300), "hr", 1).count() == 2 * 299
+
+
+def test_falling_minima_prune_but_do_not_change_the_result(spark, texts, monkeypatch):
+    mols = texts("CC(C)(C)OC(=O)NCCOCCN")
+    wanted = {"hac": {"min": 4}, "mol_weight": {"min": 50, "max": 200}}
+    want = sorted(map(str, slice_table(mols, "hr", 4, scaffold_conditions=wanted).collect()))
+    monkeypatch.setattr(slicing, "FALLING", ())
+    assert want and sorted(map(str, slice_table(mols, "hr", 4, scaffold_conditions=wanted).collect())) == want
+
+
 def test_rejects(spark, texts):
     rows = slicing.rejects(texts("CC.C", "[*]C", "C1", "CC")).collect()
     assert {r["smiles"]: r["reason"] for r in rows} == {"CC.C": "multi_component", "[*]C": "attachment_point", "C1": "open_ring"}
