@@ -1,6 +1,8 @@
 """Substring dedup by repeated-phrase automata.
 
-1. Recurring passages.  The rolling hashes of all windows of every document are counted with
+1. Recurring passages.  Every window has a seed, the least hash of its half-length phrases; equal
+   windows have equal seeds, and a text has far fewer seeds than windows.  Seeds in documents of
+   different ids are candidates; the hashes of the windows that have such a seed are counted with
    map-side combine: a window in documents of different ids recurs, and the smallest id owns it.
    Neighbouring recurring windows of an owner make a passage.
 2. Automata.  Documents are dealt into buckets; a bucket gets the passages of the owners that its
@@ -57,43 +59,87 @@ def split(text) -> list:
     return text.encode("utf-8").split() if text else []
 
 
-def windows(df: DataFrame, id: str, text: str, window: int = WINDOW) -> DataFrame:
-    """(hash, id, pos) of every window of every text with an id."""
-    source = df.where(named(id).isNotNull()).select(named(id).alias("id"), named(text).alias("text"))
+class Windows:
+    """Hashes of a text's windows, and for each window its seed: the least hash of its half-length phrases.
 
+    Equal windows have equal seeds, and neighbouring windows mostly share theirs.
+    """
+
+    def __init__(self, window: int):
+        self.window, self.cache = window, {}
+        self.whole, self.half = Rolling(window), Rolling(window // 2)
+
+    def __call__(self, words: list) -> tuple:
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        cache = self.cache
+        if len(cache) > CACHED:
+            cache.clear()
+        values = np.array([cache.get(w) or cache.setdefault(w, xxh64_intdigest(w)) for w in words], dtype=np.uint64)
+        least, wide, width = self.half(values), 1, self.window - self.window // 2 + 1
+        while wide * 2 <= width:
+            least = np.minimum(least[:-wide], least[wide:])
+            wide *= 2
+        if wide < width:
+            least = np.minimum(least[:wide - width], least[width - wide:])
+        return self.whole(values).view(np.int64), least.view(np.int64)
+
+
+def _emit(source: DataFrame, window: int, columns: str, of) -> DataFrame:
+    """mapInArrow over (id, text, ...): of(windows, words, other columns' values) -> arrays of equal length."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
-        roll, cache = Rolling(window), {}
+        make = Windows(window)
+        names = [c.split(" ")[0] for c in columns.split(", ")]
 
-        def rows(ids, hashes, at):
-            sizes = [len(h) for h in hashes]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(hashes)), ids.take(pa.array(np.repeat(at, sizes))),
-                 pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))], ["hash", "id", "pos"])
+        def rows(ids, found, at):
+            sizes = [len(f[0]) for f in found]
+            parts = [pa.array(np.concatenate(x)) for x in zip(*found)]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(at, sizes))), *parts], ["id", *names])
 
         for batch in batches:
-            hashes, at, held = [], [], 0
+            found, at, held = [], [], 0
+            others = [c.to_pylist() for c in batch.columns[2:]]
             for row, text in enumerate(batch.column(1).to_pylist()):
                 words = split(text)
                 if len(words) < window:
                     continue
-                if len(cache) > CACHED:
-                    cache.clear()
-                values = [cache.get(w) or cache.setdefault(w, xxh64_intdigest(w)) for w in words]
-                hashes.append(roll(np.array(values, dtype=np.uint64)).view(np.int64))
+                found.append(of(make, words, *[c[row] for c in others]))
                 at.append(row)
-                held += len(hashes[-1])
+                held += len(found[-1][0])
                 if held >= ROWS:
-                    yield rows(batch.column(0), hashes, at)
-                    hashes, at, held = [], [], 0
+                    yield rows(batch.column(0), found, at)
+                    found, at, held = [], [], 0
             if at:
-                yield rows(batch.column(0), hashes, at)
+                yield rows(batch.column(0), found, at)
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"hash bigint, id {kind}, pos int")
+    return source.mapInArrow(run, f"id {kind}, {columns}")
+
+
+def seeds(source: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(id, seed): the different seeds of every text's windows, about one for each quarter of a window."""
+    def of(make, words):
+        import numpy as np
+
+        return (np.unique(make(words)[1]),)
+
+    return _emit(source.where(F.col("id").isNotNull()), window, "seed bigint", of)
+
+
+def windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(id, hash, pos) of the windows whose seed is among the row's `seeds`; source: (id, text, seeds)."""
+    def of(make, words, wanted):
+        import numpy as np
+
+        hashes, own = make(words)
+        at = np.flatnonzero(np.isin(own, np.array(wanted, dtype=np.int64)))
+        return hashes[at], at.astype(np.int32)
+
+    return _emit(source.select("id", "text", "seeds"), window, "hash bigint, pos int", of)
 
 
 def _passages(window):
@@ -214,7 +260,12 @@ def repeated(df: DataFrame, id: str = "doc_id", text: str = "text", window: int
     """
     spark = df.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialise(windows(df, id, text, window))
+    texts = df.select(named(id).alias("id"), named(text).alias("text"))
+    own = materialise(seeds(texts, window))
+    shared = own.groupBy("seed").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where(F.col("_a") < F.col("_b")).select("seed")
+    marked = own.join(shared, "seed").groupBy("id").agg(F.collect_set("seed").alias("seeds"))
+    near = materialise(texts.join(marked, "id"))
+    found = materialise(windows(near, window))
     recurring = materialise(found.groupBy("hash").agg(F.min("id").alias("owner"), F.min_by("pos", "id").alias("at"), F.max("id").alias("last"))
                             .where(F.col("owner") < F.col("last")).drop("last"))
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
@@ -224,8 +275,7 @@ def repeated(df: DataFrame, id: str = "doc_id", text: str = "text", window: int
     goals = routes.select("owner", bucket.alias("b")).distinct().groupBy("owner").agg(F.collect_set("b").alias("buckets"))
     owners = places.join(goals, "owner").withColumnRenamed("owner", "id")
     wanted = routes.select("id").distinct().withColumn("listed", F.lit(True)).join(owners, "id", "full")
-    texts = df.select(named(id).alias("id"), named(text).alias("text"))
-    chosen = materialise(texts.join(wanted, "id"))
+    chosen = materialise(near.select("id", "text").join(wanted, "id"))
     given = add_columns(chosen.where(F.col("buckets").isNotNull()), ["text", "positions"], [("passages", "array<string>")],
                         lambda: _passages(window), keep=["id", "buckets"])
     given = given.select(F.explode("buckets").alias("bucket"), F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("text"), "passages")
