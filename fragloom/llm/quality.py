@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import materialise
-from .rows import named
+from .rows import kept_columns, named
 
 SPACE, SYMBOLS = r"[ \x09-\x0D]+", "#*$%&|<>"
 RULES = ["symbols", "dup_lines", "repeats", "capitals", "exclaim"]
@@ -59,17 +59,14 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     def count(characters):
         return F.length("_t") - F.length(F.translate("_t", characters, ""))
 
-    out = out.withColumns({
-        "n_words": F.col("_n").cast("bigint"), "word_chars": chars.cast("bigint"), "n_symbols": count(SYMBOLS).cast("bigint"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("bigint"),
-        "_upper": chars - F.length(F.regexp_replace(F.translate("_t", " \t\n\x0b\f\r", ""), r"\p{Lu}+", "")), "_loud": count("!"),
-        "_n_lines": F.size("_lines")})
-    bins = F.array(_share(F.col("n_symbols"), F.col("word_chars")), _share(F.col("n_dup_lines"), F.col("_n_lines")),
-                   _share(F.col("n_repeat_words"), F.col("n_words")), _share(F.col("_upper"), F.col("word_chars")),
-                   _share(F.col("_loud"), F.col("n_words")))
-    return out.withColumn("rule_bins", bins).drop(
-        "_t", "_words", "_lines", "_n", "_hashes", "_sorted", "_trio", "_at", "_upper", "_loud", "_n_lines")
+    upper = chars - F.length(F.regexp_replace(F.translate("_t", " \t\n\x0b\f\r", ""), r"\p{Lu}+", ""))
+    counts = {"n_words": F.col("_n"), "word_chars": chars, "n_symbols": count(SYMBOLS),
+              "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")), "n_repeat_words": F.coalesce(covered, F.lit(0))}
+    scores = [_share(counts["n_symbols"], chars), _share(counts["n_dup_lines"], F.size("_lines")), _share(counts["n_repeat_words"], F.col("_n")),
+              _share(upper, chars), _share(count("!"), F.col("_n"))]
+    # one generated row: the optimizer would copy what these are made of into a filter on the result
+    made = F.inline(F.array(F.struct(*[v.cast("bigint").alias(k) for k, v in counts.items()], F.array(*scores).alias("rule_bins"))))
+    return out.select(*[named(c) for c in kept_columns(df, [*COUNTS, "rule_bins"])], made)
 
 
 def base_failed() -> Column:
