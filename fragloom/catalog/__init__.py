@@ -1,4 +1,4 @@
 """Registered queries over the given tables, each with its oracle where SQL can say it."""
 
-from . import model, molecules, statistics, text, vocabulary  # noqa: F401
+from . import files, model, molecules, statistics, text, vocabulary  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
