@@ -19,6 +19,8 @@ from .lineage import materialise
 
 # A model is sent to the sampling tasks whole only up to this many (context, token) rows.
 BROADCAST_ROWS = 500_000
+#: Numbers of the dense table that goes to the tasks (eight bytes each, two tables).
+TABLE_CELLS = 16_000_000
 
 
 def token_events(df: DataFrame, order: int) -> DataFrame:
@@ -117,16 +119,24 @@ def draw_rows(scaffolds: DataFrame, n: int, seed: int, key: list) -> DataFrame:
 def sampler(model: DataFrame, order: int = 2, max_len: int = 256):
     """Prepare a model once; returns a function that adds `decoration` and `nll` to draw rows.
 
-    A small model goes to the tasks whole; a larger one is joined step by step.
+    A model goes to the tasks whole if its rows, its table of contexts by tokens and its context
+    codes are small enough; otherwise it is joined step by step.  Both ways give the same draws.
     """
     few = model.select("context", "token", "n", "alpha").limit(BROADCAST_ROWS + 1).toPandas()
-    if len(few) <= BROADCAST_ROWS:
+    if len(few) <= BROADCAST_ROWS and _fits(few, order):
         shared = model.sparkSession.sparkContext.broadcast(_Table(few, order))
         return lambda rows: _sample_with_table(rows, shared, max_len)
     contexts, scalars = materialise(_by_context(model)), materialise(_alphabet(model))
     return lambda rows: _sample_by_joins(rows, contexts, scalars, order, max_len)
 
 
+def _fits(few: pd.DataFrame, order: int) -> bool:
+    """Is the dense table within TABLE_CELLS numbers, and every context's code within 63 bits?"""
+    contexts, n_tokens = {tuple(c) for c in few["context"]}, few["token"].nunique()
+    near = len({c[-1] for c in contexts})
+    return len(contexts) * n_tokens <= TABLE_CELLS and (near + 1) * (n_tokens + 1) ** order < 1 << 62
+
+
 def sample(scaffolds: DataFrame, model: DataFrame, n: int = 1, order: int = 2, max_len: int = 256, seed: int = 0,
            key: list = ("scaffold",)) -> DataFrame:
     """n decorations per scaffold row: adds `draw`, `decoration` and `nll`.
@@ -184,10 +194,10 @@ class _Table:
         near = np.array([near_id.get(t, -1) for t in near], dtype=np.int64)
         history = np.full((len(near), self.order), self.id[tokens.BEGIN], dtype=np.int64)
         state, nll = state.astype(np.int64), np.zeros(len(near))
-        parts = [[] for _ in near]
+        picks = np.full((len(near), max(max_len - 1, 0)), -1, dtype=np.int32)
         ranks = self.alpha * np.arange(1, n_tokens + 1)
         active = np.arange(len(near))
-        for _ in range(max_len - 1):
+        for step in range(max_len - 1):
             if not len(active):
                 break
             state[active] = state[active] * draws.LEHMER_A % draws.LEHMER_M
@@ -199,12 +209,12 @@ class _Table:
             pick = (cumulative <= (state[active] / draws.LEHMER_M)[:, None]).sum(1).clip(max=n_tokens - 1)
             count = self.running[at, pick] - np.where(pick > 0, self.running[at, pick - 1], 0)
             nll[active] -= np.log((count + self.alpha) / total)
-            for row, token in zip(active, pick):
-                parts[row].append(self.tokens[token])
+            picks[active, step] = pick
             history[active] = np.column_stack([history[active][:, 1:], pick]) if self.order else history[active]
             active = active[np.array([self.tokens[t] != tokens.END for t in pick], dtype=bool)]
-        texts = ["".join(p[:-1] if p and p[-1] == tokens.END else p) for p in parts]
-        return texts, nll
+        spelled = ["" if t == tokens.END else t for t in self.tokens]
+        lengths = (picks >= 0).sum(1)
+        return ["".join(map(spelled.__getitem__, p[:n].tolist())) for p, n in zip(picks, lengths)], nll
 
 
 def _sample_by_joins(rows: DataFrame, contexts: DataFrame, scalars: DataFrame, order: int, max_len: int,
@@ -217,7 +227,7 @@ def _sample_by_joins(rows: DataFrame, contexts: DataFrame, scalars: DataFrame, o
     kept = [c for c in rows.columns if c not in ("near", "_state")]
     active = rows.withColumns({"_history": F.array_repeat(F.lit(tokens.BEGIN), order),
                                "_tokens": F.array().cast("array<string>"), "nll": F.lit(0.0)})
-    done = []
+    done = [active.limit(0)] if max_len > 1 else [active]
     for step in range(1, max_len):
         active = _step(active, contexts, scalars, order)
         if step % steps_per_table == 0 or step == max_len - 1:

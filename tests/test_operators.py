@@ -219,6 +219,23 @@ def test_score_by_hand_and_oov(spark, model):
         assert r["nll"] is None if r["oov"] else math.isclose(r["nll"], want)
 
 
+def test_both_ways_of_sampling_agree_at_the_edges(spark, model, monkeypatch):
+    rows = spark.createDataFrame([("[*]c1ccccc1", i) for i in range(12)], "scaffold string, copy int")
+    for max_len in (1, 2, 9):
+        whole = sorted(map(str, tokenmodel.sample(rows, model, 2, max_len=max_len, key=["scaffold", "copy"]).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(tokenmodel, "TABLE_CELLS", 0)
+            joined = sorted(map(str, tokenmodel.sample(rows, model, 2, max_len=max_len, key=["scaffold", "copy"]).collect()))
+        assert [r[:60] for r in whole] == [r[:60] for r in joined] and len(whole) == 24
+
+
+def test_long_contexts_are_joined(spark):
+    pairs = spark.createDataFrame([("[*]c1ccccc1", "[*]CCNCCO"), ("N[*]", "[*]CN")] * 3, "scaffold string, decoration string")
+    deep = tokenmodel.fit(pairs, order=40, alpha=0.01)
+    assert not tokenmodel._fits(deep.select("context", "token", "n", "alpha").toPandas(), 40)
+    assert tokenmodel.sample(pairs.select("scaffold").distinct(), deep, 1, order=40, max_len=3).count() == 2
+
+
 def test_vocabulary_limits_scores(spark, model):
     rows = spark.createDataFrame([("[*]c1ccccc1", "[*]C"), ("[*]S", "[*]C")], "scaffold string, decoration string")
     v = vocab.build(rows.limit(1), {"scaffold": "scaffold", "decoration": "decoration"})
