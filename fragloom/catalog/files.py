@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import attach, rules
-from ..operators import graph, slicing, vocab
+from ..operators import graph, slicing, stats, tokenmodel, vocab
 from ..operators.lineage import new_path
 from ..operators.spread import spread
 from ..sources import readers, writers
@@ -129,3 +129,28 @@ def vocab_add_rows(spark, sf):
     listed = fresh.groupBy("side").agg(F.array_sort(F.collect_set("token")).alias("l"))
     rows = listed.select("side", F.posexplode("l").alias("_p", "token")).select("side", "token", (F.col("_p") + 100001).cast("bigint").alias("id"))
     return vocab.add_rows(words, rows)
+
+
+@query("appended_metrics", "WITH " + fx.sql("fx_nll") + """
+    SELECT CAST(r AS INT) AS run, grp, round(avg(nll), 6) AS mean_nll, round(var_pop(nll), 6) AS var_nll FROM fx_nll, range(1, 3) x(r) GROUP BY ALL""")
+def appended_metrics(spark, sf):
+    """The metrics of two runs, added to one folder."""
+    path = new_path(spark, "metrics")
+    for run in (1, 2):
+        writers.append_metrics(stats.moments(fx.view(spark, sf, "fx_nll")).withColumn("run", F.lit(run)), path)
+    return spark.read.parquet(path).select("run", "grp", F.round("mean_nll", 6).alias("mean_nll"), F.round("var_nll", 6).alias("var_nll"))
+
+
+def _by_length():
+    """Stands for a loaded network: a batch function over its inputs."""
+    def predict(scaffold, decoration):
+        import numpy as np
+
+        return np.array([len(s) + 2.0 * len(d) for s, d in zip(scaffold, decoration)])
+    return predict
+
+
+@query("scored_with_function", "WITH " + fx.sql("fx_pair") + " SELECT pair_id, CAST(length(scaffold) + 2 * length(decoration) AS DOUBLE) AS nll FROM fx_pair")
+def scored_with_function(spark, sf):
+    rows = fx.view(spark, sf, "fx_pair")
+    return tokenmodel.score_with(rows, _by_length, ["scaffold", "decoration"]).select("pair_id", "nll")
