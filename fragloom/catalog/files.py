@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import attach, rules
-from ..operators import graph, slicing, stats, tokenmodel, vocab
+from ..operators import graph, randomize, slicing, stats, tokenmodel, vocab
 from ..operators.lineage import new_path
 from ..operators.spread import spread
 from ..sources import readers, writers
@@ -154,3 +154,12 @@ def _by_length():
 def scored_with_function(spark, sf):
     rows = fx.view(spark, sf, "fx_pair")
     return tokenmodel.score_with(rows, _by_length, ["scaffold", "decoration"]).select("pair_id", "nll")
+
+
+@query("training_rejects", "WITH " + fx.sql("fx_pair") + """
+    SELECT * FROM (SELECT pair_id, CASE WHEN scaffold NOT LIKE '%[*:%' THEN 'no_numbered_point' WHEN scaffold LIKE '%[*:2]%' THEN 'point_without_decoration'
+        WHEN decoration = '[*]C(' THEN 'unreadable_decoration' END AS reason FROM fx_pair) WHERE reason IS NOT NULL""")
+def training_rejects(spark, sf):
+    """Slicings of two decorations; some scaffolds have three points or none, some decorations do not parse."""
+    rows = fx.view(spark, sf, "fx_pair").select("pair_id", "scaffold", F.array("decoration", F.lit("[*]C")).alias("decorations"))
+    return randomize.rejects(rows).select("pair_id", "reason")

@@ -44,3 +44,15 @@ def training_pairs(sliced: DataFrame, epochs: int = 1, kind: str = "multi", seed
     return rows.where(F.size("_texts") > 0).select(
         "epoch", attach.remove_numbers(F.col("_spelled")).alias("scaffold"),
         attach.remove_numbers(attach.pack_single(F.col("_texts"))).alias("decoration"))
+
+
+def rejects(sliced: DataFrame) -> DataFrame:
+    """The slicings of which `training_pairs` makes no pair of every point, each with its reason."""
+    points = attach.points(F.col("scaffold"))
+    parsed = graph.parse_molecules(spread(sliced), "scaffold").drop("graph")
+    parsed = parsed.withColumn("_clean", graph.clean_all(F.col("decorations")))
+    found = (F.when(F.col("reason").isNotNull(), F.lit("unreadable_scaffold"))
+             .when(F.size(points) == 0, F.lit("no_numbered_point"))
+             .when(F.exists(points, lambda p: F.get(F.col("decorations"), p).isNull()), F.lit("point_without_decoration"))
+             .when(F.col("_clean").isNull() | F.exists("_clean", lambda t: t.isNull()), F.lit("unreadable_decoration")))
+    return parsed.withColumn("reason", found).where(F.col("reason").isNotNull()).drop("_clean")
