@@ -65,3 +65,36 @@ PHRASES = f"""WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
         lambda x: CASE WHEN list_contains(l, x) THEN 1 END)]), lambda z: NOT z[3]), lambda z: z[1]) END AS k
     FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id)
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(l), 0)::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
+
+_SPACELESS = r"regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')"
+_SCORES = ["n_symbols / greatest(word_chars, 1)", "n_dup_lines / greatest(n_lines, 1)", "n_repeat_words / greatest(n_words, 1)",
+           "n_upper / greatest(word_chars, 1)", "n_loud / greatest(n_words, 1)"]
+#: Risk 0.02 shared by five rules; 1 - 0.95 confidence shared by rules and strata.
+_P = 0.02 / 5
+
+QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+  places AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+  twice AS (SELECT r, s FROM places GROUP BY r, s HAVING count(*) > 1),
+  covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM places JOIN twice USING (r, s)) GROUP BY r),
+  m AS (SELECT d.r, doc_id, stratum, len(w)::BIGINT AS n_words, length({_SPACELESS})::BIGINT AS word_chars,
+        (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+        coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+        length({_SPACELESS}) - length(regexp_replace({_SPACELESS}, '\p{{Lu}}+', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_loud
+        FROM d JOIN w ON d.r = w.r LEFT JOIN covered ON d.r = covered.r),
+  f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        [{", ".join(f"least(floor(100 * {s}), 100)::INT" for s in _SCORES)}] AS bins FROM m),
+  known AS (SELECT stratum, bins, quality > 0 AS good FROM f JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+  bars AS (SELECT stratum, rule, bins[rule] AS bin, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad
+           FROM known, range(1, 6) x(rule) GROUP BY ALL),
+  sums AS (SELECT stratum, rule, bin, sum(good) OVER whole AS n, sum(good) OVER down AS k, sum(bad) OVER down AS caught FROM bars
+           WINDOW whole AS (PARTITION BY stratum, rule), down AS (PARTITION BY stratum, rule ORDER BY bin DESC)),
+  tails AS (SELECT *, CASE WHEN bin > 0 AND k <= {_P} * n THEN list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+              + i * ln({_P}) + (n - i) * ln(1 - {_P})) FOR i IN range(0, k::BIGINT + 1)]) ELSE 1 END AS tail FROM sums),
+  safe AS (SELECT *, min(CASE WHEN tail <= 0.05 / (5 * greatest(1, (SELECT count(DISTINCT stratum) FROM known WHERE good))) THEN 1 ELSE 0 END)
+             OVER (PARTITION BY stratum, rule ORDER BY bin DESC) AS ok FROM tails),
+  cuts AS (SELECT stratum, rule, arg_max(bin, caught * 1000 + bin) AS cut FROM safe WHERE ok = 1 AND caught > 0 GROUP BY ALL),
+  fails AS (SELECT DISTINCT r FROM f JOIN cuts USING (stratum) WHERE bins[rule] >= cut)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+         NOT base_failed AND r NOT IN (SELECT r FROM fails) AS kept FROM f"""

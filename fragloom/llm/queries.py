@@ -93,7 +93,7 @@ def benchmark_decontamination(spark, sf_dir):
                        "longest_match")
 
 
-@query("op7_quality_rules")
+@query("op7_quality_rules", oracles.QUALITY)
 def quality_rules(spark, sf_dir):
     return quality.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
