@@ -37,13 +37,17 @@ def rendezvous_sharding(spark, sf_dir):
 def warc_round_trip(spark, sf_dir):
     path = new_path(spark, "warc")
     warc.archive(table(spark, sf_dir, "pages"), path)
-    back = warc.read(spark, path, [c.split(" ")[0] for c in warc.SCHEMA.split(", ")])
-    id = F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1)
-    return back.select(
-        id.try_cast("bigint").alias("page_id"),
-        F.when(F.col("record_type") == "response", F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("bigint").alias("payload_bytes"),
-        F.when(F.col("record_type") == "response", warc.base32(F.upper(F.sha1("payload")))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1).try_cast("bigint").alias("refers_to"))
+    heads = ["record_id", "record_type", "refers_to", "payload_digest", "payload_bytes"]
+    full = warc.read(spark, path, [*heads, "payload"]).where("record_type = 'response'")  # both filters reach the reader
+    again = warc.read(spark, path, heads).where("record_type = 'revisit'")  # no block is inflated
+
+    def number(urn):
+        return F.regexp_extract(urn, r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
+
+    sized = F.octet_length("payload").cast("bigint").alias("payload_bytes")
+    found = full.select("record_id", "record_type", "refers_to", warc.base32(F.upper(F.sha1("payload"))).alias("payload_digest"), sized)
+    return found.unionByName(again).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 #: Grades of the classifier: 0 low quality, 1 fair text that is toxic, 2 good.  Kept: P(grade >= 2) at least this.
