@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fragloom.llm import decontaminate, quality, secret_scan, simhash
 from fragloom.llm.queries import RANKS, bpe_digests, table
-from fragloom.operators.lineage import materialise
+from fragloom.operators.lineage import materialise, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +42,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES):
+        following = materialise(stage(spark, docs, sf_dir))
+        if i:  # the table between two stages has had its reader
+            remove(docs)
+        docs = following
     return docs
