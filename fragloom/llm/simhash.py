@@ -160,14 +160,14 @@ def links(prints: DataFrame, near: int = NEAR) -> DataFrame:
 
 
 def _labelled(df: DataFrame, id: str, text: str, shingle: int, near: int) -> DataFrame:
-    """(_id, _hash of the text, fingerprint, component_id), one row for each row."""
+    """(_id, _hash of the text, fingerprint, root, component_id), one row for each row; root: the component's least fingerprint."""
     source = df.select(named(id).alias("_id"), F.xxhash64(named(text)).alias("_hash"), named(text).alias("_text"))
     docs = materialise(fingerprints(source, "_text", shingle, ["_id", "_hash"]))
     merged = docs.groupBy("fingerprint").agg(F.min("_id").alias("_first"))
     joined = components(links(merged, near)).withColumnRenamed("node", "fingerprint")
     rooted = merged.join(joined, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    labels = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
+    labels = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "root", "component_id")
     return docs.join(labels, "fingerprint")
 
 
@@ -184,15 +184,18 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
 def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """The input's columns, one row of each component: the one with the component's smallest id.
 
-    Where rows repeat that id, the one with the smallest text hash stays.  A component without
-    any id is named by a null id, and one of the rows without id stays for all such components.
+    Where rows of the component repeat that id, the one with the smallest text hash stays.  In a
+    component without any id all rows count as repeating the null id.  Components are told apart
+    by their root, so ids that several components repeat, or lack, cost none of them its row.
     """
     found = _labelled(df, id, text, shingle, near)
-    first = (found.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n"))
-             .groupBy("_id").agg(F.min_by(F.struct("_hash", "_n"), "_hash").alias("_f"))
-             .select("_id", "_f._hash", "_f._n"))
+    first = (found.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("root", "_id", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+             .groupBy("root").agg(F.min_by(F.struct("_id", "_hash", "_n"), "_hash").alias("_f"))
+             .select("_f._id", "_f._hash", "_f._n"))
+    digest = "_".join(["_digest", *df.columns])  # a name that no column has
 
     def chosen(rows):
         return df.join(rows, named(id).eqNullSafe(F.col("_id")) & (F.xxhash64(named(text)) == F.col("_hash")), "left_semi")
 
-    return chosen(first.where("_n = 1")).unionByName(chosen(first.where("_n > 1")).dropDuplicates([id]))
+    copies = chosen(first.where("_n > 1")).withColumn(digest, F.xxhash64(named(text))).dropDuplicates([id, digest]).drop(digest)
+    return chosen(first.where("_n = 1")).unionByName(copies)

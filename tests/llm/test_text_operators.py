@@ -151,6 +151,20 @@ def test_keep_first_keeps_one_row_of_each_group(spark):
     assert simhash.near_duplicates(rows(spark, [])).count() == 0
 
 
+def test_keep_first_keeps_one_row_of_each_component_whatever_the_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = [" ".join(f"{w}{rng.randrange(10_000)}" for _ in range(300)) for w in "abcd"]
+    near = b.replace(b.split()[150], "changed")
+    assert 0 < bin(brute_fingerprint(b) ^ brute_fingerprint(near)).count("1") <= 3
+    rows = [(None, a), (None, b), (None, b), (None, c), (None, c), (5, d), (5, d), (5, "x y z"), (6, "x y z"), (None, d), (None, near)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_digest", F.lit(1))
+    out = simhash.keep_first(df)
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == df.columns and len(kept) == 5 and set(kept) - {(None, b), (None, near)} == {(None, a), (None, c), (5, d), (5, "x y z")}
+    one = spark.createDataFrame([(5, a), (5, b), (6, near)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_first(one).collect()) == [(5, a), (5, b)]
+
+
 # ---- decontamination ----
 
 def lower_words(text):
