@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +293,46 @@ def test_redaction_replaces_spans_only(spark):
     assert [r["text"] for r in out.orderBy("doc_id").collect()] == ["a [SECRET] b", None, "", "plain", "[SECRET]'"]
 
 
+def test_decoys_come_from_the_whole_text_and_score_as_candidates():
+    rng = random.Random(13)
+    for size in (16, 32, 64):
+        for n in secret_scan.BANDS:
+            codes = [[rng.randrange(rng.choice([1, 2, size])) for _ in range(n)] for _ in range(20)] + [[0] * n, [0, size - 1] * (n // 2)]
+            for got, c in zip(secret_scan.batteries(np.array(codes, dtype=np.uint8), size), codes):
+                assert abs(got - secret_scan.score(secret_scan.battery(c, size))) <= 1
+    texts = [None, "", "too short", "plain words " * 2, "some plain words " * 1000, "x" * 5000]
+    out = secret_scan.decoys(texts)
+    per_band = [sorted(c // (secret_scan.GRID + 1) for c in bins) for bins in out]
+    assert per_band[:3] == [[], [], []] and per_band[5] == [] and per_band[3] == [0, 1, 7, 8, 14, 15]
+    letters = 14 * 1000
+    want = [(k * 7 + at, 1 + (letters - b) // secret_scan.STEP) for k in range(3) for at, b in enumerate(secret_scan.BANDS)]
+    assert [(c, per_band[4].count(c)) for c, _ in want] == want and len(per_band[4]) == sum(n for _, n in want)
+
+
+def test_copies_do_not_take_over_the_null_distribution(spark):
+    rng = random.Random(14)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = "some ordinary words make up these sentences and nothing here is secret at all".split()
+    texts = [" ".join(rng.choice(words) for _ in range(120)) + " " + "".join(rng.choice(letters) for _ in range(40)) for _ in range(300)]
+    # short words whose letters look like random symbols: decoys of these score like secrets
+    while True:
+        odd = " ".join("".join(rng.choice(letters[:52]) for _ in range(8)) for _ in range(200))
+        seed = zlib.crc32(odd.encode())
+        place = seed % len(odd)
+        if (seed // 7 + 2) % 7 == secret_scan.band(40) and 0 < place < len(odd) - 50 and odd[place - 1] == " ":
+            if secret_scan.token_score(odd[place:].replace(" ", "")[:40], 2) >= 197:
+                break  # one stretch a text, its place and band drawn by the checksum, would be this decoy
+    plain = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(600)]
+
+    def spans(texts):
+        out = secret_scan.scan(rows(spark, texts, False), keep=["doc_id", "text"]).collect()
+        return {r["text"]: [tuple(s) for s in r["secrets"]] for r in out}
+
+    once, often = spans(texts + plain), spans(texts + plain + [odd] * 450)
+    assert sum(bool(once[t]) for t in texts) >= 270 and sum(bool(often[t]) for t in texts) >= 270
+    assert spans(texts + plain + [odd]) == often
+
+
 # ---- HTML ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
