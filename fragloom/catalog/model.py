@@ -114,6 +114,14 @@ def sampled_decorations(spark, sf):
     return drawn.select("scaffold_id", "draw", "decoration", F.round("nll", 6).alias("nll"))
 
 
+@query("sampled_decorations_whole", "WITH RECURSIVE " + SAMPLED.replace("p.step < 39", "p.step < 255") + """
+    SELECT scaffold_id, draw, decoration, round(nll, 6) AS nll, h2 = '$' AS finished FROM path WHERE h2 = '$' OR step = 255""")
+def sampled_decorations_whole(spark, sf):
+    """The same draws at the default length, each marked as ended or cut off."""
+    drawn = tokenmodel.sample(fx.view(spark, sf, "fx_scaffold"), _model(spark, sf), 3, seed=5, key=["scaffold_id"])
+    return drawn.select("scaffold_id", "draw", "decoration", F.round("nll", 6).alias("nll"), "finished")
+
+
 @query("quality_metrics")
 def quality_metrics(spark, sf):
     """Statistics of one epoch; training and validation rows are both drawn from fx_train."""

@@ -362,7 +362,7 @@ def _grown(spark, sf, kind):
     if kind == "single":
         train = train.withColumn("decoration", F.concat_ws("|", "decoration", F.lit("[*]C")))
     scaffolds = fx.view(spark, sf, "fx_open").select("smiles")
-    rows = loop.decorate(scaffolds, tokenmodel.fit(train, alpha=0.001), kind, r=2, n=2, max_randomized=50, max_len=40, seed=11)
+    rows = loop.decorate(scaffolds, tokenmodel.fit(train, alpha=0.001), kind, r=2, n=2, seed=11)
     return writers.results_csv(rows)
 
 

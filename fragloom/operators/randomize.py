@@ -16,12 +16,14 @@ def randomized(df: DataFrame, column: str, count: int, attempts: int = 10000, re
                seed: int = 0, name: str = "randomized") -> DataFrame:
     """One row per random spelling of `column`: at most `count`, distinct unless `repeats`.
 
-    `variant_no` numbers the spellings of one text.  Unreadable texts give no row.
+    `variant_no` numbers the spellings of one text, and `n_found` is how many it has: less than `count`
+    where `attempts` draws found no more.  Unreadable texts give no row.
     """
     variants = graph.random_variants(
         F.col(column), _seed(seed, F.col(column)), F.lit(count), F.lit(attempts), F.lit(repeats))
     return (df.withColumn("_variants", variants)
-            .select(*df.columns, F.posexplode_outer("_variants").alias("variant_no", name))
+            .select(*[c for c in df.columns if c != "n_found"], F.size("_variants").alias("n_found"),
+                    F.posexplode_outer("_variants").alias("variant_no", name))
             .where(F.col(name).isNotNull()))
 
 

@@ -117,7 +117,7 @@ def draw_rows(scaffolds: DataFrame, n: int, seed: int, key: list) -> DataFrame:
 
 
 def sampler(model: DataFrame, order: int = 2, max_len: int = 256):
-    """Prepare a model once; returns a function that adds `decoration` and `nll` to draw rows.
+    """Prepare a model once; returns a function that adds `decoration`, `nll` and `finished` to draw rows.
 
     A model goes to the tasks whole if its rows, its table of contexts by tokens and its context
     codes are small enough; otherwise it is joined step by step.  Both ways give the same draws.
@@ -139,10 +139,11 @@ def _fits(few: pd.DataFrame, order: int) -> bool:
 
 def sample(scaffolds: DataFrame, model: DataFrame, n: int = 1, order: int = 2, max_len: int = 256, seed: int = 0,
            key: list = ("scaffold",)) -> DataFrame:
-    """n decorations per scaffold row: adds `draw`, `decoration` and `nll`.
+    """n decorations per scaffold row: adds `draw`, `decoration`, `nll` and `finished`.
 
     Each step takes the first token, in token order, whose running probability exceeds the
     row's next draw; a decoration ends at the end token or after max_len - 1 steps.
+    finished: the last pick is the end token; where it is false the decoration was cut off.
     """
     return sampler(model, order, max_len)(draw_rows(scaffolds, n, seed, list(key)))
 
@@ -150,17 +151,17 @@ def sample(scaffolds: DataFrame, model: DataFrame, n: int = 1, order: int = 2, m
 def _sample_with_table(rows: DataFrame, shared, max_len: int) -> DataFrame:
     """Sampling with the (size-checked) model table in every task."""
     schema = T.StructType([f for f in rows.schema.fields if f.name not in ("near", "_state")] + [
-        T.StructField("decoration", T.StringType()), T.StructField("nll", T.DoubleType())])
-    hidden = rows.select(*[f.name for f in schema.fields[:-2]], "near", "_state")
-    kept = [f.name for f in schema.fields[:-2]]
+        T.StructField("decoration", T.StringType()), T.StructField("nll", T.DoubleType()), T.StructField("finished", T.BooleanType())])
+    hidden = rows.select(*[f.name for f in schema.fields[:-3]], "near", "_state")
+    kept = [f.name for f in schema.fields[:-3]]
 
     def run(batches):
         for batch in batches:
             near, state = batch.column("near").to_pylist(), batch.column("_state").to_numpy()
-            texts, nlls = shared.value.walk(near, state, max_len)
+            texts, nlls, finished = shared.value.walk(near, state, max_len)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array(nlls, pa.float64())],
-                names=[*kept, "decoration", "nll"])
+                [*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array(nlls, pa.float64()),
+                 pa.array(finished, pa.bool_())], names=[*kept, "decoration", "nll", "finished"])
 
     return hidden.mapInArrow(run, schema)
 
@@ -196,7 +197,7 @@ class _Table:
         state, nll = state.astype(np.int64), np.zeros(len(near))
         picks = np.full((len(near), max(max_len - 1, 0)), -1, dtype=np.int32)
         ranks = self.alpha * np.arange(1, n_tokens + 1)
-        active = np.arange(len(near))
+        active, finished = np.arange(len(near)), np.ones(len(near), dtype=bool)
         for step in range(max_len - 1):
             if not len(active):
                 break
@@ -212,9 +213,10 @@ class _Table:
             picks[active, step] = pick
             history[active] = np.column_stack([history[active][:, 1:], pick]) if self.order else history[active]
             active = active[np.array([self.tokens[t] != tokens.END for t in pick], dtype=bool)]
+        finished[active] = False
         spelled = ["" if t == tokens.END else t for t in self.tokens]
         lengths = (picks >= 0).sum(1)
-        return ["".join(map(spelled.__getitem__, p[:n].tolist())) for p, n in zip(picks, lengths)], nll
+        return ["".join(map(spelled.__getitem__, p[:n].tolist())) for p, n in zip(picks, lengths)], nll, finished
 
 
 def _sample_by_joins(rows: DataFrame, contexts: DataFrame, scalars: DataFrame, order: int, max_len: int,
@@ -238,7 +240,8 @@ def _sample_by_joins(rows: DataFrame, contexts: DataFrame, scalars: DataFrame, o
             if active.isEmpty():
                 break
     result = reduce(lambda a, b: a.unionByName(b), done)
-    return result.select(*kept, F.array_join(F.filter("_tokens", lambda t: t != tokens.END), "").alias("decoration"), "nll")
+    return result.select(*kept, F.array_join(F.filter("_tokens", lambda t: t != tokens.END), "").alias("decoration"), "nll",
+                         (F.coalesce(F.try_element_at("_tokens", F.lit(-1)), F.lit("")) == tokens.END).alias("finished"))
 
 
 def _step(active: DataFrame, contexts: DataFrame, scalars: DataFrame, order: int) -> DataFrame:

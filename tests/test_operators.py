@@ -229,6 +229,21 @@ def test_both_ways_of_sampling_agree_at_the_edges(spark, model, monkeypatch):
         assert [r[:60] for r in whole] == [r[:60] for r in joined] and len(whole) == 24
 
 
+def test_draws_tell_whether_they_ended_and_variants_how_many_there_are(spark, model, monkeypatch):
+    rows = spark.createDataFrame([("[*]c1ccccc1", i) for i in range(60)], "scaffold string, copy int")
+    whole = {(r["copy"]): r["decoration"] for r in tokenmodel.sample(rows, model, 1, key=["copy"]).collect() if r["finished"]}
+    for cells in (tokenmodel.TABLE_CELLS, 0):
+        monkeypatch.setattr(tokenmodel, "TABLE_CELLS", cells)
+        for max_len in (1, 4, 9):
+            cut = tokenmodel.sample(rows, model, 1, max_len=max_len, key=["copy"]).collect()
+            assert len(whole) == len(cut) == 60
+            for r in cut:
+                steps = len(re.findall(r"\[[^\]]*\]|Br|Cl|.", whole[r["copy"]])) + 1
+                assert r["finished"] == (steps <= max_len - 1) and (r["decoration"] == whole[r["copy"]]) >= r["finished"]
+    spelled = randomize.randomized(spark.createDataFrame([("CC",), ("CCO",)], "smiles string"), "smiles", 3, attempts=500)
+    assert sorted((r["smiles"], r["variant_no"], r["n_found"]) for r in spelled.collect()) == [("CC", 0, 1), *[("CCO", i, 3) for i in range(3)]]
+
+
 def test_long_contexts_are_joined(spark):
     pairs = spark.createDataFrame([("[*]c1ccccc1", "[*]CCNCCO"), ("N[*]", "[*]CN")] * 3, "scaffold string, decoration string")
     deep = tokenmodel.fit(pairs, order=40, alpha=0.01)
