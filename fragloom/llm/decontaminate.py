@@ -112,12 +112,11 @@ def _scan(items, window, shard_words):
             flat = np.fromiter(itertools.chain.from_iterable(p + [0] for _, _, p in pieces), dtype=np.int64)
             begins = np.cumsum([0] + [len(p) + 1 for _, _, p in pieces])
             places, suffixes = occurrences(flat, tests)
-            runs = longest(places, suffixes, tests)
             piece = np.searchsorted(begins, places, "right") - 1
             for k in np.unique(piece):
                 at = piece == k
                 row, first, _ = pieces[k]
-                found.setdefault(row, []).append((places[at] - begins[k] + first, suffixes[at], runs[at]))
+                found.setdefault(row, []).append((places[at] - begins[k] + first, suffixes[at]))
 
         def run(texts, hit_words, hit_items, longest_match):
             found, pieces, total, counts = {}, [], 0, []
@@ -135,7 +134,8 @@ def _scan(items, window, shard_words):
                 search(pieces, found)
             spans, items_found, most = list(hit_words), list(hit_items), list(longest_match)
             for row, parts in found.items():
-                place, suffix, length = (np.concatenate(x) for x in zip(*parts))
+                # pieces overlap: an occurrence in two of them counts once, and runs go over their borders
+                place, suffix = np.unique(np.stack([np.concatenate(x) for x in zip(*parts)]), axis=1)
                 cover = np.zeros(counts[row] + 1, dtype=np.int64)
                 cover += np.bincount(place, minlength=len(cover)) - np.bincount(place + tests.lengths[suffix], minlength=len(cover))
                 for a, b in zip(*[iter(spans[row])] * 2):  # of earlier blocks
@@ -145,7 +145,7 @@ def _scan(items, window, shard_words):
                 spans[row] = edge.tolist()
                 names = {tests.owner[s] for s in np.unique(suffix)} - {None}
                 items_found[row] = sorted({*items_found[row], *map(str, names)})
-                most[row] = max(most[row], int(length.max()))
+                most[row] = max(most[row], int(longest(place, suffix, tests).max()))
             return counts, spans, items_found, most
         return run
     return start

@@ -207,6 +207,14 @@ def test_decontamination_equals_brute_force(spark, shard, block):
     assert one["longest_match"] == 28
 
 
+def test_longest_match_goes_over_the_borders_of_pieces(spark):
+    item = " ".join(f"w{i}" for i in range(60))
+    bench = spark.createDataFrame([(1, item), (2, "lone")], "item_id bigint, text string")
+    texts = ["x " * n + item + " y lone" for n in (0, 3, 20, 40, 55, 130)] + ["x " * 40 + item[:-20]]
+    out = {r["doc_id"]: r["longest_match"] for r in decontaminate.decontaminate(rows(spark, texts), bench, shard_words=20).collect()}
+    assert [out[i] for i in range(7)] == [60] * 6 + [55]
+
+
 def test_clean_drops_only_hit_rows(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
     df = rows(spark, ["say one two three now", "one two", None])
