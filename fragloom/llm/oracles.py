@@ -1,5 +1,8 @@
 """Oracle SQL of the training-data queries that plain SQL can express."""
 
+from . import license_scan
+from .license_scan import COVERED, GRAM, NEIGHBOURS, STRETCH
+
 SHARDS = 24
 _SCORE = "-ln((('0x' || substr(md5(coalesce('k' || doc_id, 'n') || ':' || s), 1, 13))::BIGINT + 0.5) / 4503599627370496)"
 
@@ -98,3 +101,26 @@ QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lan
   fails AS (SELECT DISTINCT r FROM f JOIN cuts USING (stratum) WHERE bins[rule] >= cut)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
          NOT base_failed AND r NOT IN (SELECT r FROM fails) AS kept FROM f"""
+
+_TEMPLATES = ", ".join(f"({i}, '{label}', {exact}, '{text}')" for i, (label, text, exact) in enumerate(
+    [(*p, True) for p in license_scan.PHRASES] + [(*n, False) for n in license_scan.NOTICES]))
+
+LICENSES = f"""WITH t AS (SELECT template, label, exact, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) x(template, label, exact, text)),
+  tg AS (SELECT template, label, exact, len(w) AS n, j AS tpos, array_to_string(w[j + 1:j + {GRAM}], ' ') AS gram
+         FROM (SELECT *, unnest(range(0, len(w) - {GRAM - 1})) AS j FROM t)),
+  d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+  g AS (SELECT r, i AS pos, array_to_string(w[i + 1:i + {GRAM}], ' ') AS gram FROM (SELECT r, w, unnest(range(0, len(w) - {GRAM - 1})) AS i FROM d)),
+  h AS (SELECT DISTINCT r, template, label, exact, n, pos - tpos AS diagonal, tpos FROM g JOIN tg USING (gram)),
+  base AS (SELECT r, label, diagonal AS first FROM h WHERE exact GROUP BY r, template, label, n, diagonal HAVING count(*) = n - {GRAM - 1}),
+  steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER down <= {NEIGHBOURS} THEN 0 ELSE 1 END AS new
+            FROM (SELECT DISTINCT r, template, diagonal FROM h WHERE NOT exact) WINDOW down AS (PARTITION BY r, template ORDER BY diagonal)),
+  copies AS (SELECT r, template, diagonal, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS copy FROM steps),
+  found AS (SELECT r, label, n, count(DISTINCT tpos + k) / n AS score, max(diagonal + tpos) + {GRAM} - min(diagonal + tpos) AS stretch
+            FROM h JOIN copies USING (r, template, diagonal), range({GRAM}) z(k) GROUP BY r, template, label, n, copy),
+  labelled AS (SELECT r, label, 1.0::DOUBLE AS score, true AS verified FROM base
+               UNION ALL SELECT r, label, score, score >= {COVERED} AND stretch <= n * {STRETCH} FROM found),
+  bases AS (SELECT r, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY r),
+  alls AS (SELECT r, max(score) AS score, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS l FROM labelled GROUP BY r)
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    coalesce(b.l, '') AS base_labels, coalesce(a.l, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+  FROM d LEFT JOIN bases b ON d.r = b.r LEFT JOIN alls a ON d.r = a.r"""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.lineage import new_path
-from . import bpe, decontaminate, html_text, oracles, ordinal, phrases, quality, secret_scan, sharding, simhash, warc
+from . import bpe, decontaminate, html_text, license_scan, oracles, ordinal, phrases, quality, secret_scan, sharding, simhash, warc
 
 LLM_QUERIES, LLM_ORACLES = {}, {}
 SHARDS = 24
@@ -124,3 +124,8 @@ def bpe_digests(docs, path, pattern, **options):
 @query("op10_repeated_phrases", oracles.PHRASES)
 def repeated_phrases(spark, sf_dir):
     return phrases.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op13_license_scan", oracles.LICENSES)
+def scan_licenses(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("license_spans")
