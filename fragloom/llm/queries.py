@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators.lineage import new_path
-from . import bpe, decontaminate, html_text, license_scan, oracles, ordinal, phrases, quality, secret_scan, sharding, simhash, warc
+from . import (bpe, decontaminate, hard_negatives, html_text, license_scan, oracles, ordinal, phrases, quality, secret_scan,
+               sharding, simhash, warc)
 
 LLM_QUERIES, LLM_ORACLES = {}, {}
 SHARDS = 24
@@ -126,6 +127,12 @@ def repeated_phrases(spark, sf_dir):
     return phrases.without_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op12_hard_negatives", oracles.HARD_NEGATIVES)
+def hard_negative_mining(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 @query("op13_license_scan", oracles.LICENSES)
 def scan_licenses(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("license_spans")
