@@ -136,3 +136,15 @@ HARD_NEGATIVES = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (lab
   SELECT anchor_id, positive_id, row_number() OVER best::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
   FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
   WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 10"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+  b AS (SELECT DISTINCT item, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS w FROM benchmark)),
+  size AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+  p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM b) GROUP BY ALL),
+  f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), size),
+  s AS (SELECT item, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+        FROM b JOIN f USING (t) JOIN p USING (t), size GROUP BY item, item_id, r, doc_id)
+  SELECT item_id, row_number() OVER best::INT AS rank, doc_id, score FROM s WHERE score > 0
+  WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 50"""

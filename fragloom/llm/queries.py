@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.lineage import new_path
-from . import (bpe, decontaminate, hard_negatives, html_text, license_scan, oracles, ordinal, phrases, quality, secret_scan,
+from . import (bpe, decontaminate, hard_negatives, html_text, lexical_search, license_scan, oracles, ordinal, phrases, quality, secret_scan,
                sharding, simhash, warc)
 
 LLM_QUERIES, LLM_ORACLES = {}, {}
@@ -127,6 +127,11 @@ def repeated_phrases(spark, sf_dir):
     return phrases.without_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op11_lexical_search", oracles.LEXICAL)
+def ranked_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_hard_negatives", oracles.HARD_NEGATIVES)
 def hard_negative_mining(spark, sf_dir):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
