@@ -107,18 +107,18 @@ def nll_hist(spark, sf):
 
 @query("first_rows", NLL + PLACED + "SELECT event_id, grp, CAST(pos AS BIGINT) AS pos FROM t")
 def first_rows(spark, sf):
-    return stats.truncated(_nll(spark, sf), ["event_id"], stats.by_number("event_id", 1024)).select("event_id", "grp", "pos")
+    return stats.truncated(_nll(spark, sf), ["event_id"]).select("event_id", "grp", "pos")
 
 
 @query("jsd_binned", NLL + PLACED + _hist("t") + _jsd("h", "bin"))
 def jsd_binned(spark, sf):
-    rows = stats.truncated(_nll(spark, sf), ["event_id"], stats.by_number("event_id", 1024))
+    rows = stats.truncated(_nll(spark, sf), ["event_id"])
     return stats.jsd_binned(rows).select(F.round("jsd", 6).alias("jsd"))
 
 
 @query("jsd_raw", NLL + PLACED + ", v AS (SELECT grp, pos, nll AS p FROM t)" + _jsd("v", "pos"))
 def jsd_raw(spark, sf):
-    rows = stats.truncated(_nll(spark, sf), ["event_id"], stats.by_number("event_id", 1024))
+    rows = stats.truncated(_nll(spark, sf), ["event_id"])
     return stats.jsd_raw(rows).select(F.round("jsd", 6).alias("jsd"))
 
 

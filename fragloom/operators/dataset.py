@@ -16,13 +16,12 @@ def in_vocabulary(encoded: DataFrame, columns: list) -> DataFrame:
 
 
 def batches(df: DataFrame, key: str, epochs: int, batch_size: int, seed: int = 0, drop_last: bool = True) -> DataFrame:
-    """Add (epoch, batch) after a seeded shuffle of the rows of every epoch."""
+    """Add (epoch, batch) after a seeded shuffle of the rows of every epoch.  The input is read once."""
     spread = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     spread = spread.withColumn("_h", draws.hash_hex(seed, key, "epoch"))
-    placed = ranked(spread, ["epoch"], ["_h", key], draws.bucket(F.col("_h")), "_r")
-    placed = placed.withColumn("batch", F.floor((F.col("_r") - 1) / batch_size))
+    placed = ranked(spread, ["epoch"], ["_h", key], "_r").withColumn("batch", F.floor((F.col("_r") - 1) / batch_size))
     if drop_last:
-        n = df.agg(F.floor(F.count(F.lit(1)) / batch_size).alias("_full"))
+        n = placed.where(F.col("epoch") == 1).agg(F.floor(F.max("_r") / batch_size).alias("_full"))
         placed = placed.join(F.broadcast(n), F.col("batch") < F.col("_full")).drop("_full")
     return placed.drop("_h", "_r")
 

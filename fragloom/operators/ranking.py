@@ -1,23 +1,31 @@
 """Global and per-group row numbers without a single-task sort."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import materialise
 
-def ranked(df: DataFrame, by: list, order: list, bucket: Column, name: str) -> DataFrame:
-    """`name` = 1-based position within `by`, ordered by `order`.
 
-    `bucket` must be non-decreasing in `order`; rows are numbered inside (by, bucket) and
-    shifted by the size of the earlier buckets.  A group holding a third of the rows is
-    thus spread over as many tasks as it has buckets; only bucket counts meet in one place.
+def ranked(df: DataFrame, by: list, order: list, name: str) -> DataFrame:
+    """`name` = 1-based position within `by`, ordered by `order`; equal rows in the order they come.
+
+    Rows are dealt out by ranges of (by, order), sorted in their partitions and written once with
+    their place.  Only the sizes of (group, partition) runs are counted and summed up, as many as
+    there are partitions and groups; a row's position is its place, shifted by the runs of its group
+    in earlier partitions.  Any group or equal key may hold most rows: ranges end inside it.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    earlier = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-               .select(*by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
-    within = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    return (keyed.withColumn("_row", F.row_number().over(within))
-            .join(offsets, [*by, "_bucket"])
-            .withColumn(name, F.col("_row") + F.col("_before"))
-            .drop("_bucket", "_row", "_before"))
+    place = df.withColumn("_tie", F.monotonically_increasing_id())
+    keys = [*by, *order, "_tie"]
+    sorted_rows = place.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+    # the place of a row in the whole order: its partition in the upper bits, its row in the lower 33
+    rows = materialise(sorted_rows.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33).alias("_part")
+    runs = rows.groupBy(*by, part).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_part",
+                         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = F.shiftright(F.col("_place"), 33) == F.col("_part")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return (rows.join(shifts, same).withColumn(name, F.col("_place") + F.col("_shift"))
+            .drop("_place", "_part", "_shift", *[f"_by{i}" for i in range(len(by))]))

@@ -38,22 +38,14 @@ def histogram(df: DataFrame) -> DataFrame:
     return full.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("grp")))
 
 
-def shortest(df: DataFrame) -> DataFrame:
-    return df.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_min"))
+def truncated(df: DataFrame, order: list) -> DataFrame:
+    """The first rows of every group in `order`, as many as the shortest group has; adds `pos`.
 
-
-def truncated(df: DataFrame, order: list, bucket: Column) -> DataFrame:
-    """The first rows of every group in `order`, as many as the shortest group has.
-
-    Adds `pos`; `bucket` must be non-decreasing in `order` (see ranking).
+    The input is read once: group sizes are counted from the numbered rows.
     """
-    placed = ranked(df, ["grp"], order, bucket, "pos")
-    return placed.join(F.broadcast(shortest(df)), F.col("pos") <= F.col("_min")).drop("_min")
-
-
-def by_number(key: str, width: int = 1 << 16) -> Column:
-    """Bucket for an order by a non-negative number."""
-    return F.floor(F.col(key) / width)
+    placed = ranked(df, ["grp"], order, "pos")
+    sizes = placed.groupBy("grp").agg(F.max("pos").alias("_n")).agg(F.min("_n").alias("_min"))
+    return placed.join(F.broadcast(sizes), F.col("pos") <= F.col("_min")).drop("_min")
 
 
 def divergence(dist: DataFrame, at: str) -> DataFrame:

@@ -16,7 +16,7 @@ def corpus_tokens(df: DataFrame, sides: dict) -> DataFrame:
 
 def build(df: DataFrame, sides: dict) -> DataFrame:
     """Ids 0..2 for the special tokens, then the corpus tokens in code-point order."""
-    found = ranked(corpus_tokens(df, sides), ["side"], ["token"], F.substring("token", 1, 2), "_r")
+    found = ranked(corpus_tokens(df, sides), ["side"], ["token"], "_r")
     special = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in sides])).alias("side"))
     special = special.select("side", F.posexplode(F.array(*[F.lit(t) for t in tokens.SPECIAL])).alias("id", "token"))
     return special.select("side", "token", F.col("id").cast("bigint")).unionByName(
@@ -30,7 +30,7 @@ def sizes(vocabulary: DataFrame) -> DataFrame:
 def extend(vocabulary: DataFrame, new: DataFrame) -> DataFrame:
     """Add unseen (side, token) rows behind the largest id of their side, in token order."""
     unseen = new.select("side", "token").distinct().join(vocabulary, ["side", "token"], "left_anti")
-    numbered = ranked(unseen, ["side"], ["token"], F.substring("token", 1, 2), "_r")
+    numbered = ranked(unseen, ["side"], ["token"], "_r")
     top = vocabulary.groupBy("side").agg(F.max("id").alias("_top"))
     added = numbered.join(top, "side", "left").select(
         "side", "token", (F.coalesce(F.col("_top"), F.lit(-1)) + F.col("_r")).alias("id"))

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions import draws
 from ..operators import graph, stats, tokenmodel
 from ..operators.lineage import materialise
@@ -35,7 +36,7 @@ def collect(training: DataFrame, validation: DataFrame, model: DataFrame, sample
     sample_size = max(sample_size, 1)
     rows = materialise(_scored_groups(training, validation, model, sample_size, kind, order, seed, list(key)))
     scored = rows.where(F.col("nll").isNotNull())
-    first_rows = stats.truncated(scored, ["place"], draws.bucket(F.col("place")))
+    first_rows = stats.truncated(scored, ["place"])
     moments = stats.moments(scored).select("grp", F.expr("stack(2, 'avg', mean_nll, 'var', var_nll) AS (what, value)"))
     valid = stats.validity(rows.where(F.col("grp").startswith("sampled_")), sample_size)
     parts = [

@@ -143,13 +143,43 @@ def test_slice_and_graft_round_trip(spark, texts):
 
 def test_ranked_positions(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 3 == 0).alias("g"))
-    got = ranking.ranked(df, ["g"], ["id"], F.floor(F.col("id") / 64), "pos").collect()
+    got = ranking.ranked(df, ["g"], ["id"], "pos").collect()
     want = {}
     for r in sorted(got, key=lambda r: r["id"]):
         want[r["g"]] = want.get(r["g"], 0) + 1
         assert r["pos"] == want[r["g"]]
 
 
+def test_ranks_of_hot_groups_equal_keys_and_nulls(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ranking, "materialise", lambda df: written.append(materialise(df)) or written[-1])
+    data = [(i % 7 if i % 3 else None, None if i % 11 == 0 else min(i, 500)) for i in range(3000)] + [(None, 5)] * 1500
+    df = spark.createDataFrame(data, "g int, k int")
+    got = ranking.ranked(df, ["g"], ["k"], "pos").collect()
+    for g in {g for g, _ in data}:
+        rows = sorted((r["pos"], r["k"]) for r in got if r["g"] == g)
+        keys = sorted((k for h, k in data if h == g), key=lambda k: (k is not None, k))
+        assert [p for p, _ in rows] == list(range(1, len(keys) + 1)) and [k for _, k in sorted(rows, key=lambda r: r[0])] == keys
+    whole = ranking.ranked(df, [], ["k"], "pos")
+    assert sorted(r["pos"] for r in whole.collect()) == list(range(1, 4501))
+    assert ranking.ranked(df.limit(0), ["g"], ["k"], "pos").count() == 0
+    # equal keys are spread too (few rows would be merged again into one task)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert ranking.ranked(df, [], ["k"], "pos").count() == 4500
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = written[-1].groupBy(F.shiftright("_place", 33)).count()
+    assert parts.agg(F.max("count")).first()[0] < 4500 / 2
+
+
+def test_numbered_rows_read_their_input_once(spark, tmp_path):
+    spark.range(500).withColumn("grp", F.col("id") % 3).withColumn("nll", F.col("id") * 1.0).write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    for made in (stats.truncated(rows, ["id"]), stats.jsd_raw(stats.truncated(rows, ["id"])), dataset.batches(rows, "id", 2, 10)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(str(tmp_path)) == 0  # only the numbered rows are read from here on
+        assert made.count() > 0
+
+
 def test_vocabulary_tables(spark):
     df = spark.createDataFrame([("C[*]", "CCl"), ("N[*]", "O")], "scaffold string, decoration string")
     sides = {"scaffold": "scaffold", "decoration": "decoration"}
@@ -379,7 +409,7 @@ def test_histogram_edges(spark):
 
 def test_divergence_of_equal_groups_is_zero(spark):
     df = spark.createDataFrame([(g, i, float(i + 1)) for g in "ab" for i in range(9)], "grp string, id int, nll double")
-    rows = stats.truncated(df, ["id"], stats.by_number("id", 2))
+    rows = stats.truncated(df, ["id"])
     assert abs(stats.jsd_raw(rows).first()[0]) < 1e-12 and abs(stats.jsd_binned(rows).first()[0]) < 1e-12
 
 
