@@ -376,31 +376,80 @@ def decorate_single(spark, sf):
     return _grown(spark, sf, "single")
 
 
-# A model that has only ever seen a methyl: every open chain must end up closed by methyls, and only by
-# them, whatever spellings are drawn.  A chain and its reverse are one molecule, shown by the smaller text.
-METHYLS = "WITH " + fx.sql("fx_word") + """
-    SELECT concat('[*:0]', min(smiles), '[*:1]') AS scaffold, '{"0":"[*]C","1":"[*]C"}' AS decorations
-    FROM fx_word GROUP BY least(smiles, reverse(smiles))"""
-
-
-def _closed_by_methyls(spark, sf, kind):
+# A model that has only ever seen a methyl closes one open end after the other.  A chain of ten atoms, its two
+# points among them, has 18 spellings (one from each end, two from each atom between), half of which
+# show either point first; as all of them are drawn, every count is known.  A chain is compared by its
+# atoms from end to end, a point by its number, in the direction that sorts first.
+_WORDS = "WITH " + fx.sql("fx_word") + """, s AS (SELECT smiles AS w, concat('[*:0]', smiles, '[*:1]') AS scaffold, count(*) AS n FROM fx_word GROUP BY smiles),
+    rounds AS ({rounds}),
+    least AS (SELECT least(chain, reverse(chain)) AS chain, scaffold, decorations, n, i FROM rounds)
+    SELECT chain, min(struct_pack(i := i, s := scaffold, d := decorations)).s AS scaffold, min(struct_pack(i := i, s := scaffold, d := decorations)).d AS decorations,
+           CAST(sum(n) AS BIGINT) AS "count" FROM least GROUP BY chain"""
+_START = "SELECT concat('0', w, '1') AS chain, scaffold, '{}' AS decorations, n, 0 AS i FROM s"
+_ONE = """ UNION ALL SELECT concat('C', w, '1'), scaffold, '{"0":"[*]C"}', 9, 1 FROM s UNION ALL SELECT concat('0', w, 'C'), scaffold, '{"1":"[*]C"}', 9, 1 FROM s"""
+_BOTH = """ UNION ALL SELECT concat('C', w, 'C'), scaffold, '{"0":"[*]C","1":"[*]C"}', %d, 2 FROM s"""
+ALL_SPELLINGS = 18
+
+
+def _methyls(spark, sf, kind):
+    """(results, counts of the rounds) of all open chains with methyls."""
     beside = spark.createDataFrame([("[*]" + a,) for a in "CNOS"] + [("C([*])C",)], "scaffold string")
     train = beside.withColumn("decoration", F.lit("[*]C" if kind == "multi" else "[*]C|[*]C"))
     chains = fx.view(spark, sf, "fx_word").select(F.concat(F.lit("[*:0]"), "smiles", F.lit("[*:1]")).alias("smiles"))
-    rows = loop.decorate(chains, tokenmodel.fit(train, 3, 1e-12), kind, r=1, n=1, order=3, seed=2)
-    closed = rows.where(~F.contains("smiles", F.lit("*")))
-    flat = closed.withColumn("decorations", F.map_from_entries(F.array_sort(F.map_entries("decorations"))))
-    return writers.results_csv(flat).select("scaffold", "decorations")
+    return loop.decorate_counted(chains, tokenmodel.fit(train, 3, 1e-12), kind, r=ALL_SPELLINGS, n=1, order=3, seed=2)
+
+
+def _end_to_end(smiles):
+    """A chain written from its end; its text may start at an atom between, one side in brackets."""
+    short = F.regexp_replace(smiles, r"\[\*:(\d)\]", "$1")
+    side, first, rest = (F.regexp_extract(short, r"^(.)\((.*)\)(.*)$", i) for i in (2, 1, 3))
+    whole = F.when(F.contains(short, F.lit("(")), F.concat(F.reverse(side), first, rest)).otherwise(short)
+    return F.least(whole, F.reverse(whole))
+
+
+def _chains(rows):
+    flat = rows.withColumn("decorations", F.map_from_entries(F.array_sort(F.map_entries("decorations"))))
+    return writers.results_csv(flat).select(_end_to_end(F.col("smiles")).alias("chain"), "scaffold", "decorations", "count")
+
+
+@query("decorate_multi_chains", _WORDS.replace("{rounds}", _START + _ONE + _BOTH % 36))
+def decorate_multi_chains(spark, sf):
+    """Every row of the loop over several rounds, open molecules too."""
+    return _chains(_methyls(spark, sf, "multi")[0])
+
+
+@query("decorate_single_chains", _WORDS.replace("{rounds}", _START + _BOTH % 18))
+def decorate_single_chains(spark, sf):
+    """Every row of the loop that closes all points at once."""
+    return _chains(_methyls(spark, sf, "single")[0])
+
+
+@query("decorate_rounds", "WITH " + fx.sql("fx_word") + """, s AS (SELECT DISTINCT smiles AS w FROM fx_word),
+    c AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT least(w, reverse(w)) FROM s)) AS n_both FROM s)
+    SELECT 'multi' AS kind, 1 AS round, n AS n_open, 18 * n AS n_sampled, 18 * n AS n_joined, 2 * n AS n_molecules FROM c
+    UNION ALL SELECT 'multi', 2, 2 * n, 36 * n, 36 * n, n_both FROM c
+    UNION ALL SELECT 'single', 1, n, 18 * n, 18 * n, n_both FROM c""")
+def decorate_rounds(spark, sf):
+    """Rows that each round took, drew, joined and kept, counted by the jobs that wrote them."""
+    rows = [(kind, i, c["n_open"], c["n_sampled"], c["n_joined"], c["n_molecules"])
+            for kind in ("multi", "single") for i, c in enumerate(_methyls(spark, sf, kind)[1], 1)]
+    return spark.createDataFrame(rows, "kind string, round int, n_open bigint, n_sampled bigint, n_joined bigint, n_molecules bigint")
+
+
+# The earlier queries over the closed molecules alone.
+METHYLS = "WITH " + fx.sql("fx_word") + """
+    SELECT concat('[*:0]', min(smiles), '[*:1]') AS scaffold, '{"0":"[*]C","1":"[*]C"}' AS decorations
+    FROM fx_word GROUP BY least(smiles, reverse(smiles))"""
 
 
 @query("decorate_multi_closed", METHYLS)
 def decorate_multi_closed(spark, sf):
-    return _closed_by_methyls(spark, sf, "multi")
+    return decorate_multi_chains(spark, sf).where(~F.col("chain").rlike(r"\d")).select("scaffold", "decorations")
 
 
 @query("decorate_single_closed", METHYLS)
 def decorate_single_closed(spark, sf):
-    return _closed_by_methyls(spark, sf, "single")
+    return decorate_single_chains(spark, sf).where(~F.col("chain").rlike(r"\d")).select("scaffold", "decorations")
 
 
 @query("decorate_scaffolds", "WITH " + fx.sql("fx_scaffold") + """SELECT scaffold AS smiles, scaffold, '{}' AS decorations, count(*) AS "count" FROM fx_scaffold GROUP BY scaffold""")

@@ -8,12 +8,13 @@ LEHMER_A, LEHMER_M = 48271, 2147483647
 
 
 def hash_hex(seed, *parts) -> Column:
-    """Hex digest of the parts; leading digits are uniform, so they also make buckets."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
+    """Hex digest of the parts, NULL unlike any text; its leading digits are uniform."""
+    def plain(part):
+        text = (F.col(part) if isinstance(part, str) else part).cast("string")
+        # a bar or backslash inside a part is marked, so parts cannot run into each other
+        return F.coalesce(F.regexp_replace(text, r"([|\\])", r"\\$1"), F.lit("\\N"))
 
-
-def bucket(hex_column: Column, digits: int = 3) -> Column:
-    return F.substring(hex_column, 1, digits)
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[plain(p) for p in parts]))
 
 
 def start_state(hex_column: Column) -> Column:

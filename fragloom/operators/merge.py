@@ -21,10 +21,13 @@ def dedup(df: DataFrame, count: Column = None) -> DataFrame:
 
 def merge(rounds: list) -> DataFrame:
     """Bag union of counted rounds; the earliest round gives the representative."""
-    marked = [df.withColumn("_i", F.lit(i)) for i, df in enumerate(rounds)]
-    union = reduce(lambda a, b: a.unionByName(b), marked)
+    return merge_marked(reduce(lambda a, b: a.unionByName(b), [df.withColumn("_i", F.lit(i)) for i, df in enumerate(rounds)]))
+
+
+def merge_marked(rows: DataFrame) -> DataFrame:
+    """As `merge`, of the rounds in one table, `_i` being the number of a row's round."""
     best = F.min_by(F.struct("scaffold", "decorations"), rank(F.col("_i")))
-    return union.groupBy("smiles").agg(best.alias("_b"), F.sum("count").alias("count")).select(
+    return rows.groupBy("smiles").agg(best.alias("_b"), F.sum("count").alias("count")).select(
         "smiles", "_b.scaffold", "_b.decorations", "count")
 
 

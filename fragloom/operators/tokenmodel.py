@@ -5,22 +5,21 @@ the scaffold token next to the attachment point.  p(t | c) = (n(c,t) + alpha) /
 with V the decoration tokens including the end token; an unseen context gives 1 / V.
 """
 
+import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import draws, tokens
-from .lineage import materialise
+from .lineage import materialise, measured, remove
+from .lookup import lookup
+from .ranking import ranked
+from .spread import spread
 
-# A model is sent to the sampling tasks whole only up to this many (context, token) rows.
-BROADCAST_ROWS = 500_000
-#: Numbers of the dense table that goes to the tasks (eight bytes each, two tables).
-TABLE_CELLS = 16_000_000
+#: Bins of the unit interval by which draws find their token.
+BINS = 16
 
 
 def token_events(df: DataFrame, order: int) -> DataFrame:
@@ -53,36 +52,43 @@ def fit(pairs: DataFrame, order: int = 2, alpha: float = 1.0) -> DataFrame:
     return grams.crossJoin(F.broadcast(alphabet)).withColumn("alpha", F.lit(alpha)).withColumn("logp", logp)
 
 
-def _by_context(model: DataFrame) -> DataFrame:
-    """One row per context with its token counts: at most an alphabet per row."""
-    return model.groupBy("context").agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("_counts"), F.max("n_context").alias("_total"))
+def _context_totals(model: DataFrame) -> DataFrame:
+    return model.groupBy("context").agg(F.max("n_context").alias("_total"))
 
 
-def _alphabet(model: DataFrame) -> DataFrame:
-    """One row: V, alpha and the decoration tokens in order."""
-    in_order = F.array_sort(F.collect_set("token")).alias("_alphabet")
-    return model.agg(F.max("n_tokens").alias("_v"), F.max("alpha").alias("_alpha"), in_order)
+def _scalars(model: DataFrame) -> tuple:
+    """(V, alpha): two numbers, whatever the size of the model; (0, 1.0) of an empty one."""
+    v, alpha = model.agg(F.max("n_tokens"), F.max("alpha")).first()
+    return (v, alpha) if v else (0, 1.0)
 
 
 def score(pairs: DataFrame, model: DataFrame, order: int = 2, vocabulary: DataFrame = None) -> DataFrame:
     """Add `nll` (sum over tokens and end token) and `oov` to (scaffold, decoration) rows.
 
-    A score depends on (near, decoration) only: it is computed once per distinct pair and
-    joined back, all input columns kept.  A decoration token that the model has never seen
-    makes nll NULL, and so does a token outside `vocabulary` (side, token) when given.
+    A score depends on (near, decoration) only: each different (context, token) is scored once, and so is
+    each different pair; the rows look their pair up, with frequent keys set apart.  A decoration
+    token that the model has never seen makes nll NULL, and so does a token outside
+    `vocabulary` (side, token) when given, and a NULL text.
     """
-    pairs = with_near(pairs)
-    events = token_events(pairs.select("near", "decoration").distinct(), order)
-    p = ((F.coalesce(F.try_element_at("_counts", F.col("token")), F.lit(0)) + F.col("_alpha"))
-         / (F.coalesce("_total", F.lit(0)) + F.col("_alpha") * F.col("_v")))
-    scored = (events.join(_by_context(model), "context", "left").crossJoin(F.broadcast(_alphabet(model)))
-              .groupBy("near", "decoration")
-              .agg(F.sum(-F.log(p)).alias("_nll"), F.bool_or(~F.array_contains("_alphabet", F.col("token"))).alias("oov")))
-    out = pairs.join(scored, ["near", "decoration"], "left")
+    distinct = with_near(pairs.groupBy("scaffold", "decoration").agg(F.count(F.lit(1)).alias("_rows")))
+    distinct = materialise(distinct)
+    seen_as = distinct.groupBy("near", "decoration").agg(F.count(F.lit(1)).alias("_pairs"))
+    events = token_events(seen_as, order)
+    known = model.groupBy("token").agg(F.lit(True).alias("_known"))
+    v, alpha = _scalars(model)
+    p = (F.coalesce("n", F.lit(0)) + F.lit(alpha)) / (F.coalesce("_total", F.lit(0)) + F.lit(alpha * max(v, 1)))
+    grams = events.groupBy("context", "token").agg(F.count(F.lit(1)).alias("_uses"))
+    grams = (grams.join(model.select("context", "token", "n"), ["context", "token"], "left").join(_context_totals(model), "context", "left")
+             .join(known, "token", "left").select("context", "token", "_uses", (-F.log(p)).alias("_nll"), F.col("_known").isNull().alias("oov")))
+    grams = materialise(grams)
+    scored = lookup(events, grams, ["context", "token"], "_uses").groupBy("near", "decoration", "_pairs").agg(
+        F.sum("_nll").alias("nll"), F.bool_or("oov").alias("oov"))
+    scored = lookup(distinct, materialise(scored), ["near", "decoration"], "_pairs").drop("near")
     if vocabulary is not None:
-        out = _vocabulary_check(out, vocabulary)
-    return out.withColumn("nll", F.when(~F.col("oov"), F.col("_nll"))).drop("near", "_nll")
+        scored = _vocabulary_check(scored, vocabulary)
+    scored = materialise(scored.withColumn("nll", F.when(~F.col("oov"), F.col("nll"))))
+    remove(distinct, grams)
+    return lookup(pairs, scored, ["scaffold", "decoration"], "_rows")
 
 
 def _vocabulary_check(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -116,157 +122,115 @@ def draw_rows(scaffolds: DataFrame, n: int, seed: int, key: list) -> DataFrame:
     return rows.withColumn("_state", draws.start_state(draws.hash_hex(seed, *key, "draw")))
 
 
-def sampler(model: DataFrame, order: int = 2, max_len: int = 256):
-    """Prepare a model once; returns a function that adds `decoration`, `nll` and `finished` to draw rows.
+def intervals(model: DataFrame, alphabet: DataFrame, v: int, alpha: float, bins: int = BINS) -> DataFrame:
+    """(context, bin, lo, hi, run, first, total, token, cost): the unit interval of every context, cut up by next tokens.
 
-    A model goes to the tasks whole if its rows, its table of contexts by tokens and its context
-    codes are small enough; otherwise it is joined step by step.  Both ways give the same draws.
+    Tokens lie in token order.  A seen token has an interval of its own; the unseen ones between two
+    seen tokens share one (token NULL), as each has the same width: they are those after rank `first`.
+    An interval stands in every bin of 1 / `bins` that it touches, so a draw finds it by equal keys.
+    """
+    total = F.col("n_context") + F.lit(alpha) * v
+    down = Window.partitionBy("context").orderBy("_rank")
+    rows = lookup(model.select("context", "token", "n", "n_context"), alphabet, ["token"], "_uses").select(
+        "context", "token", "n", "_rank", total.alias("total"), F.sum("n").over(down).alias("after"),
+        F.coalesce(F.lag("_rank").over(down), F.lit(0)).alias("earlier"), F.lead("_rank").over(down).isNull().alias("is_last"))
+    before, rank = F.col("after") - F.col("n"), F.col("_rank")
+
+    def edge(run, i):
+        return (run + F.lit(alpha) * i) / F.col("total")
+
+    def cut(lo, hi, run, first, token, n):
+        return F.struct(lo.alias("lo"), hi.alias("hi"), run.alias("run"), first.cast("bigint").alias("first"), F.col("total"), token.alias("token"),
+                        (-F.log((n + F.lit(alpha)) / F.col("total"))).alias("cost"))
+
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    parts = F.array(cut(edge(before, F.col("earlier")), edge(before, rank - 1), before, F.col("earlier"), none, zero),
+                    cut(edge(before, rank - 1), F.when(F.col("is_last") & (rank == v), 2.0).otherwise(edge(F.col("after"), rank)), before, rank - 1,
+                        F.col("token"), F.col("n")),
+                    F.when(F.col("is_last") & (rank < v), cut(edge(F.col("after"), rank), F.lit(2.0), F.col("after"), rank, none, zero)))
+    cuts = rows.select("context", F.explode(F.filter(parts, lambda x: x["lo"] < x["hi"])).alias("x")).select("context", "x.*")
+    touched = F.sequence(F.floor(F.col("lo") * bins), F.least(F.floor(F.col("hi") * bins), F.lit(bins - 1)))
+    return cuts.where(F.col("lo") < 1).withColumn("bin", F.explode(touched))
+
+
+class Sampler:
+    """A model prepared once; called with draw rows it adds `decoration`, `nll` and `finished`.
+
+    One way for models of any size: each step joins the open rows to the interval table by equal
+    (context, bin) and a range test; draws among unseen tokens find their token by its rank.  What is
+    small enough the engine broadcasts by itself.  Rows are written out every few steps; finished
+    ones leave the loop.  `remove` deletes the prepared tables.
     """
-    few = model.select("context", "token", "n", "alpha").limit(BROADCAST_ROWS + 1).toPandas()
-    if len(few) <= BROADCAST_ROWS and _fits(few, order):
-        shared = model.sparkSession.sparkContext.broadcast(_Table(few, order))
-        return lambda rows: _sample_with_table(rows, shared, max_len)
-    contexts, scalars = materialise(_by_context(model)), materialise(_alphabet(model))
-    return lambda rows: _sample_by_joins(rows, contexts, scalars, order, max_len)
-
-
-def _fits(few: pd.DataFrame, order: int) -> bool:
-    """Is the dense table within TABLE_CELLS numbers, and every context's code within 63 bits?"""
-    contexts, n_tokens = {tuple(c) for c in few["context"]}, few["token"].nunique()
-    near = len({c[-1] for c in contexts})
-    return len(contexts) * n_tokens <= TABLE_CELLS and (near + 1) * (n_tokens + 1) ** order < 1 << 62
-
 
-def sample(scaffolds: DataFrame, model: DataFrame, n: int = 1, order: int = 2, max_len: int = 256, seed: int = 0,
-           key: list = ("scaffold",)) -> DataFrame:
+    def __init__(self, model: DataFrame, order: int = 2, max_len: int = 256, bins: int = BINS, steps_per_table: int = 8):
+        self.order, self.max_len, self.bins, self.steps = order, max_len, bins, steps_per_table
+        self.v, self.alpha = _scalars(model)
+        if not self.v or not self.alpha > 0:
+            raise ValueError("drawing needs a fitted model with alpha > 0")
+        uses = model.groupBy("token").agg(F.count(F.lit(1)).alias("_uses"))
+        ranks = materialise(ranked(uses, [], ["token"], "_rank"))
+        cuts = intervals(model, ranks, self.v, self.alpha, bins)
+        self.cuts = materialise(cuts.toDF(*[f"_c_{c}" for c in cuts.columns]))  # names of their own beside the rows' columns
+        self.alphabet = ranks.select("_rank", F.col("token").alias("_rare"))
+
+    def remove(self) -> None:
+        remove(self.alphabet, self.cuts)
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        kept = [c for c in rows.columns if c not in ("near", "_state")]
+        active = spread(rows).withColumns({"_history": F.array_repeat(F.lit(tokens.BEGIN), self.order), "_text": F.lit(""), "_open": F.lit(True), "nll": F.lit(0.0)})
+        done, old = [active] if self.max_len <= 1 else [], None
+        for step in range(1, self.max_len):
+            active = self._step(active)
+            last = step == self.max_len - 1
+            if step % self.steps and not last:
+                continue
+            active, counts = measured(active, open=F.count_if("_open"))
+            done.append(active if last else active.where(~F.col("_open")))
+            if last or not counts["open"]:
+                break
+            active = active.where("_open")
+        result = reduce(lambda a, b: a.unionByName(b), done)
+        return result.select(*kept, F.col("_text").alias("decoration"), "nll", (~F.col("_open")).alias("finished"))
+
+    def _step(self, active: DataFrame) -> DataFrame:
+        """One token more for every open row.
+
+        Closed rows ask for bins and ranks that do not exist, each for another, so they meet nowhere.  A
+        context that the model has not seen is one interval of unseen tokens; a draw among
+        unseen tokens is a rank, at most one off from its estimate, whose token is then joined.
+        """
+        m, none, alpha = draws.LEHMER_M, "-1 - _state % 1024", f"{self.alpha!r}D"
+        kept = [f"`{c}`" for c in active.columns if c not in ("_state", "_history", "_text", "_open", "nll")]
+        rows = active.selectExpr(*kept, "_history", "_text", "_open", "nll", f"IF(_open, _state * {draws.LEHMER_A} % {m}, _state) AS _state")
+        rows = rows.selectExpr("*", f"_state / {m} AS _u", "IF(_open, concat(_history, array(near)), CAST(array() AS array<string>)) AS _context",
+                               f"IF(_open, floor(_state / {m} * {self.bins}), {none}) AS _bin")
+        hit = F.expr("_context = _c_context AND _bin = _c_bin AND _c_lo <= _u AND _u < _c_hi")
+        rows = rows.join(self.cuts, hit, "left").selectExpr(
+            *kept, "_history", "_text", "_open", "nll", "_state", "_u", "_c_token AS _token", f"coalesce(_c_total, {self.alpha * self.v!r}D) AS _total",
+            "coalesce(_c_run, 0) AS _run", "coalesce(_c_first, 0) AS _first", f"coalesce(_c_cost, {-math.log(1 / self.v)!r}D) AS _cost")
+        rows = rows.selectExpr("*", f"greatest(floor((_u * _total - _run) / {alpha}) + 1, _first + 1) AS _guess")
+        rows = rows.selectExpr("*", f"""IF(_open AND _token IS NULL, least({self.v},
+            CASE WHEN _guess - 1 > _first AND (_run + {alpha} * (_guess - 1)) / _total > _u THEN _guess - 1
+                 WHEN (_run + {alpha} * _guess) / _total > _u THEN _guess ELSE _guess + 1 END), {none}) AS _wanted""")
+        token = "coalesce(_token, _rare)"
+        rows = rows.join(self.alphabet, F.expr("_wanted = _rank"), "left")
+        going = f"(_open AND {token} != '{tokens.END}')"
+        history = f"slice(concat(_history, array({token})), 2, {self.order})" if self.order else "_history"
+        return rows.selectExpr(*kept, "_state", f"IF(_open, {history}, _history) AS _history", f"IF({going}, concat(_text, {token}), _text) AS _text",
+                               f"{going} AS _open", "IF(_open, nll + _cost, nll) AS nll")
+
+
+def sample(scaffolds: DataFrame, model: DataFrame, n: int = 1, order: int = 2, max_len: int = 256, seed: int = 0, *, key: list) -> DataFrame:
     """n decorations per scaffold row: adds `draw`, `decoration`, `nll` and `finished`.
 
+    key: columns that tell rows apart; rows that agree in them get equal draws.
     Each step takes the first token, in token order, whose running probability exceeds the
     row's next draw; a decoration ends at the end token or after max_len - 1 steps.
     finished: the last pick is the end token; where it is false the decoration was cut off.
     """
-    return sampler(model, order, max_len)(draw_rows(scaffolds, n, seed, list(key)))
-
-
-def _sample_with_table(rows: DataFrame, shared, max_len: int) -> DataFrame:
-    """Sampling with the (size-checked) model table in every task."""
-    schema = T.StructType([f for f in rows.schema.fields if f.name not in ("near", "_state")] + [
-        T.StructField("decoration", T.StringType()), T.StructField("nll", T.DoubleType()), T.StructField("finished", T.BooleanType())])
-    hidden = rows.select(*[f.name for f in schema.fields[:-3]], "near", "_state")
-    kept = [f.name for f in schema.fields[:-3]]
-
-    def run(batches):
-        for batch in batches:
-            near, state = batch.column("near").to_pylist(), batch.column("_state").to_numpy()
-            texts, nlls, finished = shared.value.walk(near, state, max_len)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array(nlls, pa.float64()),
-                 pa.array(finished, pa.bool_())], names=[*kept, "decoration", "nll", "finished"])
-
-    return hidden.mapInArrow(run, schema)
-
-
-class _Table:
-    """Model rows as arrays: sorted context codes and cumulative counts per context."""
-
-    def __init__(self, pdf: pd.DataFrame, order: int):
-        self.order, self.alpha = order, float(pdf["alpha"].iloc[0])
-        self.tokens = sorted(set(pdf["token"]), key=lambda t: t.encode())
-        self.near = sorted({c[-1] for c in pdf["context"]})
-        self.id = {t: i for i, t in enumerate([*self.tokens, tokens.BEGIN])}
-        near_id = {t: i for i, t in enumerate(self.near)}
-        base = len(self.id)
-        codes = np.array([self._code([self.id[t] for t in c[:-1]], near_id[c[-1]], base) for c in pdf["context"]], dtype=np.int64)
-        self.codes, where = np.unique(codes, return_inverse=True)
-        counts = np.zeros((len(self.codes) + 1, len(self.tokens)), dtype=np.int64)
-        counts[where, [self.id[t] for t in pdf["token"]]] = pdf["n"].to_numpy()
-        self.totals, self.running = counts.sum(1), counts.cumsum(1)
-
-    @staticmethod
-    def _code(history, near, base):
-        code = near
-        for t in history:
-            code = code * base + t
-        return code
-
-    def walk(self, near, state, max_len):
-        base, n_tokens = len(self.id), len(self.tokens)
-        near_id = {t: i for i, t in enumerate(self.near)}
-        near = np.array([near_id.get(t, -1) for t in near], dtype=np.int64)
-        history = np.full((len(near), self.order), self.id[tokens.BEGIN], dtype=np.int64)
-        state, nll = state.astype(np.int64), np.zeros(len(near))
-        picks = np.full((len(near), max(max_len - 1, 0)), -1, dtype=np.int32)
-        ranks = self.alpha * np.arange(1, n_tokens + 1)
-        active, finished = np.arange(len(near)), np.ones(len(near), dtype=bool)
-        for step in range(max_len - 1):
-            if not len(active):
-                break
-            state[active] = state[active] * draws.LEHMER_A % draws.LEHMER_M
-            code = self._code(history[active].T, near[active], base)
-            at = np.searchsorted(self.codes, code).clip(max=len(self.codes) - 1)
-            at = np.where((self.codes[at] == code) & (near[active] >= 0), at, len(self.codes))
-            total = self.totals[at] + self.alpha * n_tokens
-            cumulative = (self.running[at] + ranks) / total[:, None]
-            pick = (cumulative <= (state[active] / draws.LEHMER_M)[:, None]).sum(1).clip(max=n_tokens - 1)
-            count = self.running[at, pick] - np.where(pick > 0, self.running[at, pick - 1], 0)
-            nll[active] -= np.log((count + self.alpha) / total)
-            picks[active, step] = pick
-            history[active] = np.column_stack([history[active][:, 1:], pick]) if self.order else history[active]
-            active = active[np.array([self.tokens[t] != tokens.END for t in pick], dtype=bool)]
-        finished[active] = False
-        spelled = ["" if t == tokens.END else t for t in self.tokens]
-        lengths = (picks >= 0).sum(1)
-        return ["".join(map(spelled.__getitem__, p[:n].tolist())) for p, n in zip(picks, lengths)], nll, finished
-
-
-def _sample_by_joins(rows: DataFrame, contexts: DataFrame, scalars: DataFrame, order: int, max_len: int,
-                     steps_per_table: int = 8) -> DataFrame:
-    """The same sampling for models of any size: one join with the context table per step.
-
-    Open rows are joined to one row per context; every few steps they are written out to
-    cut the lineage, and finished rows leave the loop.
-    """
-    kept = [c for c in rows.columns if c not in ("near", "_state")]
-    active = rows.withColumns({"_history": F.array_repeat(F.lit(tokens.BEGIN), order),
-                               "_tokens": F.array().cast("array<string>"), "nll": F.lit(0.0)})
-    done = [active.limit(0)] if max_len > 1 else [active]
-    for step in range(1, max_len):
-        active = _step(active, contexts, scalars, order)
-        if step % steps_per_table == 0 or step == max_len - 1:
-            active = materialise(active)
-            ended = F.element_at("_tokens", -1) == tokens.END
-            done.append(active.where(ended) if step < max_len - 1 else active)
-            active = active.where(~ended)
-            if active.isEmpty():
-                break
-    result = reduce(lambda a, b: a.unionByName(b), done)
-    return result.select(*kept, F.array_join(F.filter("_tokens", lambda t: t != tokens.END), "").alias("decoration"), "nll",
-                         (F.coalesce(F.try_element_at("_tokens", F.lit(-1)), F.lit("")) == tokens.END).alias("finished"))
-
-
-def _step(active: DataFrame, contexts: DataFrame, scalars: DataFrame, order: int) -> DataFrame:
-    open_row = (F.size("_tokens") == 0) | (F.coalesce(F.try_element_at("_tokens", F.lit(-1)), F.lit("")) != tokens.END)
-    joined = (active.withColumn("context", F.when(open_row, F.concat("_history", F.array("near"))))
-              .join(contexts, "context", "left").crossJoin(F.broadcast(scalars)))
-    state = F.when(open_row, F.col("_state") * draws.LEHMER_A % draws.LEHMER_M).otherwise(F.col("_state"))
-    total = F.coalesce("_total", F.lit(0)) + F.col("_alpha") * F.col("_v")
-
-    def count(t):
-        return F.coalesce(F.try_element_at("_counts", t), F.lit(0))
-
-    # walk the alphabet: keep the first token whose running probability exceeds the draw
-    joined = joined.withColumn("_state", state).withColumn("_u", F.col("_state") / F.lit(draws.LEHMER_M))
-    start = F.struct(F.lit(0).cast("bigint").alias("run"), F.lit(0).alias("i"), F.lit(None).cast("string").alias("pick"))
-
-    def walk(acc, t):
-        run, i = acc["run"] + count(t), acc["i"] + 1
-        over = (run + F.col("_alpha") * i) / total > F.col("_u")
-        return F.struct(run.alias("run"), i.alias("i"), F.coalesce(acc["pick"], F.when(over, t)).alias("pick"))
-
-    pick = F.coalesce(F.aggregate("_alphabet", start, walk)["pick"], F.element_at("_alphabet", -1))
-    joined = joined.withColumn("_pick", F.when(open_row, pick))
-    return joined.select(
-        *[c for c in active.columns if c not in ("_state", "_history", "_tokens", "nll")], "_state",
-        F.when(open_row, F.slice(F.concat("_history", F.array("_pick")), 2, order)).otherwise(F.col("_history")).alias("_history"),
-        F.when(open_row, F.concat("_tokens", F.array("_pick"))).otherwise(F.col("_tokens")).alias("_tokens"),
-        F.when(open_row, F.col("nll") - F.log((count(F.col("_pick")) + F.col("_alpha")) / total)).otherwise(F.col("nll")).alias("nll"))
+    sampler = Sampler(model, order, max_len)
+    drawn = sampler(draw_rows(scaffolds, n, seed, list(key)))
+    if max_len > 1:  # every step has been written
+        sampler.remove()
+    return drawn

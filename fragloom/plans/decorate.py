@@ -1,11 +1,11 @@
 """Exhaustive decoration: sample, join, dedup, and go on with what is still open."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import attach
 from ..operators import graph, merge, randomize, tokenmodel
-from ..operators.lineage import materialise
+from ..operators.lineage import delete_path, materialise, measured, new_path, remove
 from ..operators.spread import spread
 
 
@@ -67,31 +67,82 @@ def _round_single(sampled: DataFrame, rows_per_molecule: int) -> DataFrame:
                          F.map_from_arrays(numbers, F.col("_clean")).alias("decorations"), "n")
 
 
-def decorate(scaffolds: DataFrame, model: DataFrame, kind: str = "multi", r: int = 32, n: int = 32,
-             max_randomized: int = 10000, repeats: bool = False, order: int = 2, max_len: int = 256,
-             seed: int = 0, column: str = "smiles") -> DataFrame:
-    """(smiles, scaffold, decorations, count): the scaffolds and all molecules grown from them.
+class Seen:
+    """Counted molecules of all rounds so far: one table in buckets of the molecule, a folder a round.
+
+    A round is written in the buckets that its dedup has made.  The search for molecules not seen
+    before joins buckets with buckets: no round is shuffled again, however many there are.
+    """
 
-    multi: one point per round until nothing new is open.  single: all points in one round.
-    Every join closes one point and adds none, so the rounds are bounded by the largest
-    number of points; each round is written once and read by the next.
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rounds = spark, 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = new_path(spark, "seen")
+        self.name = f"seen_{self.path.rsplit('-', 1)[-1]}"
+
+    def add(self, rows: DataFrame) -> dict:
+        """Append a round of (smiles, scaffold, decorations, n); returns its row counts."""
+        seen = Observation()
+        counted = merge.dedup(rows.repartition(self.buckets, "smiles"), F.col("n")).withColumn("round", F.lit(self.rounds))
+        counted = counted.observe(seen, F.count(F.lit(1)).alias("n_molecules"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_joined"),
+                                  F.coalesce(F.max(attach.count_points(F.col("smiles"))), F.lit(0)).alias("most_points"))
+        (counted.write.bucketBy(self.buckets, "smiles").sortBy("smiles").partitionBy("round").format("parquet").mode("append")
+         .option("path", self.path).saveAsTable(self.name))
+        self.rounds += 1
+        return seen.get
+
+    def frontier(self) -> DataFrame:
+        """Open molecules of the last round that no earlier round has."""
+        table = self.spark.table(self.name)
+        last = self.rounds - 1
+        return merge.frontier(table.where(F.col("round") == last), table.where(F.col("round") < last))
+
+    def merged(self) -> DataFrame:
+        """All rounds as one bag; the earliest gives the representative."""
+        return merge.merge_marked(self.spark.table(self.name).withColumnRenamed("round", "_i"))
+
+    def remove(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, self.path)
+
+
+def decorate_counted(scaffolds: DataFrame, model: DataFrame, kind: str = "multi", r: int = 32, n: int = 32,
+                     max_randomized: int = 10000, repeats: bool = False, order: int = 2, max_len: int = 256,
+                     seed: int = 0, column: str = "smiles") -> tuple:
+    """(results, rounds): what `decorate` returns, and the row counts of every round.
+
+    rounds: one dict a round with n_open (molecules that go into it), n_sampled (rows drawn for them),
+    n_joined (of these, joined to a molecule) and n_molecules (different ones).  The jobs that
+    write the tables count them; nothing is read again for it.
     """
     if kind not in ("multi", "single"):
         raise ValueError(f"unknown kind '{kind}'")
-    rounds = [materialise(initial_results(scaffolds, column))]
-    open_rows = rounds[0].select("smiles", "scaffold", "decorations")
-    draw = tokenmodel.sampler(model, order, max_len)
-    limit = rounds[0].agg(F.max(attach.count_points(F.col("smiles")))).first()[0] or 0
-    for i in range(limit if kind == "multi" else min(limit, 1)):
-        variants = _variants(open_rows, r, max_randomized, repeats, seed + i)
-        sampled = draw(tokenmodel.draw_rows(variants, n, seed + i, ["smiles", "variant_no"]))
-        grown = (_round_multi if kind == "multi" else _round_single)(sampled, r * n)
-        fresh = materialise(merge.dedup(grown, F.col("n")))
-        seen = rounds[0].select("smiles")
-        for earlier in rounds[1:]:
-            seen = seen.unionByName(earlier.select("smiles"))
-        rounds.append(fresh)
-        open_rows = merge.frontier(fresh, seen)
-        if i + 1 < limit and open_rows.isEmpty():
+    seen, rounds = Seen(scaffolds.sparkSession), []
+    start = seen.add(initial_results(scaffolds, column).withColumnRenamed("count", "n"))
+    limit = start["most_points"] if kind == "multi" else min(start["most_points"], 1)
+    draw = tokenmodel.Sampler(model, order, max_len) if limit else None
+    for i in range(limit):
+        open_rows, counts = measured(seen.frontier(), n_open=F.count(F.lit(1)))
+        if not counts["n_open"]:
+            remove(open_rows)
             break
-    return merge.merge(rounds)
+        variants = _variants(open_rows, r, max_randomized, repeats, seed + i)
+        sampled, drawn = measured(draw(tokenmodel.draw_rows(variants, n, seed + i, ["smiles", "variant_no"])), n_sampled=F.count(F.lit(1)))
+        made = seen.add((_round_multi if kind == "multi" else _round_single)(sampled, r * n))
+        rounds.append({**counts, **drawn, "n_joined": made["n_joined"], "n_molecules": made["n_molecules"]})
+        remove(open_rows, sampled)
+    results = materialise(seen.merged())
+    seen.remove()
+    if draw:
+        draw.remove()
+    return results, rounds
+
+
+def decorate(scaffolds: DataFrame, model: DataFrame, *args, **options) -> DataFrame:
+    """(smiles, scaffold, decorations, count): the scaffolds and all molecules grown from them.
+
+    Options as of `decorate_counted`.  multi: one point per round until nothing new is open.  single:
+    all points in one round.  Every join closes one point and adds none, so the rounds are bounded
+    by the largest number of points; each round is written once and read by the next.
+    """
+    return decorate_counted(scaffolds, model, *args, **options)[0]

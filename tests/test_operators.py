@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fragloom import kernel
 from fragloom.functions import attach, conditions, descriptors, rules, tokens
-from fragloom.operators import dataset, graph, merge, randomize, ranking, slicing, stats, tokenmodel, vocab
+from fragloom.operators import dataset, graph, lookup, merge, randomize, ranking, slicing, stats, tokenmodel, vocab
 from fragloom.operators.lineage import materialise
 from fragloom.plans import decorate, jobs, quality
 from fragloom.plans.slice import slice_table
@@ -249,27 +249,94 @@ def test_score_by_hand_and_oov(spark, model):
         assert r["nll"] is None if r["oov"] else math.isclose(r["nll"], want)
 
 
-def test_both_ways_of_sampling_agree_at_the_edges(spark, model, monkeypatch):
-    rows = spark.createDataFrame([("[*]c1ccccc1", i) for i in range(12)], "scaffold string, copy int")
-    for max_len in (1, 2, 9):
-        whole = sorted(map(str, tokenmodel.sample(rows, model, 2, max_len=max_len, key=["scaffold", "copy"]).collect()))
-        with monkeypatch.context() as m:
-            m.setattr(tokenmodel, "TABLE_CELLS", 0)
-            joined = sorted(map(str, tokenmodel.sample(rows, model, 2, max_len=max_len, key=["scaffold", "copy"]).collect()))
-        assert [r[:60] for r in whole] == [r[:60] for r in joined] and len(whole) == 24
+def replay(model, near, state, max_len, order=2):
+    """One draw by a walk over the whole alphabet: (decoration, nll, finished)."""
+    counts = {}
+    for r in model:
+        counts.setdefault(tuple(r["context"]), {})[r["token"]] = r["n"]
+    alphabet, alpha = sorted({r["token"] for r in model}), model[0]["alpha"]
+    text, nll, history = "", 0.0, ["^"] * order
+    for _ in range(max_len - 1):
+        state = state * 48271 % 2147483647
+        seen = counts.get((*history, near), {})
+        total, run = sum(seen.values()) + alpha * len(alphabet), 0
+        for i, token in enumerate(alphabet, 1):
+            run += seen.get(token, 0)
+            if (run + alpha * i) / total > state / 2147483647:
+                break
+        nll -= math.log((seen.get(token, 0) + alpha) / total)
+        if token == "$":
+            return text, nll, True
+        text, history = text + token, [*history, token][1:] if order else []
+    return text, nll, False
+
+
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_draws_equal_a_walk_over_the_alphabet(spark, order):
+    pairs = [("[*]c1ccccc1", "[*]C")] * 5 + [("[*]c1ccccc1", "[*]CC(C)=O")] * 3 + [("[*]c1ccccc1", "[*]O")] * 2 + [("N[*]", "[*]CN"), ("N[*]", "[*]BrZ")]
+    for alpha in (0.01, 1e-12):
+        fitted = materialise(tokenmodel.fit(spark.createDataFrame(pairs, "scaffold string, decoration string"), order, alpha))
+        rows = [(i, s) for i, s in enumerate(["[*]c1ccccc1", "N[*]", "CC", "[*]F", "[*]c1ccccc1"] * 4)]
+        # columns named like the operator's own stay as they are
+        frame = spark.createDataFrame(rows, "key int, scaffold string").withColumns({n: F.lit("mine") for n in ("context", "total", "token", "lo", "first", "bin")})
+        known = fitted.collect()
+        start = {(r["key"], r["draw"]): (r["near"], r["_state"]) for r in tokenmodel.draw_rows(frame, 2, 4, ["key"]).collect()}
+        for max_len in (1, 12):
+            got = tokenmodel.sample(frame, fitted, 2, order, max_len, 4, key=["key"]).collect()
+            assert len(got) == 40 and all(r["token"] == "mine" and r["total"] == "mine" for r in got)
+            for r in got:
+                text, nll, finished = replay(known, *start[r["key"], r["draw"]], max_len, order)
+                assert (r["decoration"], r["finished"]) == (text, finished) and math.isclose(r["nll"], nll, abs_tol=1e-9)
+
+
+def test_a_model_of_two_million_rows(spark):
+    """400,000 contexts of five tokens each, from an alphabet of 20,000."""
+    token = "IF(t = 4 AND c % 3 = 0, '$', concat('[', (c * 7919 + t * 3571) % 20000, ']'))"
+    near = "concat('[', c, ']')"
+    grams = spark.range(400_000).selectExpr("id AS c", "explode(sequence(0, 4)) AS t").selectExpr(f"array('^', {near}) AS context", f"{token} AS token", "t + 1 AS n")
+    model = grams.groupBy("context", "token").agg(F.sum("n").alias("n")).withColumns({"n_context": F.lit(15).cast("bigint"), "alpha": F.lit(0.0005)})
+    model = materialise(model.withColumn("n_tokens", F.lit(20001).cast("bigint")))
+    assert model.count() == 2_000_000
+    rows = spark.range(300).selectExpr("id", "concat('[*][', id * 1331 % 500000, ']') AS scaffold")
+    got = tokenmodel.sample(rows, model, 1, 1, 3, 9, key=["id"]).collect()
+    assert len(got) == 300 and sum(r["finished"] for r in got) > 5
+    local = {r["token"] for r in model.select("token").distinct().collect()}
+    assert len(local) == 20001
+    wanted = spark.createDataFrame([(r["scaffold"], r["decoration"], r["nll"]) for r in got if r["finished"]], "scaffold string, decoration string, drawn double")
+    for r in tokenmodel.score(wanted, model, 1).collect():
+        assert math.isclose(r["nll"], r["drawn"], rel_tol=1e-9)
+
+
+def test_scores_with_frequent_keys_set_apart(spark, model, monkeypatch):
+    texts = [("[*]c1ccccc1", "[*]C")] * 400 + [("[*]c1ccccc1", "[*]" + "C" * (i % 9 + 1) + "N" * (i % 5)) for i in range(200)] + [("N[*]", "[*]Br"), (None, "[*]C"), ("N[*]", None)]
+    rows = spark.createDataFrame(texts, "scaffold string, decoration string").withColumn("_uses", F.lit("mine")).withColumn("_heavy_", F.lit(1))
+    want = None
+    for size in (0, lookup.BROADCAST_BYTES):
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", size)
+        for limit in ("-1", "10m"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            got = sorted(map(str, tokenmodel.score(rows, model).withColumn("nll", F.round("nll", 9)).collect()))
+            want = want or got
+            assert got == want and len(got) == len(texts)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    grams = spark.createDataFrame([("a", 900, 1.0), ("b", 5, 2.0), ("c", 5, 3.0)], "k string, u long, x double")
+    assert [r["k"] for r in lookup.frequent(grams, "u").collect()] == ["a"]
+    left = spark.createDataFrame([("a",)] * 50 + [("b",), ("z",), (None,)], "k string")
+    got = Counter((r["k"], r["x"]) for r in lookup.lookup(left, grams, ["k"], "u").collect())
+    assert got == {("a", 1.0): 50, ("b", 2.0): 1, ("z", None): 1, (None, None): 1}
 
 
-def test_draws_tell_whether_they_ended_and_variants_how_many_there_are(spark, model, monkeypatch):
+def test_draws_tell_whether_they_ended_and_variants_how_many_there_are(spark, model):
     rows = spark.createDataFrame([("[*]c1ccccc1", i) for i in range(60)], "scaffold string, copy int")
     whole = {(r["copy"]): r["decoration"] for r in tokenmodel.sample(rows, model, 1, key=["copy"]).collect() if r["finished"]}
-    for cells in (tokenmodel.TABLE_CELLS, 0):
-        monkeypatch.setattr(tokenmodel, "TABLE_CELLS", cells)
-        for max_len in (1, 4, 9):
-            cut = tokenmodel.sample(rows, model, 1, max_len=max_len, key=["copy"]).collect()
-            assert len(whole) == len(cut) == 60
-            for r in cut:
-                steps = len(re.findall(r"\[[^\]]*\]|Br|Cl|.", whole[r["copy"]])) + 1
-                assert r["finished"] == (steps <= max_len - 1) and (r["decoration"] == whole[r["copy"]]) >= r["finished"]
+    for max_len in (1, 4, 9):
+        cut = tokenmodel.sample(rows, model, 1, max_len=max_len, key=["copy"]).collect()
+        assert len(whole) == len(cut) == 60
+        for r in cut:
+            steps = len(re.findall(r"\[[^\]]*\]|Br|Cl|.", whole[r["copy"]])) + 1
+            assert r["finished"] == (steps <= max_len - 1) and (r["decoration"] == whole[r["copy"]]) >= r["finished"]
+    with pytest.raises(TypeError):
+        tokenmodel.sample(rows, model)
     spelled = randomize.randomized(spark.createDataFrame([("CC",), ("CCO",)], "smiles string"), "smiles", 3, attempts=500)
     assert sorted((r["smiles"], r["variant_no"], r["n_found"]) for r in spelled.collect()) == [("CC", 0, 1), *[("CCO", i, 3) for i in range(3)]]
 
@@ -277,8 +344,7 @@ def test_draws_tell_whether_they_ended_and_variants_how_many_there_are(spark, mo
 def test_long_contexts_are_joined(spark):
     pairs = spark.createDataFrame([("[*]c1ccccc1", "[*]CCNCCO"), ("N[*]", "[*]CN")] * 3, "scaffold string, decoration string")
     deep = tokenmodel.fit(pairs, order=40, alpha=0.01)
-    assert not tokenmodel._fits(deep.select("context", "token", "n", "alpha").toPandas(), 40)
-    assert tokenmodel.sample(pairs.select("scaffold").distinct(), deep, 1, order=40, max_len=3).count() == 2
+    assert tokenmodel.sample(pairs.select("scaffold").distinct(), deep, 1, order=40, max_len=3, key=["scaffold"]).count() == 2
 
 
 def test_vocabulary_limits_scores(spark, model):
@@ -288,16 +354,6 @@ def test_vocabulary_limits_scores(spark, model):
     assert got == {"[*]c1ccccc1": False, "[*]S": True}
 
 
-def test_sampling_by_joins_equals_sampling_with_the_table(spark, model, monkeypatch):
-    rows = spark.createDataFrame([(i, s) for i, s in enumerate(["[*]c1ccccc1", "N[*]", "CC", "[*]F"])], "key int, scaffold string")
-    want = sorted((r["key"], r["draw"], r["decoration"], round(r["nll"], 9)) for r in
-                  tokenmodel.sample(rows, model, 5, max_len=12, key=["key"]).collect())
-    monkeypatch.setattr(tokenmodel, "BROADCAST_ROWS", 1)
-    got = sorted((r["key"], r["draw"], r["decoration"], round(r["nll"], 9)) for r in
-                 tokenmodel.sample(rows, model, 5, max_len=12, key=["key"]).collect())
-    assert got == want and len(want) == 20
-
-
 def test_sampled_frequencies_follow_the_model(spark, model):
     rows = spark.createDataFrame([(1, "[*]c1ccccc1")], "key int, scaffold string")
     drawn = Counter(r["decoration"] for r in tokenmodel.sample(rows, model, 4000, key=["key"]).collect())
@@ -356,7 +412,7 @@ def test_decoration_loop_against_driver_side_replay(spark, texts, kind):
     args = dict(r=3, n=8, max_randomized=40, max_len=20, seed=3)
     got = {r["smiles"]: (r["count"], r["scaffold"], r["decorations"]) for r in decorate.decorate(texts(*start), fitted, kind, **args).collect()}
 
-    draw = tokenmodel.sampler(fitted, 2, 20)
+    draw = tokenmodel.Sampler(fitted, 2, 20)
     counts, shown = Counter(start), {s: (s, {}) for s in start}
     seen, open_rows = set(start), {s: (s, {}) for s in start}
     for i in range(2 if kind == "multi" else 1):
