@@ -44,6 +44,13 @@ VIEWS = {
               CASE l_linenumber % 3 WHEN 0 THEN 'C' WHEN 1 THEN '' ELSE 'C(F)' END,
               CASE CAST(l_quantity AS BIGINT) % 6 WHEN 0 THEN 'C' WHEN 1 THEN 'N' WHEN 2 THEN 'C#N' WHEN 3 THEN 'CCl'
                           WHEN 4 THEN 'CBr' ELSE 'c1c[nH]cc1' END) AS decoration FROM {lineitem}"""),
+    # pairs of another table: other combinations of the same tokens, now and then a token of its own
+    "fx_check": ("orders", """SELECT CAST(o_orderkey AS VARCHAR(20)) AS pair_id,
+       CASE o_custkey % 5 WHEN 0 THEN 'c1ccccc1[*]' WHEN 1 THEN '[*]CCN1CCNCC1' WHEN 2 THEN 'O=C([*])Nc1ccccc1'
+                          WHEN 3 THEN 'CC=CCN1CCN([*])CC1' ELSE '[*]n1ccnc1' END AS scaffold,
+       concat('[*]', CASE o_orderkey % 7 WHEN 0 THEN 'C' WHEN 1 THEN 'CC' WHEN 2 THEN 'O' WHEN 3 THEN 'N(C)'
+                          WHEN 4 THEN 'C(=O)' WHEN 5 THEN 'CCl' ELSE 'I' END,
+              CASE o_orderkey % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'N' ELSE '' END) AS decoration FROM {orders}"""),
     "fx_molecule": ("part", """SELECT p_partkey AS mol_id,
        CASE p_partkey % 7
          WHEN 0 THEN concat('c1ccccc1', repeat('C', p_size % 6 + 1))

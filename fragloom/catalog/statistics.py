@@ -67,16 +67,16 @@ PLACED = """, q AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY event
     t AS (SELECT * FROM q WHERE pos <= (SELECT min(n) FROM (SELECT count(*) AS n FROM fx_nll GROUP BY grp))) """
 
 
-def _hist(source):
-    return f""", g AS (SELECT grp, nll, CAST(least(floor(nll * 10.0::DOUBLE), 999) AS INT) AS g FROM {source} WHERE nll BETWEEN 0 AND 100),
-    b AS (SELECT grp, {BIN} AS bin, count(*) AS n FROM g GROUP BY ALL),
-    f AS (SELECT grp, CAST(r.bin AS INT) AS bin, coalesce(b.n, 1) AS n FROM (SELECT DISTINCT grp FROM {source}) s CROSS JOIN range(0, 1000) r(bin)
-          LEFT JOIN b USING (grp, bin)),
-    h AS (SELECT grp, bin, n, n / sum(n) OVER (PARTITION BY grp) AS p FROM f) """
+def hist_sql(source, name="h"):
+    return f""", g_{name} AS (SELECT grp, nll, CAST(least(floor(nll * 10.0::DOUBLE), 999) AS INT) AS g FROM {source} WHERE nll BETWEEN 0 AND 100),
+    b_{name} AS (SELECT grp, {BIN} AS bin, count(*) AS n FROM g_{name} GROUP BY ALL),
+    f_{name} AS (SELECT grp, CAST(r.bin AS INT) AS bin, coalesce(b.n, 1) AS n FROM (SELECT DISTINCT grp FROM {source}) s CROSS JOIN range(0, 1000) r(bin)
+          LEFT JOIN b_{name} b USING (grp, bin)),
+    {name} AS (SELECT grp, bin, n, n / sum(n) OVER (PARTITION BY grp) AS p FROM f_{name}) """
 
 
-def _jsd(source, at):
-    return f""", norm AS (SELECT grp, sum(p) AS s FROM {source} GROUP BY grp),
+def jsd_sql(source, at):
+    return f"""WITH norm AS (SELECT grp, sum(p) AS s FROM {source} GROUP BY grp),
     avgd AS (SELECT {at}, sum(p) AS q FROM {source} GROUP BY {at}),
     tot AS (SELECT sum(s) AS a, count(*) AS n_grp FROM norm)
     SELECT round(sum(CASE WHEN p > 0 THEN p / s * ln((p / s) / (q / a)) ELSE 0 END) / max(n_grp), 6) AS jsd
@@ -100,7 +100,7 @@ def nll_metrics(spark, sf):
     return long.select(F.concat(F.lit("nll/"), "what", F.lit("."), "grp").alias("metric"), F.round("value", 6).alias("value"))
 
 
-@query("nll_hist", NLL + _hist("fx_nll") + "SELECT grp, bin, n, round(p, 9) AS p FROM h")
+@query("nll_hist", NLL + hist_sql("fx_nll") + "SELECT grp, bin, n, round(p, 9) AS p FROM h")
 def nll_hist(spark, sf):
     return stats.histogram(_nll(spark, sf)).withColumn("p", F.round("p", 9))
 
@@ -110,13 +110,13 @@ def first_rows(spark, sf):
     return stats.truncated(_nll(spark, sf), ["event_id"]).select("event_id", "grp", "pos")
 
 
-@query("jsd_binned", NLL + PLACED + _hist("t") + _jsd("h", "bin"))
+@query("jsd_binned", NLL + PLACED + hist_sql("t") + "SELECT * FROM (" + jsd_sql("h", "bin") + ")")
 def jsd_binned(spark, sf):
     rows = stats.truncated(_nll(spark, sf), ["event_id"])
     return stats.jsd_binned(rows).select(F.round("jsd", 6).alias("jsd"))
 
 
-@query("jsd_raw", NLL + PLACED + ", v AS (SELECT grp, pos, nll AS p FROM t)" + _jsd("v", "pos"))
+@query("jsd_raw", NLL + PLACED + ", v AS (SELECT grp, pos, nll AS p FROM t) SELECT * FROM (" + jsd_sql("v", "pos") + ")")
 def jsd_raw(spark, sf):
     rows = stats.truncated(_nll(spark, sf), ["event_id"])
     return stats.jsd_raw(rows).select(F.round("jsd", 6).alias("jsd"))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from .lineage import materialise
 from .ranking import ranked
 
 BINS = 1000
@@ -30,8 +31,15 @@ def bin_index(x: Column) -> Column:
 
 def histogram(df: DataFrame) -> DataFrame:
     """(grp, bin, n, p): values outside [0, 100] dropped, empty bins counted as 1, normalised."""
-    inside = (F.col("nll") >= 0) & (F.col("nll") <= 100)
-    counted = df.groupBy("grp", F.when(inside, bin_index(F.col("nll"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return filled(df.groupBy("grp", bin_within(F.col("nll")).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def bin_within(x: Column) -> Column:
+    return F.when((x >= 0) & (x <= 100), bin_index(x))
+
+
+def filled(counted: DataFrame) -> DataFrame:
+    """The histogram of (grp, bin, n) counts; values outside have a NULL bin."""
     binned = counted.where(F.col("bin").isNotNull())
     grid = counted.select("grp").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
     full = grid.join(binned, ["grp", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
@@ -74,6 +82,28 @@ def jsd_raw(first_rows: DataFrame) -> DataFrame:
     return divergence(first_rows.withColumn("p", F.col("nll")), "pos")
 
 
+def one_pass(scored: DataFrame, groups: list) -> DataFrame:
+    """Everything that the statistics of (grp, nll, smiles, pos) rows need, from one grouped aggregate.
+
+    Grouping sets, told apart by `part`: 'group' (n, mean, variance, readable molecules), 'bin' and
+    'first_bin' (n of all rows and of the first rows, as many of each group as the shortest has),
+    'pos' (`shown`: the score of each group at a position of the first rows).  Written once.
+    """
+    sizes = scored.groupBy("grp").agg(F.max("pos").alias("_n")).agg(F.min("_n").alias("_least"))
+    first = F.col("pos") <= F.col("_least")
+    rows = scored.crossJoin(F.broadcast(sizes)).select(
+        "grp", "nll", "smiles", bin_within(F.col("nll")).alias("bin"), F.when(first, F.coalesce(bin_within(F.col("nll")), F.lit(-1))).alias("first_bin"),
+        F.when(first, F.col("pos")).alias("pos"))
+    grp, bin_, first_bin, pos = keys = [F.col(c) for c in ("grp", "bin", "first_bin", "pos")]
+    shown = F.map_from_arrays(F.array(*[F.lit(g) for g in groups]), F.array(*[F.max(F.when((grp == g) & pos.isNotNull(), F.col("nll"))) for g in groups]))
+    # one bit a key, set where the key is summed over
+    names = {0b0111: "group", 0b0011: "bin", 0b0101: "first_bin", 0b1110: "pos"}
+    part = F.element_at(F.create_map(*[F.lit(x) for bits, name in names.items() for x in (bits, name)]), F.grouping_id(*keys).cast("int"))
+    return materialise(rows.groupingSets([[grp], [grp, bin_], [grp, first_bin], [pos]], *keys).agg(
+        part.alias("part"), F.count(F.lit(1)).alias("n"), F.avg("nll").alias("mean_nll"), F.var_pop("nll").alias("var_nll"),
+        F.count("smiles").alias("n_valid"), shown.alias("shown")))
+
+
 def validity(df: DataFrame, sample_size: int, column: str = "smiles") -> DataFrame:
     """Percentage of readable molecules per group against the wanted sample size."""
     return df.groupBy("grp").agg(

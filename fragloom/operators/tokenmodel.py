@@ -179,13 +179,10 @@ class Sampler:
     def __call__(self, rows: DataFrame) -> DataFrame:
         kept = [c for c in rows.columns if c not in ("near", "_state")]
         active = spread(rows).withColumns({"_history": F.array_repeat(F.lit(tokens.BEGIN), self.order), "_text": F.lit(""), "_open": F.lit(True), "nll": F.lit(0.0)})
-        done, old = [active] if self.max_len <= 1 else [], None
-        for step in range(1, self.max_len):
-            active = self._step(active)
-            last = step == self.max_len - 1
-            if step % self.steps and not last:
-                continue
-            active, counts = measured(active, open=F.count_if("_open"))
+        done = [active] if self.max_len <= 1 else []
+        for step in range(0, self.max_len - 1, self.steps):
+            last = step + self.steps >= self.max_len - 1
+            active, counts = measured(self._advance(active, min(self.steps, self.max_len - 1 - step)), open=F.count_if("_open"))
             done.append(active if last else active.where(~F.col("_open")))
             if last or not counts["open"]:
                 break
@@ -193,32 +190,33 @@ class Sampler:
         result = reduce(lambda a, b: a.unionByName(b), done)
         return result.select(*kept, F.col("_text").alias("decoration"), "nll", (~F.col("_open")).alias("finished"))
 
-    def _step(self, active: DataFrame) -> DataFrame:
-        """One token more for every open row.
+    def _advance(self, active: DataFrame, steps: int) -> DataFrame:
+        """So many tokens more for every open row.
 
         Closed rows ask for bins and ranks that do not exist, each for another, so they meet nowhere.  A
         context that the model has not seen is one interval of unseen tokens; a draw among
         unseen tokens is a rank, at most one off from its estimate, whose token is then joined.
         """
-        m, none, alpha = draws.LEHMER_M, "-1 - _state % 1024", f"{self.alpha!r}D"
+        m, none, alpha, token = draws.LEHMER_M, "-1 - _state % 1024", f"{self.alpha!r}D", "coalesce(_token, _rare)"
         kept = [f"`{c}`" for c in active.columns if c not in ("_state", "_history", "_text", "_open", "nll")]
-        rows = active.selectExpr(*kept, "_history", "_text", "_open", "nll", f"IF(_open, _state * {draws.LEHMER_A} % {m}, _state) AS _state")
-        rows = rows.selectExpr("*", f"_state / {m} AS _u", "IF(_open, concat(_history, array(near)), CAST(array() AS array<string>)) AS _context",
-                               f"IF(_open, floor(_state / {m} * {self.bins}), {none}) AS _bin")
-        hit = F.expr("_context = _c_context AND _bin = _c_bin AND _c_lo <= _u AND _u < _c_hi")
-        rows = rows.join(self.cuts, hit, "left").selectExpr(
-            *kept, "_history", "_text", "_open", "nll", "_state", "_u", "_c_token AS _token", f"coalesce(_c_total, {self.alpha * self.v!r}D) AS _total",
-            "coalesce(_c_run, 0) AS _run", "coalesce(_c_first, 0) AS _first", f"coalesce(_c_cost, {-math.log(1 / self.v)!r}D) AS _cost")
-        rows = rows.selectExpr("*", f"greatest(floor((_u * _total - _run) / {alpha}) + 1, _first + 1) AS _guess")
-        rows = rows.selectExpr("*", f"""IF(_open AND _token IS NULL, least({self.v},
-            CASE WHEN _guess - 1 > _first AND (_run + {alpha} * (_guess - 1)) / _total > _u THEN _guess - 1
-                 WHEN (_run + {alpha} * _guess) / _total > _u THEN _guess ELSE _guess + 1 END), {none}) AS _wanted""")
-        token = "coalesce(_token, _rare)"
-        rows = rows.join(self.alphabet, F.expr("_wanted = _rank"), "left")
-        going = f"(_open AND {token} != '{tokens.END}')"
         history = f"slice(concat(_history, array({token})), 2, {self.order})" if self.order else "_history"
-        return rows.selectExpr(*kept, "_state", f"IF(_open, {history}, _history) AS _history", f"IF({going}, concat(_text, {token}), _text) AS _text",
-                               f"{going} AS _open", "IF(_open, nll + _cost, nll) AS nll")
+        asking = [*kept, "_history", "_text", "_open", "nll", f"_state * {draws.LEHMER_A} % {m} AS _next", f"_next / {m} AS _u",
+                  "IF(_open, concat(_history, array(near)), CAST(array() AS array<string>)) AS _context",
+                  f"IF(_open, floor(_next / {m} * {self.bins}), {none}) AS _bin"]
+        hit = F.expr("_context = _c_context AND _bin = _c_bin AND _c_lo <= _u AND _u < _c_hi")
+        wanted = [*kept, "_history", "_text", "_open", "nll", "_next AS _state", "_c_token AS _token", f"coalesce(_c_total, {self.alpha * self.v!r}D) AS _total",
+                  "coalesce(_c_run, 0) AS _run", "coalesce(_c_first, 0) AS _first", f"coalesce(_c_cost, {-math.log(1 / self.v)!r}D) AS _cost",
+                  f"greatest(floor((_u * _total - _run) / {alpha}) + 1, _first + 1) AS _guess",
+                  f"""IF(_open AND _c_token IS NULL, least({self.v},
+                      CASE WHEN _guess - 1 > _first AND (_run + {alpha} * (_guess - 1)) / _total > _u THEN _guess - 1
+                           WHEN (_run + {alpha} * _guess) / _total > _u THEN _guess ELSE _guess + 1 END), -1 - _next % 1024) AS _wanted"""]
+        going = f"_open AND {token} != '{tokens.END}'"
+        taken = [*kept, "_state", f"IF(_open, {history}, _history) AS _history", f"IF({going}, concat(_text, {token}), _text) AS _text",
+                 f"{going} AS _open", "IF(_open, nll + _cost, nll) AS nll"]
+        for _ in range(steps):
+            rows = active.selectExpr(*asking).join(self.cuts, hit, "left").selectExpr(*wanted)
+            active = rows.join(self.alphabet, F.expr("_wanted = _rank"), "left").selectExpr(*taken)
+        return active
 
 
 def sample(scaffolds: DataFrame, model: DataFrame, n: int = 1, order: int = 2, max_len: int = 256, seed: int = 0, *, key: list) -> DataFrame:

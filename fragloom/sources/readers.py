@@ -1,11 +1,12 @@
 """Text and table inputs."""
 
 import json
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked
+
 
 def fields(line: Column, num_fields: int = 0) -> Column:
     """TAB fields of a line, its trailing white space dropped; the first n when given."""
@@ -56,11 +57,14 @@ def read_conditions(spark: SparkSession, path: str) -> tuple:
 
 
 def read_training_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """(set_no, scaffold, decoration): files of a folder, numbered from 0 by name."""
-    text = spark.read.text(folder)
-    # the listing that the scan has made anyway; file contents are read once
-    names = sorted(unquote(f.rsplit("/", 1)[-1]) for f in text.inputFiles())
-    lines = text.select("value", (F.array_position(F.lit(names), F.col("_metadata.file_name")) - 1).cast("int").alias("set_no"))
+    """(set_no, scaffold, decoration): files of a folder and its sub-folders, numbered from 0 by path.
+
+    The files are listed as a table without reading them, ranked, and joined by path; a list that
+    is small the engine broadcasts by itself.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_path").alias("_file"))
+    numbered = ranked(files, [], ["_file"], "_no").select("_file", (F.col("_no") - 1).cast("int").alias("set_no"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).select("value", F.col("_metadata.file_path").alias("_file"))
     f = fields(F.col("value"))
-    return lines.select(
+    return lines.join(numbered, "_file").select(
         "set_no", F.get(f, F.lit(0)).alias("scaffold"), F.get(f, F.lit(1)).alias("decoration"))

@@ -55,5 +55,6 @@ def write_scored(df: DataFrame, path: str, columns: list, gzip: bool = False):
     _text(df.select(scored_line(columns).alias("value")), path, gzip)
 
 
-def append_metrics(df: DataFrame, path: str):
-    df.write.mode("append").parquet(path)
+def write_metrics(df: DataFrame, path: str, by: str = "epoch"):
+    """Add the rows of some epochs to a folder; an epoch written again replaces its rows."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

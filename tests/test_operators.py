@@ -513,8 +513,8 @@ def test_scored_and_sampled_files(spark, model, tmp_path):
     rows = decorate.initial_results(spark.createDataFrame([("[*:0]C",)], "smiles string"))
     writers.write_results(rows, str(tmp_path / "r"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).first()["decorations"] == "{}"
-    writers.append_metrics(spark.range(1), str(tmp_path / "m"))
-    writers.append_metrics(spark.range(1), str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    for epoch in (1, 2, 2):
+        writers.write_metrics(spark.range(3).withColumn("epoch", F.lit(epoch)), str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 6
     with pytest.raises(ValueError):
         writers.write_results(rows, str(tmp_path / "q"), "other")
