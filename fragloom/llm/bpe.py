@@ -15,7 +15,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import add_columns, kept_columns, named
+from .rows import add_columns, fresh, kept_columns, named
 
 CHUNK, OVERLAP = 65_536, 1_024
 #: Characters at the end of a chunk where its boundaries may differ from those of the whole text.
@@ -152,11 +152,14 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK
     path: a rank file that every executor has; pattern: the pre-tokeniser.  Texts of one chunk
     need no stitching and no shuffle; only longer ones are dealt out by chunk and grouped again
     by row, so what meets in one task is one row's chunks.
+    Null and empty texts have no ids.  Repeated rows stay.  An empty table gives no rows.  Columns
+    named `ids` or `n_tokens` are replaced; any other names may be used.
     """
     keep = kept_columns(df, ["ids", "n_tokens"], keep)
+    body, chunks = fresh(keep, "text_to_encode", "chunks_to_join")
     step = chunk - overlap
-    source = df.select(*[named(c) for c in keep], F.coalesce(named(text), F.lit("")).alias("_text"))
-    n_chunks = F.greatest(F.lit(1), F.ceil((F.length("_text") - overlap) / step))
+    source = df.select(*[named(c) for c in keep], F.coalesce(named(text), F.lit("")).alias(body))
+    n_chunks = F.greatest(F.lit(1), F.ceil((F.length(body) - overlap) / step))
     fields = [("ids", "binary"), ("n_tokens", "bigint")]
 
     def whole():
@@ -184,11 +187,11 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK
             return ids, [len(i) // 4 for i in ids]
         return run
 
-    short = add_columns(source.where(n_chunks == 1), ["_text"], fields, whole, keep=keep)
-    long = source.where(n_chunks > 1).withColumn("_row", F.monotonically_increasing_id())
+    short = add_columns(source.where(n_chunks == 1), [body], fields, whole, keep=keep)
+    long = source.where(n_chunks > 1)
     cut = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda k: F.struct(
-        k.alias("k"), F.substring("_text", (k * step + 1).cast("int"), F.lit(chunk)).alias("text")))
-    rows = long.select("_row", F.struct(F.lit(0).alias("_"), *[named(c) for c in keep]).alias("_kept"), F.explode(cut).alias("_c"))
+        k.alias("k"), F.substring(body, (k * step + 1).cast("int"), F.lit(chunk)).alias("text")))
+    rows = long.select(F.monotonically_increasing_id().alias("_row"), F.struct(F.lit(0).alias("_"), *[named(c) for c in keep]).alias("_kept"), F.explode(cut).alias("_c"))
     rows = rows.select("_row", "_kept", F.col("_c.k").alias("_k"), F.col("_c.text").alias("_text"))
     marks = "array<array<int>>"
     done = add_columns(rows.repartition("_row", "_k"), ["_text"], [("_ids", "binary"), ("_left", marks), ("_right", marks)], pieces)
@@ -196,8 +199,8 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK
         F.first("_kept").alias("_kept"),
         F.sort_array(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("_text").alias("text"), F.col("_ids").alias("ids"),
                                              F.col("_left").alias("left"), F.col("_right").alias("right")))).alias("_chunks"))
-    flat = grouped.select(*[F.col("_kept").getField(c).alias(c) for c in keep], "_chunks")
-    return short.unionByName(add_columns(flat, ["_chunks"], fields, joined, keep=keep))
+    flat = grouped.select(*[F.col("_kept").getField(c).alias(c) for c in keep], F.col("_chunks").alias(chunks))
+    return short.unionByName(add_columns(flat, [chunks], fields, joined, keep=keep))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: list = None) -> DataFrame:

@@ -10,7 +10,7 @@ make the longest verbatim matches.  Documents never leave their task: no shuffle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import add_columns, named
+from .rows import add_columns, fresh, named
 
 WINDOW, SHARD_WORDS = 10, 250_000
 #: Bytes of benchmark text that are sent to the tasks at a time; more go in further blocks.
@@ -162,14 +162,16 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     Null and empty texts have no words; items without words have no windows; an item without id
     covers words but is not listed.  An item of fewer words than a window is one window.  The
     benchmark goes to the tasks in blocks of at most `block_bytes`, one pass for each; a single
-    item larger than that is a block of its own.
+    item larger than that is a block of its own.  Repeated rows stay; a repeated item is listed once.
+    An empty table gives no rows, an empty benchmark no hits.  Columns named like the results are
+    replaced; any other names may be used.
     """
     fields = [("n_words", "bigint"), ("hit_spans", "array<bigint>"), ("hit_items", "array<string>"), ("longest_match", "bigint")]
     names = [n for n, _ in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    out = df.select(*[named(c) for c in dict.fromkeys([*keep, text])],
-                    F.expr("CAST(array() AS array<bigint>)").alias("_spans"), F.expr("CAST(array() AS array<string>)").alias("_items"),
-                    F.lit(0).cast("bigint").alias("_most"))
+    body, n, spans, items, most = fresh(keep, "text_to_search", "found_n", "found_spans", "found_items", "found_most")
+    out = df.select(*[named(c) for c in keep], named(text).alias(body), F.expr("CAST(array() AS array<bigint>)").alias(spans),
+                    F.expr("CAST(array() AS array<string>)").alias(items), F.lit(0).cast("bigint").alias(most))
     spark = df.sparkSession
     source = benchmark.select(named(item).alias("i"), F.coalesce(named(item_text), F.lit("")).alias("t"))
     blocks, size = [[]], 0
@@ -180,16 +182,15 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
             blocks, size = [*blocks, []], len(row["t"].encode("utf-8"))
         blocks[-1].append((row["i"], row["t"]))
     blocks[-1] = spark.sparkContext.broadcast(blocks[-1])
-    inner = [("_n", "bigint"), ("_spans", "array<bigint>"), ("_items", "array<string>"), ("_most", "bigint")]
+    inner = [(n, "bigint"), (spans, "array<bigint>"), (items, "array<string>"), (most, "bigint")]
     for block in blocks:
-        out = add_columns(out, [text, "_spans", "_items", "_most"], inner, _scan(block, window, shard_words),
-                          keep=list(dict.fromkeys([*keep, text])))
-    return out.select(*[named(c) for c in keep], F.col("_n").alias("n_words"), F.col("_spans").alias("hit_spans"),
-                      F.col("_items").alias("hit_items"), F.col("_most").alias("longest_match"))
+        out = add_columns(out, [body, spans, items, most], inner, _scan(block, window, shard_words), keep=[*keep, body])
+    return out.select(*[named(c) for c in keep], F.col(n).alias("n_words"), F.col(spans).alias("hit_spans"),
+                      F.col(items).alias("hit_items"), F.col(most).alias("longest_match"))
 
 
 def clean(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows without any benchmark window, all columns as they were."""
-    found = decontaminate(df.withColumn("_all", F.struct(*[named(c) for c in df.columns])), benchmark,
-                          keep=["_all"], **options)
-    return found.where(F.size("hit_spans") == 0).select(*[F.col("_all").getField(c).alias(c) for c in df.columns])
+    (whole,) = fresh(df.columns, "whole_row")
+    found = decontaminate(df.withColumn(whole, F.struct(*[named(c) for c in df.columns])), benchmark, keep=[whole], **options)
+    return found.where(F.size("hit_spans") == 0).select(*[F.col(whole).getField(c).alias(c) for c in df.columns])

@@ -81,14 +81,15 @@ QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lan
   places AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
   twice AS (SELECT r, s FROM places GROUP BY r, s HAVING count(*) > 1),
   covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM places JOIN twice USING (r, s)) GROUP BY r),
-  m AS (SELECT d.r, doc_id, stratum, len(w)::BIGINT AS n_words, length({_SPACELESS})::BIGINT AS word_chars,
+  m AS (SELECT d.r, doc_id, stratum, t, len(w)::BIGINT AS n_words, length({_SPACELESS})::BIGINT AS word_chars,
         (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
         length({_SPACELESS}) - length(regexp_replace({_SPACELESS}, '\p{{Lu}}+', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_loud
         FROM d JOIN w ON d.r = w.r LEFT JOIN covered ON d.r = covered.r),
   f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
         [{", ".join(f"least(floor(100 * {s}), 100)::INT" for s in _SCORES)}] AS bins FROM m),
-  known AS (SELECT stratum, bins, quality > 0 AS good FROM f JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+  known AS (SELECT stratum, any_value(bins) AS bins, bool_or(quality > 0) AS good FROM f JOIN labels USING (doc_id) WHERE quality IS NOT NULL
+            GROUP BY stratum, t HAVING bool_or(quality > 0) = bool_and(quality > 0)),
   bars AS (SELECT stratum, rule, bins[rule] AS bin, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad
            FROM known, range(1, 6) x(rule) GROUP BY ALL),
   sums AS (SELECT stratum, rule, bin, sum(good) OVER whole AS n, sum(good) OVER down AS k, sum(bad) OVER down AS caught FROM bars

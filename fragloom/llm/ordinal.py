@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .rows import add_columns, named
 
-#: Hashed features; the most labelled rows that are fitted on; the most features of one fitted row.
+#: Hashed features; the most labelled texts that are fitted on.
 SIZE, SAMPLE = 1 << 16, 20_000
 STEPS, RATE, RIDGE = 80, 0.08, 2e-4
 TOKEN = re.compile(r"\S+")
@@ -103,16 +103,21 @@ def fit_rows(rows: list, grades: list, n_grades: int):
     return weights, np.cumsum(np.concatenate([[theta[0]], np.exp(theta[1:])]))
 
 
-def fit(rows: DataFrame, n_grades: int, id: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = SAMPLE) -> tuple:
-    """(weights, cuts) from about `sample` rows with a grade 0 .. n_grades-1, all if there are fewer.
+def fit(rows: DataFrame, n_grades: int, text: str = "text", grade: str = "grade", sample: int = SAMPLE) -> tuple:
+    """(weights, cuts) from at most `sample` different texts with a grade 0 .. n_grades-1, all if there are fewer.
 
-    A row is in the sample if the hash of its id is among the `sample` smallest.  Without any
-    labelled row the weights are zero and the grades equally likely.
+    Each different text counts once, whatever its copies, repeated rows and ids; one with contradicting
+    grades counts as none.  The sample are the texts with the smallest hashes (128 bits, so without
+    ties); their keys pass the driver, their texts one task.  A null text is an empty one, a
+    null grade no grade.  Without any labelled text the weights are zero and the grades
+    equally likely.  Other columns are ignored.
     """
+    body = F.coalesce(named(text), F.lit(""))
     known = rows.where(named(grade).between(0, n_grades - 1)).select(
-        F.xxhash64(named(id)).alias("h"), named(text).alias("t"), named(grade).cast("int").alias("g"))
-    last = known.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    chosen = known.where(F.col("h") <= F.lit(last))
+        F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b")).alias("k"), body.alias("t"), named(grade).cast("int").alias("g"))
+    texts = known.groupBy("k").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low = high").select("k")
+    keys = texts.orderBy("k").limit(sample)
+    chosen = known.join(F.broadcast(keys), "k").groupBy("k").agg(F.first("t").alias("t"), F.first("g").alias("g")).drop("k")
 
     def parse():
         cache = {}
@@ -140,7 +145,11 @@ def fit(rows: DataFrame, n_grades: int, id: str = "doc_id", text: str = "text",
 
 
 def grade(df: DataFrame, model: tuple, at_least: int, text: str = "text", keep: list = None) -> DataFrame:
-    """Adds expected_grade and tail_probability = P(grade >= at_least), of every whole text; no shuffle."""
+    """Adds expected_grade and tail_probability = P(grade >= at_least), of every whole text; no shuffle.
+
+    Null and empty texts have the grade of no feature.  Repeated rows stay and are graded alike.  An empty
+    table gives no rows.  Columns named like the two results are replaced; any other names may be used.
+    """
     weights, cuts = model
     shared = df.sparkSession.sparkContext.broadcast((weights, cuts))  # SIZE numbers, whatever the data
 

@@ -121,28 +121,51 @@ def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
             .withColumn("kept", ~(F.col("base_failed") | fails)).drop(*[f"cut_{j}" for j in range(len(RULES))]))
 
 
-def calibrated(df: DataFrame, labels: DataFrame, id: str = "doc_id", stratum: str = "lang", text: str = "text",
-               label: str = "quality") -> tuple:
-    """(measured rows: id, stratum, counts, rule_bins; their cutoffs).  Labels: 1 good, 0 bad, null none.
+def labelled(rows: DataFrame, labels: DataFrame, id: str, label: str) -> DataFrame:
+    """(stratum, good, rule_bins): each different labelled text of a stratum once.
 
-    A null stratum is the stratum of the empty name.  A text that is labelled twice counts twice.
+    rows: (_id, stratum, text_key, rule_bins).  Trials of the binomial bounds must be different texts,
+    so copies, repeated rows and repeated labels count once.  A text whose labels contradict
+    each other, on one row or on copies, counts as not labelled.
     """
-    source = df.select(named(id).alias("_id"), F.coalesce(named(stratum).cast("string"), F.lit("")).alias("stratum"), named(text).alias("_text"))
-    rows = materialise(measured(source, "_text").drop("_text"))
-    known = labels.select(named(id).alias("_id"), (named(label) > 0).alias("good"))
-    return rows, thresholds(rows.join(known, "_id").select("stratum", "good", "rule_bins"))
+    known = labels.where(named(label).isNotNull()).groupBy(named(id).alias("_id")).agg(
+        F.min(named(label) > 0).alias("worst"), F.max(named(label) > 0).alias("best"))
+    once = rows.join(known, "_id").groupBy("stratum", "text_key").agg(
+        F.min("worst").alias("worst"), F.max("best").alias("best"), F.first("rule_bins").alias("rule_bins"))
+    return once.where(F.col("worst") == F.col("best")).select("stratum", F.col("best").alias("good"), "rule_bins")
 
 
-def rated(df: DataFrame, labels: DataFrame, id: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
-    """One row for each text: (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
-    rows, cuts = calibrated(df, labels, id, stratum, text)
+def calibrated(df: DataFrame, labels: DataFrame, id: str, stratum: str, text: str, label: str, carried: list) -> tuple:
+    """(measured rows: `row` with the carried columns, _id, stratum, text_key, counts, rule_bins; their cutoffs).
+
+    The rows are measured and written once.  Labels: 1 good, 0 bad, null none.  A null stratum is the
+    stratum of the empty name, a null text an empty one.
+    """
+    source = df.select(named(id).alias("_id"), F.coalesce(named(stratum).cast("string"), F.lit("")).alias("stratum"), named(text).alias("_text"),
+                       F.struct(F.lit(None).cast("int").alias("_"), *[named(c) for c in carried]).alias("row"))
+    body = F.coalesce("_text", F.lit(""))
+    keyed = source.withColumn("text_key", F.struct(F.xxhash64(body), F.xxhash64(F.lit(1), body)))
+    rows = materialise(measured(keyed, "_text").drop("_text"))
+    return rows, thresholds(labelled(rows, labels, id, label))
+
+
+def rated(df: DataFrame, labels: DataFrame, id: str = "doc_id", stratum: str = "lang", text: str = "text", label: str = "quality") -> DataFrame:
+    """One row for each text: (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
+
+    Null and empty texts have no words and fail.  Repeated rows stay and are rated alike; for the
+    cutoffs each different text counts once (see `labelled`), ties among cutoffs go to the
+    mildest.  Texts are measured whole.  An empty table gives no rows, empty labels no cutoffs.
+    Other columns are ignored.
+    """
+    rows, cuts = calibrated(df, labels, id, stratum, text, label, [])
     return judged(rows, cuts).select(F.col("_id").alias(id), *COUNTS, "base_failed", "kept")
 
 
-def keep_good(df: DataFrame, labels: DataFrame, id: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
-    """The rows that pass, with the input's columns; measured again in place, so texts are not shuffled."""
-    _, cuts = calibrated(df, labels, id, stratum, text)
-    whole = df.select(F.struct(*[named(c) for c in df.columns]).alias("_all"), named(text).alias("_text"),
-                      F.coalesce(named(stratum).cast("string"), F.lit("")).alias("stratum"))
-    good = judged(measured(whole, "_text"), cuts).where("kept")
-    return good.select(*[F.col("_all").getField(c).alias(c) for c in df.columns])
+def keep_good(df: DataFrame, labels: DataFrame, id: str = "doc_id", stratum: str = "lang", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows that `rated` keeps, with the input's columns, whatever their names.
+
+    Rows are measured once and written with their verdict's numbers, so texts are neither measured
+    again nor shuffled.  Null texts, repeats and empty tables as in `rated`.
+    """
+    rows, cuts = calibrated(df, labels, id, stratum, text, label, df.columns)
+    return judged(rows, cuts).where("kept").select(*[F.col("row").getField(c).alias(c) for c in df.columns])

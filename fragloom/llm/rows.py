@@ -13,6 +13,17 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(taken: list, *names: str) -> list:
+    """The names, each with underscores put before it until no column of `taken` is called so (in any case of letters)."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name = "_" + name
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def kept_columns(df: DataFrame, new: list, keep: list = None) -> list:
     """The input columns that pass through; one named like a result column is replaced by it."""
     return [c for c in (df.columns if keep is None else keep) if c not in set(new)]
