@@ -188,10 +188,12 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK
         return run
 
     short = add_columns(source.where(n_chunks == 1), [body], fields, whole, keep=keep)
-    long = source.where(n_chunks > 1)
+    long = source.where(n_chunks > 1).select(
+        F.monotonically_increasing_id().alias("_row"), F.struct(F.lit(0).alias("_"), *[named(c) for c in keep]).alias("_kept"), F.col(body).alias("_text"))
+    n_chunks = F.ceil((F.length("_text") - overlap) / step)
     cut = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda k: F.struct(
-        k.alias("k"), F.substring(body, (k * step + 1).cast("int"), F.lit(chunk)).alias("text")))
-    rows = long.select(F.monotonically_increasing_id().alias("_row"), F.struct(F.lit(0).alias("_"), *[named(c) for c in keep]).alias("_kept"), F.explode(cut).alias("_c"))
+        k.alias("k"), F.substring("_text", (k * step + 1).cast("int"), F.lit(chunk)).alias("text")))
+    rows = long.select("_row", "_kept", F.explode(cut).alias("_c"))
     rows = rows.select("_row", "_kept", F.col("_c.k").alias("_k"), F.col("_c.text").alias("_text"))
     marks = "array<array<int>>"
     done = add_columns(rows.repartition("_row", "_k"), ["_text"], [("_ids", "binary"), ("_left", marks), ("_right", marks)], pieces)

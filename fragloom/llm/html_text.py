@@ -8,6 +8,7 @@ inside its own article, and an article in which nothing was decided is kept.
 
 import html
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 
@@ -39,6 +40,7 @@ STOP_WORDS = set("""a about after all also an and any are as at be because been
     che con da dal dei del della di e gli il le nel non per più sono sul una uno
     ao as com da das do dos em foi mais na nas no nos não os ou pela pelo por quando são um uma
     aan dat de een en er het hij ik in is maar met niet ook op te van voor was wat zijn""".split())
+WITHOUT = set("has have no non not with without".split())
 # --- end of fixed values ---
 
 SHORT, LONG = 70, 200
@@ -50,22 +52,40 @@ NAMED = re.compile(r"""(?:\s|^)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def blocks(page: str) -> list:
-    """(text, characters in links, element, away, article) in page order; empty blocks are left out.
+class _Closers:
+    """Where the end tags of an element stand: listed once for each name, so a search is no walk over the page."""
 
-    away: inside a container that is no main text; article: number of the innermost article, 0 if none.
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def after(self, name: str, at: int):
+        """End of the first end tag from `at` on, None without one."""
+        if name not in self.known:
+            found = re.compile(rf"</{re.escape(name)}\b[^>]*+(?:>|\Z)", re.I).finditer(self.page)
+            self.known[name] = list(zip(*[(m.start(), m.end()) for m in found])) or [(), ()]
+        starts, ends = self.known[name]
+        i = bisect_left(starts, at)
+        return ends[i] if i < len(starts) else None
+
+
+def blocks(page: str) -> tuple:
+    """((text, characters in links, element, away, article, hint) in page order, outer); empty blocks are left out.
+
+    away: inside an element that holds no main text; article: number of the innermost article, 0 if
+    none; hint: number of the innermost container whose class, id or role names a purpose other than
+    the main text, 0 if none since the innermost article; outer: the hint around each hint.
     """
     out, text, linked = [], [], 0
-    stack = []  # open containers: (name, away, article)
-    link, article, seen, hidden = 0, 0, 0, None
+    stack, opened = [], {}  # open containers: (name, away, article, hint); how many of each name
+    outer, closers = [0], _Closers(page)
+    link, seen = 0, 0
     at, element = 0, ""
 
     def flush():
         nonlocal text, linked
         whole = " ".join("".join(text).split())
         if whole:
-            away, art = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            out.append((whole, linked, element, away, art))
+            out.append((whole, linked, element, *(stack[-1][1:] if stack else (False, 0, 0))))
         text, linked = [], 0
 
     def add(raw):
@@ -93,17 +113,18 @@ def blocks(page: str) -> list:
                 link = max(0, link - 1)
             elif name in BLOCKS:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+                while opened.get(name):  # what stands open inside it ends with it
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
                         break
                 element, link = "", 0
             continue
         if name in HIDDEN:
-            closing = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if closing:
-                at = closing.end()
-            elif name in RAW:
+            end = None if (m["rest"] or "").endswith("/") else closers.after(name, at)
+            if end is not None:
+                at = end
+            elif name in RAW and not (m["rest"] or "").endswith("/"):
                 at = len(page)
             text.append(" ")
             continue
@@ -115,31 +136,62 @@ def blocks(page: str) -> list:
             flush()
             element, link = name, 0
             if name not in VOID and name not in ("p", "li", "td", "th", "tr", "dd", "dt", "option", "html", "body", "head"):
-                away, art = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                if name in MAIN:
+                away, art, hint = stack[-1][1:] if stack else (False, 0, 0)
+                if name in MAIN:  # a wrapper's name says nothing on an article inside it
                     seen += 1
-                    art = seen
-                away = away or name in AWAY or (name == "header" and not art) or (name != "article" and _named_away(m["rest"], art))
-                stack.append((name, away, art))
+                    art, hint = seen, 0
+                elif _named_away(m["rest"], art):
+                    outer.append(hint)
+                    hint = len(outer) - 1
+                stack.append((name, away or name in AWAY or (name == "header" and not art), art, hint))
+                opened[name] = opened.get(name, 0) + 1
     if at < len(page):
         add(page[at:])
     flush()
-    return out
+    return out, outer
 
 
 def _named_away(attributes: str, inside) -> bool:
     for m in NAMED.finditer(attributes or ""):
-        words = set(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+        words = set()
+        for one in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = re.split(r"[^a-z0-9]+", one)
+            if not WITHOUT & set(parts):  # "has-sidebar" and "no-comments" tell of something else on the page
+                words |= set(parts)
         if words & NAMES_AWAY and not (inside and words & NAMES_AWAY <= {"header"}):
             return True
     return False
 
 
-def decide(block: tuple):
-    """Pass one: good, bad or open."""
-    text, linked, _, away, article = block
+def _dense(text: str) -> bool:
+    found = WORD.findall(text.lower())
+    return len(text) >= LONG and sum(w in STOP_WORDS for w in found) >= MANY_STOPS * max(1, len(found))
+
+
+def condemned(found: list, outer: list) -> list:
+    """Which hints condemn what they hold.
+
+    A hint is evidence only: on a page without an article it is void where most of the page's dense
+    text stands below it, as it then wraps the main text.  One hint that holds condemns all inside it.
+    """
+    weight = [0] * len(outer)
+    for text, linked, _, away, article, hint in found:
+        if not away and not article and linked <= MANY_LINKS * len(text) and _dense(text):
+            weight[hint] += len(text)
+    articles = any(b[4] and not b[3] for b in found)
+    for i in range(len(outer) - 1, 0, -1):  # a hint has a smaller number than those inside it
+        weight[outer[i]] += weight[i]
+    out = [False] * len(outer)
+    for i in range(1, len(outer)):
+        out[i] = out[outer[i]] or articles or not weight[i] > weight[0] / 2
+    return out
+
+
+def decide(block: tuple, hinted: bool, articles: bool):
+    """Pass one: good, bad or open.  articles: the page marks its article, so text beside it needs stop words."""
+    text, linked, _, away, article, _ = block
     solid = len(text) - text.count(" ")
-    if away or linked > MANY_LINKS * solid:
+    if away or hinted or linked > MANY_LINKS * solid:
         return BAD
     if len(text) < SHORT:
         return OPEN
@@ -147,9 +199,7 @@ def decide(block: tuple):
     density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
     if density >= MANY_STOPS and len(text) >= LONG:
         return GOOD
-    if density >= FEW_STOPS or article:
-        return OPEN
-    return BAD
+    return OPEN if density >= FEW_STOPS or article or not articles else BAD
 
 
 def settle(found: list, labels: list) -> list:
@@ -186,13 +236,19 @@ def settle(found: list, labels: list) -> list:
 
 
 def main_text(page: str) -> str:
-    found = blocks(page or "")
-    labels = settle(found, [decide(b) for b in found])
+    found, outer = blocks(page or "")
+    bad, articles = condemned(found, outer), any(b[4] for b in found)
+    labels = settle(found, [decide(b, bad[b[5]], articles) for b in found])
     return "\n".join(b[0] for b, good in zip(found, labels) if good)
 
 
 def extract(df: DataFrame, html: str = "html", name: str = "text", keep: list = None) -> DataFrame:
-    """Adds the main text of every whole page; no shuffle.  Null and empty pages give an empty text."""
+    """Adds the main text of every whole page; no shuffle.
+
+    Null and empty pages give an empty text.  Pages are read whole, in time in proportion to their
+    length, however their tags nest.  Repeated rows stay.  An empty table gives no rows.  A column
+    named like the result is replaced; any other names may be used.
+    """
     def start():
         return lambda pages: [[main_text(p) for p in pages]]
 

@@ -38,18 +38,22 @@ def add_columns(df: DataFrame, inputs: list, fields: list, start: Callable, keep
     """
     names = [n for n, _ in fields]
     keep = kept_columns(df, names, keep)
-    source = df.select(*[named(c) for c in dict.fromkeys([*keep, *inputs])])
-    schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+    taken = list(dict.fromkeys([*keep, *inputs]))
+    # numbered inside, so that columns may have any names
+    source = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(taken)])
+    number = {c: f"c{i}" for i, c in enumerate(taken)}
+    schema = T.StructType([source.schema[number[c]] for c in keep] + [T.StructField(f"n{i}", T._parse_datatype_string(t)) for i, (_, t) in enumerate(fields)])
+    width = len(keep)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
         step = start()
-        kinds = [to_arrow_type(schema[n].dataType) for n in names]
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields[width:]]
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            new = step(*[batch.column(at[c]).to_pylist() for c in inputs])
-            yield pa.RecordBatch.from_arrays([batch.column(at[c]) for c in keep]
-                                             + [pa.array(v, type=k) for v, k in zip(new, kinds)], [*keep, *names])
+            new = step(*[batch.column(at[number[c]]).to_pylist() for c in inputs])
+            yield pa.RecordBatch.from_arrays([batch.column(at[number[c]]) for c in keep]
+                                             + [pa.array(v, type=k) for v, k in zip(new, kinds)], schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *names)

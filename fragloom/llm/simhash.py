@@ -186,16 +186,16 @@ def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
 
     Where rows of the component repeat that id, the one with the smallest text hash stays.  In a
     component without any id all rows count as repeating the null id.  Components are told apart
-    by their root, so ids that several components repeat, or lack, cost none of them its row.
+    by their root, so ids that several components repeat, or lack, cost none of them its row.  Of
+    rows with equal id and text the one whose columns, written as JSON, sort first stays.  Columns
+    may have any names.  An empty table gives no rows.
     """
     found = _labelled(df, id, text, shingle, near)
     first = (found.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("root", "_id", "_hash").agg(F.count(F.lit(1)).alias("_n"))
              .groupBy("root").agg(F.min_by(F.struct("_id", "_hash", "_n"), "_hash").alias("_f"))
              .select("_f._id", "_f._hash", "_f._n"))
-    digest = "_".join(["_digest", *df.columns])  # a name that no column has
-
-    def chosen(rows):
-        return df.join(rows, named(id).eqNullSafe(F.col("_id")) & (F.xxhash64(named(text)) == F.col("_hash")), "left_semi")
-
-    copies = chosen(first.where("_n > 1")).withColumn(digest, F.xxhash64(named(text))).dropDuplicates([id, digest]).drop(digest)
-    return chosen(first.where("_n = 1")).unionByName(copies)
+    whole = df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), named(id).alias("id"), F.xxhash64(named(text)).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_hash"))
+    one = whole.join(first.where("_n = 1"), same, "left_semi")
+    copies = whole.join(first.where("_n > 1"), same, "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return one.select("row").unionByName(copies.select("row")).select(*[F.col("row").getField(c).alias(c) for c in df.columns])
