@@ -103,21 +103,26 @@ def fit_rows(rows: list, grades: list, n_grades: int):
     return weights, np.cumsum(np.concatenate([[theta[0]], np.exp(theta[1:])]))
 
 
-def fit(rows: DataFrame, n_grades: int, text: str = "text", grade: str = "grade", sample: int = SAMPLE) -> tuple:
+def fit(rows: DataFrame, n_grades: int, labels: DataFrame = None, id: str = "doc_id", text: str = "text", grade: str = "grade",
+        sample: int = SAMPLE) -> tuple:
     """(weights, cuts) from at most `sample` different texts with a grade 0 .. n_grades-1, all if there are fewer.
 
-    Each different text counts once, whatever its copies, repeated rows and ids; one with contradicting
-    grades counts as none.  The sample are the texts with the smallest hashes (128 bits, so without
-    ties); their keys pass the driver, their texts one task.  A null text is an empty one, a
-    null grade no grade.  Without any labelled text the weights are zero and the grades
-    equally likely.  Other columns are ignored.
+    labels: (id, grade) rows; without them `rows` have the grades.  Each different text counts once,
+    whatever its copies, repeated rows and ids; one with contradicting grades counts as none.  The
+    sample are the texts with the smallest hashes (128 bits, so without ties).  Only hashes are
+    shuffled to find them; their keys, at most `sample`, are broadcast, their texts pass one task.
+    A null text is an empty one, a null grade no grade.  Without any labelled text the weights are
+    zero and the grades equally likely.  Other columns are ignored.
     """
     body = F.coalesce(named(text), F.lit(""))
-    known = rows.where(named(grade).between(0, n_grades - 1)).select(
-        F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b")).alias("k"), body.alias("t"), named(grade).cast("int").alias("g"))
-    texts = known.groupBy("k").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low = high").select("k")
-    keys = texts.orderBy("k").limit(sample)
-    chosen = known.join(F.broadcast(keys), "k").groupBy("k").agg(F.first("t").alias("t"), F.first("g").alias("g")).drop("k")
+    key = F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b")).alias("k")
+    if labels is None:
+        graded = rows.select(key, named(grade).alias("g"))
+    else:
+        graded = rows.select(key, named(id).alias("i")).join(labels.select(named(id).alias("i"), named(grade).alias("g")), "i")
+    once = graded.where(F.col("g").between(0, n_grades - 1)).groupBy("k").agg(F.min("g").cast("int").alias("g"), F.max("g").alias("high"))
+    keys = once.where("g = high").orderBy("k").limit(sample).select("k", "g")
+    chosen = rows.select(key, body.alias("t")).join(F.broadcast(keys), "k").groupBy("k").agg(F.first("t").alias("t"), F.first("g").alias("g")).drop("k")
 
     def parse():
         cache = {}

@@ -60,7 +60,7 @@ def ordinal_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
     rated = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
-    model = ordinal.fit(docs.join(rated, "doc_id"), GRADES)
+    model = ordinal.fit(docs, GRADES, rated)
     return ordinal.grade(docs, model, GRADES - 1, keep=["doc_id"]).withColumn("kept", F.col("tail_probability") >= TAIL)
 
 
