@@ -45,7 +45,7 @@ class Encoder:
             if len(piece) <= SHORT:
                 if len(self.cache) >= CACHED:
                     self.cache.clear()
-                self.cache[piece] = found
+                self.cache[piece] = found = tuple(found)
         return found
 
     def _short(self, raw: bytes) -> list:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a batch whose values are Python objects at the same time.
+ROWS = 2048
+
+
 def named(name: str) -> Column:
     """A column by its exact name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -50,7 +54,7 @@ def add_columns(df: DataFrame, inputs: list, fields: list, start: Callable, keep
 
         step = start()
         kinds = [to_arrow_type(f.dataType) for f in schema.fields[width:]]
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             at = {n: i for i, n in enumerate(batch.schema.names)}
             new = step(*[batch.column(at[number[c]]).to_pylist() for c in inputs])
             yield pa.RecordBatch.from_arrays([batch.column(at[number[c]]) for c in keep]
