@@ -11,6 +11,8 @@ Null and empty texts have no ids.  Rows, also repeated ones, keep their other co
 
 import base64
 import heapq
+import struct
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from .rows import add_columns, fresh, kept_columns, named
 CHUNK, OVERLAP = 65_536, 1_024
 #: Characters at the end of a chunk where its boundaries may differ from those of the whole text.
 UNSURE = 8
-CACHED, SHORT = 150_000, 48
+CACHED, SHORT = 200_000, 48
 
 
 def read_ranks(path: str) -> dict:
@@ -28,25 +30,42 @@ def read_ranks(path: str) -> dict:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+class Pieces(dict):
+    """Packed ids by piece, made when first asked for, since words repeat; long pieces are not kept.
+
+    When full, it starts anew and the last filling is asked before a piece is made again, so
+    frequent pieces stay.
+    """
+
+    def __init__(self, make):
+        self.make, self.last = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.last.get(piece)
+        if packed is None:
+            ids = self.make(piece)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= SHORT:
+            if len(self) >= CACHED:
+                self.last = dict(self)
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class Encoder:
-    """Merges of one rank file; pieces are cached, since words repeat."""
+    """Merges of one rank file."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.ranks, self.pattern, self.cache = read_ranks(path), regex.compile(pattern), {}
+        self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
+        self.pieces = Pieces(self.piece)
 
     def piece(self, piece: str) -> list:
-        found = self.cache.get(piece)
-        if found is None:
-            raw = piece.encode("utf-8")
-            whole = self.ranks.get(raw)
-            found = [whole] if whole is not None else self._short(raw) if len(raw) <= SHORT else self._long(raw)
-            if len(piece) <= SHORT:
-                if len(self.cache) >= CACHED:
-                    self.cache.clear()
-                self.cache[piece] = found = tuple(found)
-        return found
+        raw = piece.encode("utf-8")
+        whole = self.ranks.get(raw)
+        return [whole] if whole is not None else self._short(raw) if len(raw) <= SHORT else self._long(raw)
 
     def _short(self, raw: bytes) -> list:
         parts = [raw[i:i + 1] for i in range(len(raw))]
@@ -93,27 +112,31 @@ class Encoder:
             i = end[i]
         return out
 
-    def encode(self, text: str) -> list:
-        ids, get = [], self.cache.get
-        for p in self.pattern.findall(text):
-            ids.extend(get(p) or self.piece(p))
-        return ids
+    def encode(self, text: str) -> bytes:
+        """Packed ids."""
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def encode_marked(self, text: str, zones: list) -> tuple:
-        """Ids, and for each zone (from, to) its boundaries as [position, number of ids before it]."""
-        ids, marks = [], [[] for _ in zones]
+        """Packed ids, and for each zone (from, to) its boundaries as [position, number of ids before it]."""
+        ids, n, marks = [], 0, [[] for _ in zones]
         for m in self.pattern.finditer(text):
             for zone, out in zip(zones, marks):
                 if zone[0] <= m.start() <= zone[1]:
-                    out.append([m.start(), len(ids)])
-            ids.extend(self.piece(m[0]))
-        return ids, marks
+                    out.append([m.start(), n])
+            ids.append(self.pieces[m[0]])
+            n += len(ids[-1]) // 4
+        return b"".join(ids), marks
 
 
-def pack(ids: list) -> bytes:
-    import numpy as np
+@lru_cache(maxsize=1)
+def shared_encoder(path: str, pattern: str) -> Encoder:
+    """One encoder for all tasks of a worker, so its pieces stay known."""
+    return Encoder(path, pattern)
+
 
-    return np.array(ids, dtype="<u4").tobytes()
+@lru_cache(maxsize=1)
+def byte_table(path: str) -> dict:
+    return {i: b for b, i in read_ranks(path).items()}
 
 
 def unpack(raw: bytes):
@@ -122,8 +145,9 @@ def unpack(raw: bytes):
     return np.frombuffer(raw, dtype="<u4")
 
 
-def stitch(chunks: list, step: int, encoder) -> list:
-    """chunks: (text, ids, left marks, right marks) in order, positions counted from each chunk's start."""
+def stitch(chunks: list, step: int, encoder) -> bytes:
+    """Packed ids of the whole text; chunks: (text, packed ids, left marks, right marks) in order, positions
+    counted from each chunk's start."""
     out, base, grow = [], 0, 1  # ids before the open chunk; its first ids that the one before covers
     text, ids, _, right = chunks[0]
     origin, i = 0, 1
@@ -132,7 +156,7 @@ def stitch(chunks: list, step: int, encoder) -> list:
         left = {where + pos: at for pos, at in chunks[i][2]}
         joint = next(((at, left[origin + pos]) for pos, at in right if at >= base and origin + pos in left), None)
         if joint:
-            out += list(ids[base:joint[0]])
+            out.append(ids[4 * base:4 * joint[0]])
             text, ids, _, right = chunks[i]
             origin, base, grow, i = where, joint[1], 1, i + 1
             continue
@@ -142,7 +166,7 @@ def stitch(chunks: list, step: int, encoder) -> list:
             i += 1
         grow *= 2
         ids, (right,) = encoder.encode_marked(text, [(i * step - origin, len(text) - UNSURE)])
-    return out + list(ids[base:])
+    return b"".join([*out, ids[4 * base:]])
 
 
 def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP,
@@ -163,27 +187,27 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK
     fields = [("ids", "binary"), ("n_tokens", "bigint")]
 
     def whole():
-        encoder = Encoder(path, pattern)
+        encoder = shared_encoder(path, pattern)
 
         def run(texts):
-            ids = [pack(encoder.encode(t)) for t in texts]  # packed at once: lists of one text at a time
+            ids = [encoder.encode(t) for t in texts]
             return ids, [len(i) // 4 for i in ids]
         return run
 
     def pieces():
-        encoder = Encoder(path, pattern)
+        encoder = shared_encoder(path, pattern)
 
         def run(texts):
-            done = [(pack(ids), *marks) for ids, marks in (
+            done = [(ids, *marks) for ids, marks in (
                 encoder.encode_marked(t, [(0, overlap - UNSURE), (step, len(t) - UNSURE)]) for t in texts)]
             return [list(column) for column in zip(*done)] if done else [[], [], []]
         return run
 
     def joined():
-        encoder = Encoder(path, pattern)
+        encoder = shared_encoder(path, pattern)
 
         def run(rows):
-            ids = [pack(stitch([(c["text"], unpack(c["ids"]), c["left"], c["right"]) for c in row], step, encoder)) for row in rows]
+            ids = [stitch([(c["text"], c["ids"], c["left"], c["right"]) for c in row], step, encoder) for row in rows]
             return ids, [len(i) // 4 for i in ids]
         return run
 
@@ -208,7 +232,7 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: list = None) -> DataFrame:
     """Adds `decoded` (binary): the raw bytes of the ids, concatenated.  Null ids decode to null."""
     def start():
-        table = {i: b for b, i in read_ranks(path).items()}
+        table = byte_table(path)
 
         def run(column):
             return [[None if raw is None else b"".join(map(table.__getitem__, unpack(raw).tolist())) for raw in column]]
