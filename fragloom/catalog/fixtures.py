@@ -11,7 +11,7 @@ SCAFFOLD_CASE = """CASE {key} % 6
          WHEN 0 THEN '[*:0]c1ccccc1[*:1]'
          WHEN 1 THEN '[*:1]CCN1CCN([*:0])CC1'
          WHEN 2 THEN '[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]'
-         WHEN 3 THEN '[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1'
+         WHEN 3 THEN '[*:0]CCSC1CCN(Cc2ccoc2[*:1])C1'
          WHEN 4 THEN '*c1ccc(Br)cc1'
          ELSE 'c1ccncc1' END"""
 
@@ -38,7 +38,7 @@ VIEWS = {
     # training pairs: one-point scaffolds, decorations of three to four pieces
     "fx_train": ("lineitem", "SELECT " + PAIR_ID + """ AS pair_id,
        CASE l_partkey % 5 WHEN 0 THEN 'c1ccccc1[*]' WHEN 1 THEN '[*]CCN1CCNCC1' WHEN 2 THEN 'O=C([*])Nc1ccccc1'
-                          WHEN 3 THEN 'CC=CCN1CCN([*])CC1' ELSE '[*]n1ccnc1' END AS scaffold,
+                          WHEN 3 THEN 'CCSC1CCN([*])C1' ELSE '[*]n1ccnc1' END AS scaffold,
        concat('[*]', CASE l_suppkey % 7 WHEN 0 THEN 'C' WHEN 1 THEN 'CC' WHEN 2 THEN 'O' WHEN 3 THEN 'N(C)'
                           WHEN 4 THEN 'C(=O)' WHEN 5 THEN 'S(=O)(=O)' ELSE 'c1ccc(cc1)' END,
               CASE l_linenumber % 3 WHEN 0 THEN 'C' WHEN 1 THEN '' ELSE 'C(F)' END,
@@ -47,7 +47,7 @@ VIEWS = {
     # pairs of another table: other combinations of the same tokens, now and then a token of its own
     "fx_check": ("orders", """SELECT CAST(o_orderkey AS VARCHAR(20)) AS pair_id,
        CASE o_custkey % 5 WHEN 0 THEN 'c1ccccc1[*]' WHEN 1 THEN '[*]CCN1CCNCC1' WHEN 2 THEN 'O=C([*])Nc1ccccc1'
-                          WHEN 3 THEN 'CC=CCN1CCN([*])CC1' ELSE '[*]n1ccnc1' END AS scaffold,
+                          WHEN 3 THEN 'CCSC1CCN([*])C1' ELSE '[*]n1ccnc1' END AS scaffold,
        concat('[*]', CASE o_orderkey % 7 WHEN 0 THEN 'C' WHEN 1 THEN 'CC' WHEN 2 THEN 'O' WHEN 3 THEN 'N(C)'
                           WHEN 4 THEN 'C(=O)' WHEN 5 THEN 'CCl' ELSE 'I' END,
               CASE o_orderkey % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'N' ELSE '' END) AS decoration FROM {orders}"""),

@@ -275,13 +275,13 @@ GRAFTED = """(VALUES
     ('[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]', '[*]N(C)C', '[*]c1c(ccc([*])c1)NC(N(C)C)=O'),
     ('[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]', '[*]C(=O)O', '[*]c1c(ccc([*])c1)NC(C(=O)O)=O'),
     ('[*:0]C(=O)Nc1ccc([*:1])cc1[*:2]', '*Cl', '[*]c1c(ccc([*])c1)NC(Cl)=O'),
-    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]C', '[*]c1c(cccc1N1CCN(CC=CCC)CC1)Cl'),
-    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]CC', '[*]c1c(cccc1N1CCN(CC=CCCC)CC1)Cl'),
-    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]c1ccccc1', '[*]c1c(cccc1N1CCN(CC=CCc2ccccc2)CC1)Cl'),
-    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]OC', '[*]c1c(cccc1N1CCN(CC=CCOC)CC1)Cl'),
-    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]N(C)C', '[*]c1c(cccc1N1CCN(CC=CCN(C)C)CC1)Cl'),
-    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '[*]C(=O)O', '[*]c1c(cccc1N1CCN(CC=CCC(=O)O)CC1)Cl'),
-    ('[*:0]CC=CCN1CCN(c2cccc(Cl)c2[*:1])CC1', '*Cl', '[*]c1c(cccc1N1CCN(CC=CCCl)CC1)Cl'),
+    ('[*:0]CCSC1CCN(Cc2ccoc2[*:1])C1', '[*]C', '[*]c1c(CN2CC(CC2)SCCC)cco1'),
+    ('[*:0]CCSC1CCN(Cc2ccoc2[*:1])C1', '[*]CC', '[*]c1c(CN2CC(CC2)SCCCC)cco1'),
+    ('[*:0]CCSC1CCN(Cc2ccoc2[*:1])C1', '[*]c1ccccc1', '[*]c1c(CN2CC(CC2)SCCc2ccccc2)cco1'),
+    ('[*:0]CCSC1CCN(Cc2ccoc2[*:1])C1', '[*]OC', '[*]c1c(CN2CC(CC2)SCCOC)cco1'),
+    ('[*:0]CCSC1CCN(Cc2ccoc2[*:1])C1', '[*]N(C)C', '[*]c1c(CN2CC(CC2)SCCN(C)C)cco1'),
+    ('[*:0]CCSC1CCN(Cc2ccoc2[*:1])C1', '[*]C(=O)O', '[*]c1c(CN2CC(CC2)SCCC(=O)O)cco1'),
+    ('[*:0]CCSC1CCN(Cc2ccoc2[*:1])C1', '*Cl', '[*]c1c(CN2CC(CC2)SCCCl)cco1'),
     ('*c1ccc(Br)cc1', '[*]C', 'Brc1ccc(C)cc1'),
     ('*c1ccc(Br)cc1', '[*]CC', 'Brc1ccc(CC)cc1'),
     ('*c1ccc(Br)cc1', '[*]c1ccccc1', 'Brc1ccc(-c2ccccc2)cc1'),
