@@ -7,12 +7,14 @@ member's compressed length in a gzip extra field.  Members without that field (o
 writers) are inflated and dropped.  The payload is decoded only if its column is asked for.
 
 Writing: each task writes files that roll over at a size, under names that no other attempt
-has, in a pending folder; the driver's commit moves the finished ones into place, so an attempt
-that was lost leaves nothing behind that a reader sees.
+has, in a pending folder; the driver's commit moves the finished ones into place and leaves a mark
+last.  Files of a job without its mark are not read, so neither a lost attempt nor a driver lost
+half-way leaves anything behind that a reader sees.
 """
 
 import base64
 import hashlib
+import re
 import struct
 import zlib
 
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition,
                                     WriterCommitMessage)
 
+from ..operators.lineage import materialise, remove
+from ..operators.lookup import lookup
 from .rows import named
 
 # --- fixed values: the format's names ---
@@ -32,6 +36,8 @@ SCHEMA = ("record_id string, record_type string, target_uri string, date string,
 
 #: Bytes of a file, and of the files that make one partition.
 ROLL, PARTITION = 64 << 20, 32 << 20
+#: Left by the driver after all files of a job are in place; files of a job without it are not read.
+COMMITTED, OWN_PART = "_committed-", re.compile(r"part-([0-9a-f]{32})-[0-9a-f]{32}\.warc\.gz$")
 MARK = b"WL"  # our gzip extra field: the member's compressed length
 READ = 1 << 20
 
@@ -74,6 +80,12 @@ def member(raw: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
+def _qualified(spark, path: str) -> str:
+    """The path with its scheme: one without means the session's default file system, as in Spark's own sources."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
@@ -89,7 +101,8 @@ class WarcWriter(DataSourceWriter):
         import uuid
 
         self.path, self.roll = options["path"], int(options.get("roll", ROLL))
-        self.pending = f"{self.path.rstrip('/')}/_pending-{uuid.uuid4().hex}"
+        self.job = uuid.uuid4().hex
+        self.pending = f"{self.path.rstrip('/')}/_pending-{self.job}"
 
     def write(self, iterator):
         import uuid
@@ -101,7 +114,7 @@ class WarcWriter(DataSourceWriter):
             if out is None or size >= self.roll:
                 if out is not None:
                     out.close()
-                names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                names.append(f"part-{self.job}-{uuid.uuid4().hex}.warc.gz")
                 out, size = system.open_output_stream(f"{folder}/{names[-1]}", compression=None), 0
             data = member(record(row.asDict()))
             out.write(data)
@@ -113,12 +126,14 @@ class WarcWriter(DataSourceWriter):
         return message
 
     def commit(self, messages):
+        """Moves the files, then leaves the mark without which no reader takes them."""
         system, folder = _filesystem(self.pending)
         _, final = _filesystem(self.path)
         system.create_dir(final, recursive=True)
         for message in messages:
             for name in message.names if message else []:
                 system.move(f"{folder}/{name}", f"{final}/{name}")
+        system.open_output_stream(f"{final}/{COMMITTED}{self.job}", compression=None).close()
         self._drop()
 
     def abort(self, messages):
@@ -157,8 +172,10 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         system, folder = _filesystem(self.path)
-        files = [f for f in system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
-                 if f.is_file and not any(p[:1] in "_." for p in f.path[len(folder):].strip("/").split("/"))]
+        found = [f for f in system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True)) if f.is_file]
+        done = {f.base_name[len(COMMITTED):] for f in found if f.base_name.startswith(COMMITTED)}
+        files = [f for f in found if not any(p[:1] in "_." for p in f.path[len(folder):].strip("/").split("/"))
+                 and not ((ours := OWN_PART.match(f.base_name)) and ours[1] not in done)]
         out, held, size = [], [], 0
         for f in sorted(files, key=lambda f: f.path):
             held.append(f.path)
@@ -265,7 +282,7 @@ def register(spark) -> None:
 def write(df, path: str, **options) -> None:
     """Rows with any of SCHEMA's columns -> archives under `path`, added to what is there."""
     register(df.sparkSession)
-    df.write.format("warc").mode("append").options(**options).save(path)
+    df.write.format("warc").mode("append").options(**options).save(_qualified(df.sparkSession, path))
 
 
 def read(spark, path: str, columns: list = None, **options):
@@ -275,7 +292,7 @@ def read(spark, path: str, columns: list = None, **options):
     if columns:
         kinds = dict(x.split(" ") for x in SCHEMA.split(", "))
         reader = reader.schema(", ".join(f"{c} {kinds[c]}" for c in columns))
-    return reader.load(path)
+    return reader.load(_qualified(spark, path))
 
 
 def archive(pages, path: str, id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
@@ -287,12 +304,14 @@ def archive(pages, path: str, id: str = "page_id", url: str = "url", html: str =
     rows = pages.select(named(id).alias("_id"), named(url).cast("string").alias("target_uri"), raw.alias("payload"))
     rows = rows.withColumns({"_sha": F.unhex(F.sha1("payload")), "payload_bytes": F.octet_length("payload").cast("bigint")})
     first = rows.where(F.col("payload_bytes") >= least).groupBy("_sha").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(first.where("_n > 1").drop("_n"), "_sha", "left")
+    first = materialise(first.where("_n > 1"))
+    rows = lookup(rows, first, ["_sha"], "_n")  # frequent payloads never meet in one task
     again = ~F.col("_id").eqNullSafe(F.col("_first")) & F.col("_first").isNotNull()
     write(rows.select(
         record_urn(F.col("_id")).alias("record_id"), F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
         "target_uri", F.lit("1970-01-01T00:00:00Z").alias("date"), F.when(again, record_urn(F.col("_first"))).alias("refers_to"),
         base32(F.hex("_sha")).alias("payload_digest"), "payload_bytes", F.when(~again, F.col("payload")).alias("payload")), path)
+    remove(first)
 
 
 def record_urn(id):

@@ -199,3 +199,23 @@ def test_files_roll_over_and_partitions_follow_size(spark, pages, tmp_path):
     warc.write(rows, str(tmp_path / "w"), roll=1)
     assert len(list((tmp_path / "w").glob("*.warc.gz"))) == 7
     assert warc.read(spark, str(tmp_path / "w"), partition=1).rdd.getNumPartitions() == 7
+
+
+def test_files_of_a_job_without_its_mark_are_not_read(spark, pages, tmp_path):
+    path = str(tmp_path / "w")
+    warc.archive(pages, path)
+    once = warc.read(spark, path).count()
+    mark, = (tmp_path / "w").glob("_committed-*")
+    warc.archive(pages, "file:" + path)  # added to what is there; the scheme may be written
+    assert warc.read(spark, path).count() == 2 * once
+    mark.unlink()
+    assert warc.read(spark, path).count() == once
+
+
+def test_payloads_that_most_pages_share(spark, tmp_path):
+    same = [(i, "u", "same" if i % 3 else f"own {i}") for i in range(300)]
+    warc.archive(spark.createDataFrame(same, "page_id bigint, url string, html string").repartition(4), str(tmp_path / "w"))
+    out = warc.read(spark, str(tmp_path / "w"), ["record_id", "record_type", "refers_to"]).collect()
+    assert len(out) == 300
+    assert {r["record_id"] for r in out if r["record_type"] == "revisit"} == {f"urn:page:{i}" for i in range(300) if i % 3 and i != 1}
+    assert {r["refers_to"] for r in out if r["record_type"] == "revisit"} == {"urn:page:1"}
