@@ -9,13 +9,15 @@
    documents share a window with, cut into phrases of half a window, so every window of a passage
    holds a whole phrase.  One Aho-Corasick automaton for each bucket holds them.
 3. Streaming.  Each document with a recurring window runs through its bucket's automaton once;
-   where a phrase occurs, the windows around it are confirmed against the passages.
+   where a phrase occurs, the windows around it are confirmed word by word against the passages.
 
 A passage that a third of all documents share is one row for each bucket, and its windows are
 merged before they are shuffled; no step pairs up the documents that share it.
 """
 
 import itertools
+from array import array
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,13 +163,19 @@ def _passages(window):
 
 
 class Phrases:
-    """One bucket's automaton over word numbers, and the windows of its passages with their owners."""
+    """One bucket's automaton over word numbers, and the windows of its passages with their owners.
+
+    Word numbers are exact, so windows are compared word by word: a hash only says where to look.
+    """
 
     def __init__(self, window: int):
         import ahocorasick
 
         self.window, self.size = window, window // 2
-        self.numbers, self.owners, self.count = {}, {}, 0
+        self.numbers, self.count = {}, 0
+        # all passages as one row of word numbers; where each starts and whose it is
+        self.text, self.starts, self.owners = array("I"), [], []
+        self.places, self.others = {}, {}  # window hash -> its place in the text; further windows of equal hash
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
         self.roll = Rolling(window)
 
@@ -185,10 +193,43 @@ class Phrases:
         for i in range(0, len(ids) - self.size + 1, self.size):
             self.automaton.add_word(tuple(ids[i:i + self.size]))
             self.count += 1
-        for h in self._hashes(ids).tolist():
-            known = self.owners.get(h)
-            if known is None or owner < known:
-                self.owners[h] = owner
+        start, wide = len(self.text), self.window
+        self.text.extend(ids)
+        self.starts.append(start)
+        self.owners.append(owner)
+        for at, h in enumerate(self._hashes(ids).tolist(), start):
+            known = self.places.setdefault(h, at)
+            if known == at:
+                continue
+            window = self.text[at:at + wide]
+            if self.text[known:known + wide] == window:
+                if owner < self.owner(known):
+                    self.places[h] = at
+            else:
+                self.others.setdefault(h, []).append(at)
+
+    def owner(self, place: int):
+        """Whose passage holds this place of the text."""
+        return self.owners[bisect_right(self.starts, place) - 1]
+
+    def confirmed(self, id, ids: list, at: list) -> list:
+        """Those places among `at` whose window stands word by word in a passage of a smaller id."""
+        text, wide, hit, before = self.text, self.window, [], (None, None)
+        numbers = array("I", ids)
+        for p, h in zip(at, self._hashes(ids)[at].tolist()):
+            known = self.places.get(h)
+            if known is None:
+                continue
+            for q in (known, *self.others.get(h, ())):
+                if before == (p - 1, q - 1):  # all but the last word are compared already
+                    same = numbers[p + wide - 1] == text[q + wide - 1]
+                else:
+                    same = numbers[p:p + wide] == text[q:q + wide]
+                if same and self.owner(q) < id:
+                    hit.append(p)
+                    before = (p, q)
+                    break
+        return hit
 
     def close(self) -> None:
         if self.count:
@@ -209,9 +250,7 @@ class Phrases:
         low, high = np.maximum(last + 1 - self.window, 0), np.minimum(last - self.size + 2, top)
         fits = low < high
         near += np.bincount(low[fits], minlength=n + 1) - np.bincount(high[fits], minlength=n + 1)
-        at = np.flatnonzero(np.cumsum(near)[:top])
-        hashes, owners = self._hashes(ids)[at].tolist(), self.owners
-        hit = [p for p, h in zip(at.tolist(), hashes) if (owner := owners.get(h)) is not None and owner < id]
+        hit = self.confirmed(id, ids, np.flatnonzero(np.cumsum(near)[:top]).tolist())
         cover += np.bincount(hit, minlength=n + 1).astype(np.int64)
         cover -= np.bincount(np.array(hit, dtype=np.int64) + self.window, minlength=n + 1)
         return np.cumsum(cover)[:n] > 0

@@ -397,3 +397,17 @@ def test_ordinal_model_without_labels(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, grade int")
     weights, cuts = ordinal.fit(df, 3)
     assert not weights.any() and len(cuts) == 2
+
+
+def test_windows_of_equal_hash_are_told_apart_by_their_words(monkeypatch):
+    draw = random.Random(3)
+    texts = {i: [draw.choice([b"a", b"b"]) for _ in range(40)] for i in range(12)}
+    monkeypatch.setattr(phrases.Phrases, "_hashes", lambda self, numbers: np.zeros(max(len(numbers) - self.window + 1, 0), dtype=np.uint64))
+    found = phrases.Phrases(6)
+    for owner in (9, 0, 4, 2):
+        found.add(owner, b" ".join(texts[owner]).decode())
+    found.close()
+    for id, words in texts.items():
+        known = {tuple(texts[o][k:k + 6]) for o in (0, 2, 4, 9) if o < id for k in range(35)}
+        want = [any(tuple(words[k:k + 6]) in known for k in range(max(0, i - 5), min(i, 34) + 1)) for i in range(40)]
+        assert found.covered(id, words).tolist() == want
