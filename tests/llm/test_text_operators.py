@@ -65,6 +65,14 @@ def test_long_pieces_merge_alike():
         assert encoder._long(raw) == encoder._short(raw)
 
 
+def test_known_pieces_are_bounded_and_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 5)
+    text = " ".join(f"word{i % 13} unseen{i} Größe{i % 3}" for i in range(200))
+    encoder = bpe.Encoder(RANKS, public.PATTERN)
+    assert bpe.unpack(encoder.encode(text)).tolist() == tiktoken_encoding().encode_ordinary(text)
+    assert max(len(encoder.pieces), len(encoder.pieces.last)) <= 5
+
+
 def test_empty_table_encodes(spark):
     assert bpe.encode(rows(spark, []), "text", RANKS, public.PATTERN).count() == 0
 
