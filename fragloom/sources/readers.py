@@ -5,6 +5,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import materialise
 from ..operators.ranking import ranked
 
 
@@ -59,11 +60,14 @@ def read_conditions(spark: SparkSession, path: str) -> tuple:
 def read_training_sets(spark: SparkSession, folder: str) -> DataFrame:
     """(set_no, scaffold, decoration): files of a folder and its sub-folders, numbered from 0 by path.
 
-    The files are listed as a table without reading them, ranked, and joined by path; a list that
-    is small the engine broadcasts by itself.
+    The files of one epoch that `write_training_sets` has written are one set, however many there are.  The
+    files are listed as a table without reading them, ranked, and joined by path; the list is written
+    once, so a small one the engine broadcasts by itself.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_path").alias("_file"))
-    numbered = ranked(files, [], ["_file"], "_no").select("_file", (F.col("_no") - 1).cast("int").alias("set_no"))
+    files = files.withColumn("_set", F.regexp_replace("_file", r"(/epoch=[^/]*)/part-[^/]*$", "$1"))
+    sets = ranked(files.select("_set").distinct(), [], ["_set"], "_no")
+    numbered = materialise(files.join(sets, "_set").select("_file", (F.col("_no") - 1).cast("int").alias("set_no")))
     lines = spark.read.option("recursiveFileLookup", "true").text(folder).select("value", F.col("_metadata.file_path").alias("_file"))
     f = fields(F.col("value"))
     return lines.join(numbered, "_file").select(
