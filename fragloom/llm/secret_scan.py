@@ -38,8 +38,9 @@ ENCODINGS = list(ALPHABETS)
 BANDS = [16, 20, 24, 32, 40, 64, 128]
 #: Scores are compared on this grid; the share of false discoveries that is allowed in each band.
 GRID, RATE = 200, 0.01
-#: In each band a decoy begins every so many letters; so many letters of decoys are scored at a time.
-STEP, SLAB = 256, 1 << 18
+#: In each band a decoy begins every so many letters, the least length, so that no letter is passed over; so many
+#: letters are scored at a time; all lengths and STEP are multiples of BLOCK.
+STEP, SLAB, BLOCK = BANDS[0], 1 << 16, 4
 _CODES = [{c: i for i, c in enumerate(a)} for a in ALPHABETS.values()]
 _CODES[0].update({c.upper(): i for c, i in list(_CODES[0].items())})
 _CODES[2].update({"-": 62, "_": 63})
@@ -122,34 +123,80 @@ def candidates(text: str, spans: list) -> list:
     return out
 
 
-def batteries(codes, size: int) -> list:
-    """The scores of battery() for stretches of one length, the rows of `codes`."""
+def _log_tails(z):
+    """Logarithms of _tail(), of a whole array (Chebyshev fit of erfc, to 1.2e-7 of its value)."""
     import numpy as np
 
-    rows, n = codes.shape
-    at = codes.astype(np.int64) + size * np.arange(rows)[:, None]
-    counts = np.bincount(at.ravel(), minlength=rows * size).reshape(rows, size)
-    chi = size / n * (counts * counts).sum(1) - n
+    far = np.abs(z) / math.sqrt(2)
+    t = 1 / (1 + far / 2)
+    fit = np.zeros_like(t)
+    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        fit = fit * t + c
+    upper = np.log(t / 2) - far * far + fit
+    return np.maximum(np.where(z >= 0, upper, np.log1p(-np.exp(upper))), math.log(1e-300))
+
+
+def _scores(n: int, size: int, squares, above, changes, products, total, ends, total_squares):
+    """The scores of battery() for many stretches of n symbols, from whole-number sums of each: squared
+    counts, symbols of the upper half, changes of half, products of neighbours, symbols, first and last, squared symbols."""
+    import numpy as np
+
+    chi = size / n * squares - n
     mean, var = size - 1, 2 * (size - 1) * (1 - 1 / n)
     dof, scale = 2 * mean * mean / var, var / (2 * mean)
     z = (np.cbrt(np.maximum(chi, 1e-9) / scale / dof) - (1 - 2 / (9 * dof))) / math.sqrt(2 / (9 * dof))
-    high = 2 * codes >= size
-    above = high.sum(1)
-    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
     both = 2 * above * (n - above)
     expected = both / n + 1
     spread = (expected - 1) * (expected - 2) / (n - 1)
-    away = np.abs(runs - expected) / np.sqrt(np.where(spread > 0, spread, 1))
-    apart = codes - codes.mean(1)[:, None]
-    square = (apart * apart).sum(1)
-    serial = np.where(square > 0, (apart[:, 1:] * apart[:, :-1]).sum(1) / np.where(square > 0, square, 1), 1.0)
-    lag = np.abs(serial + 1 / n) * math.sqrt(n)
-    one_side = max(2.0 ** (1 - n), 1e-300)
-    out = []
-    for a, b, c, mixed, wide in zip(z.tolist(), away.tolist(), lag.tolist(), both.tolist(), spread.tolist()):
-        second = (min(1.0, 2 * _tail(b)) if wide > 0 else 1.0) if mixed else one_side
-        half = -math.log(_tail(a)) - math.log(second) - math.log(min(1.0, 2 * _tail(c)))
-        out.append(score(math.exp(-half) * (1 + half + half * half / 2)))
+    wide = spread > 0
+    away = np.abs(1 + changes - expected) / np.sqrt(np.where(wide, spread, 1))
+    second = np.where(both == 0, math.log(max(2.0 ** (1 - n), 1e-300)), np.where(wide, np.minimum(_log_tails(away) + math.log(2), 0), 0))
+    around = n * (n * total_squares - total * total)
+    along = n * n * products - n * total * (2 * total - ends) + (n - 1) * total * total
+    serial = np.where(around > 0, along / np.where(around > 0, around, 1), 1.0)
+    third = np.minimum(_log_tails(np.abs(serial + 1 / n) * math.sqrt(n)) + math.log(2), 0)
+    half = np.maximum(-(_log_tails(z) + second + third), 0)
+    log10 = (np.log(1 + half + half * half / 2) - half) / math.log(10)
+    return (GRID * np.maximum(0, 1 + log10 / 12)).astype(np.int16)
+
+
+def batteries(codes, size: int) -> list:
+    """The scores of battery() for stretches of one length, the rows of `codes`."""
+    import numpy as np
+
+    rows, n = codes.shape
+    c = codes.astype(np.int64)
+    counts = np.bincount((c + size * np.arange(rows)[:, None]).ravel(), minlength=rows * size).reshape(rows, size)
+    high = 2 * c >= size
+    return _scores(n, size, (counts * counts).sum(1), high.sum(1), (high[:, 1:] != high[:, :-1]).sum(1), (c[:, 1:] * c[:, :-1]).sum(1),
+                   c.sum(1), c[:, 0] + c[:, -1], (c * c).sum(1)).tolist()
+
+
+def _stretch_scores(codes, size: int, starts: dict) -> dict:
+    """{length: scores of the stretches that begin at starts[length]} of one long row of symbols.
+
+    Sums of a stretch are differences of running sums; places and lengths are multiples of BLOCK.
+    """
+    import numpy as np
+
+    c = codes.astype(np.int64)
+    cells = np.repeat(np.arange(len(c) // BLOCK) * size, BLOCK) + c
+    counts = np.bincount(cells, minlength=len(c) // BLOCK * size).reshape(-1, size).astype(np.uint16)
+    counted = np.zeros((len(counts) + 1, size), dtype=np.uint16)  # may run over: differences are small
+    np.cumsum(counts, axis=0, dtype=np.uint16, out=counted[1:])
+    high = 2 * c >= size
+
+    def running(values):
+        return np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(values, dtype=np.int64)])
+
+    above, changes, products = running(high), running(high[1:] != high[:-1]), running(c[1:] * c[:-1])
+    total, squared = running(c), running(c * c)
+    out = {}
+    for n, at in starts.items():
+        end = at + n
+        of = counted[end // BLOCK] - counted[at // BLOCK]
+        out[n] = _scores(n, size, np.einsum("ij,ij->i", of, of).astype(np.int64), above[end] - above[at], changes[end - 1] - changes[at],
+                         products[end - 1] - products[at], total[end] - total[at], c[at] + c[end - 1], squared[end] - squared[at])
     return out
 
 
@@ -159,14 +206,17 @@ def _bin(kind: int, at: int, points: int) -> int:
 
 
 BINS = _bin(len(ENCODINGS), 0, 0)
+#: Bins of decoys and, behind them, of candidates; counts of bins are carried as multiples of this.
+COUNT = 2 * BINS
 
 
 def decoys(texts: list) -> list:
     """For each text the bins of its decoys: stretches of its own letters, for each encoding and band.
 
-    Every band that the text's letters fill has a stretch of its length every STEP letters, through
-    the whole text, from a place on that the text's checksum gives; it goes on at the text's
-    beginning.  Letters become symbols by their place in the alphabet.  (Base64 tells capitals
+    Every band that the text's letters fill has a stretch of its length every STEP letters, which is
+    no more than the shortest band, so stretches of every band lie end to end or overlap through the
+    whole text, from a place on that the text's checksum gives; the text goes on at its
+    beginning.  (Where it closes, fewer than STEP letters may be left.)  Letters become symbols by their place in the alphabet.  (Base64 tells capitals
     from small letters, as in a candidate.)  Long tokens, which might be secrets, do not serve; a
     text with too few letters gives none.
     """
@@ -176,37 +226,55 @@ def decoys(texts: list) -> list:
     for kind, name in enumerate(ENCODINGS):
         for c in ALPHABETS["base64"][:52]:
             symbols[kind, ord(c)] = _CODES[kind].get(c if kind == 2 else c.upper(), ord(c) % len(ALPHABETS[name]))
-    out, waiting = [[] for _ in texts], [[] for _ in BANDS]
-
-    def flush(at):
-        if waiting[at]:
-            owners = np.concatenate([np.full(len(w), i) for i, w in waiting[at]]).tolist()
-            stretches = np.concatenate([w for _, w in waiting[at]])
-            waiting[at].clear()
-            for kind, name in enumerate(ENCODINGS):
-                for i, points in zip(owners, batteries(symbols[kind][stretches], len(ALPHABETS[name]))):
-                    out[i].append(_bin(kind, at, points))
-
-    held = [0] * len(BANDS)
+    out, waiting, held = [[] for _ in texts], [], 0
+
+    def flush():
+        """Score the waiting parts of texts together: (text's number, letters, places where stretches may begin)."""
+        starts, owners, origin = {n: [] for n in BANDS}, {n: [] for n in BANDS}, 0
+        for i, part, places in waiting:
+            for n in BANDS:
+                at = np.arange(0, min(places, len(part) - n + 1), STEP)
+                if len(at):
+                    starts[n].append(at + origin)
+                    owners[n].append((i, len(at)))
+            origin += -(-len(part) // BLOCK) * BLOCK
+        row = np.full(origin, ord("A"), dtype=np.uint8)
+        origin = 0
+        for _, part, _ in waiting:
+            row[origin:origin + len(part)] = part
+            origin += -(-len(part) // BLOCK) * BLOCK
+        starts = {n: np.concatenate(at) for n, at in starts.items() if at}
+        for kind, name in enumerate(ENCODINGS):
+            for n, points in _stretch_scores(symbols[kind][row], len(ALPHABETS[name]), starts).items():
+                bins, at = points + np.int16(_bin(kind, BANDS.index(n), 0)), 0
+                for i, many in owners[n]:
+                    out[i].append(bins[at:at + many])
+                    at += many
+        waiting.clear()
+
     for i, text in enumerate(texts):
         letters = np.frombuffer("".join(WORD.findall(text or "")).encode("ascii"), dtype=np.uint8)
         if len(letters) < BANDS[0]:
             continue
         letters = np.roll(letters, -(zlib.crc32(text.encode("utf-8")) % len(letters)))
-        for at, length in enumerate(BANDS):
-            if len(letters) < length:
-                break
-            views = np.lib.stride_tricks.sliding_window_view(letters, length)[::STEP]
-            for part in range(0, len(views), max(1, SLAB // length)):
-                w = views[part:part + max(1, SLAB // length)]
-                waiting[at].append((i, w))
-                held[at] += w.size
-                if held[at] >= SLAB:
-                    flush(at)
-                    held[at] = 0
-    for at in range(len(BANDS)):
-        flush(at)
-    return out
+        for place in range(0, len(letters) - BANDS[0] + 1, SLAB):
+            part = letters[place:place + SLAB + BANDS[-1]]
+            waiting.append((i, part, SLAB))
+            held += len(part)
+            if held >= SLAB:
+                flush()
+                held = 0
+    if waiting:
+        flush()
+    return [np.concatenate(bins) if bins else np.zeros(0, dtype=np.int16) for bins in out]
+
+
+def _counted(bins):
+    """Each different bin with its count, as one number."""
+    import numpy as np
+
+    different, n = np.unique(bins, return_counts=True)
+    return n * COUNT + different
 
 
 def _spans_of(text: str) -> tuple:
@@ -215,20 +283,20 @@ def _spans_of(text: str) -> tuple:
 
 
 def found(df: DataFrame, text: str = "text", keep: list = None) -> DataFrame:
-    """Adds `base`, `tokens`, `decoys` and `digest`: arrays of the spans, candidates and decoys' bins of each whole text, and its hash."""
+    """Adds `base`, `tokens`, `decoys` and `digest`: arrays of the spans, candidates and counted bins of decoys of each whole text, and its hash."""
     def start():
         from xxhash import xxh3_64_intdigest
 
         def run(texts):
             spans = [_spans_of(t or "") for t in texts]
             digests = [xxh3_64_intdigest((t or "").encode("utf-8")) - (1 << 63) for t in texts]
-            return [[b for b, _ in spans], [c for _, c in spans], decoys(texts), digests]
+            return [[b for b, _ in spans], [c for _, c in spans], list(map(_counted, decoys(texts))), digests]
         return run
 
     return add_columns(df, [text], [
         ("base", "array<struct<start:int,kind:int,end:int>>"),
         ("tokens", "array<struct<start:int,end:int,encoding:int,band:int,score:int>>"),
-        ("decoys", "array<smallint>"), ("digest", "bigint")], start, keep)
+        ("decoys", "array<bigint>"), ("digest", "bigint")], start, keep)
 
 
 def cutoffs(rows: DataFrame, rate: float = RATE) -> list:
@@ -239,8 +307,9 @@ def cutoffs(rows: DataFrame, rate: float = RATE) -> list:
     """
     once = (rows.where((F.size("tokens") > 0) | (F.size("decoys") > 0)).groupBy("digest")
             .agg(F.first("tokens").alias("tokens"), F.first("decoys").alias("decoys")))
-    candidate = F.transform("tokens", lambda t: ((t["encoding"] * len(BANDS) + t["band"]) * (GRID + 1) + t["score"] + BINS).cast("smallint"))
-    counted = once.select(F.explode(F.concat("decoys", candidate)).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("_n"))
+    candidate = F.transform("tokens", lambda t: ((t["encoding"] * len(BANDS) + t["band"]) * (GRID + 1) + t["score"] + BINS + COUNT).cast("bigint"))
+    counted = once.select(F.explode(F.concat("decoys", candidate)).alias("x")).select((F.col("x") % COUNT).alias("c"), F.floor(F.col("x") / COUNT).alias("n"))
+    counted = counted.groupBy("c").agg(F.sum("n").alias("_n"))
     bin, target = F.col("c") % BINS, F.col("c") >= BINS
     cell = F.floor(bin / (GRID + 1)).cast("int")
     bins = counted.select(F.floor(cell / len(BANDS)).cast("int").alias("encoding"), (cell % len(BANDS)).alias("band"), (bin % (GRID + 1)).alias("score"),
