@@ -22,7 +22,7 @@ from .rows import add_columns, fresh, kept_columns, named
 CHUNK, OVERLAP = 65_536, 1_024
 #: Characters at the end of a chunk where its boundaries may differ from those of the whole text.
 UNSURE = 8
-CACHED, SHORT = 200_000, 48
+CACHED, SHORT = 100_000, 48
 
 
 def read_ranks(path: str) -> dict:
@@ -170,28 +170,33 @@ def stitch(chunks: list, step: int, encoder) -> bytes:
 
 
 def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP,
-           keep: list = None) -> DataFrame:
+           keep: list = None, back: bool = False) -> DataFrame:
     """Adds `ids` (binary: little-endian unsigned 32-bit) and `n_tokens` (long) of every whole text.
 
+    back: the ids are decoded again by the same worker, which adds `decoded` as decode() does; a second step
+    would hold a second Python process for every task.
+
     path: a rank file that every executor has; pattern: the pre-tokeniser.  Texts of one chunk
     need no stitching and no shuffle; only longer ones are dealt out by chunk and grouped again
     by row, so what meets in one task is one row's chunks.
     Null and empty texts have no ids.  Repeated rows stay.  An empty table gives no rows.  Columns
-    named `ids` or `n_tokens` are replaced; any other names may be used.
+    named like a new one are replaced; any other names may be used.
     """
-    keep = kept_columns(df, ["ids", "n_tokens"], keep)
+    fields = [("ids", "binary"), ("n_tokens", "bigint"), *([("decoded", "binary")] if back else [])]
+    keep = kept_columns(df, [n for n, _ in fields], keep)
     body, chunks = fresh(keep, "text_to_encode", "chunks_to_join")
     step = chunk - overlap
     source = df.select(*[named(c) for c in keep], F.coalesce(named(text), F.lit("")).alias(body))
     n_chunks = F.greatest(F.lit(1), F.ceil((F.length(body) - overlap) / step))
-    fields = [("ids", "binary"), ("n_tokens", "bigint")]
+
+    def results(ids):
+        return [ids, [len(i) // 4 for i in ids], *([decoded(ids, path)] if back else [])]
 
     def whole():
         encoder = shared_encoder(path, pattern)
 
         def run(texts):
-            ids = [encoder.encode(t) for t in texts]
-            return ids, [len(i) // 4 for i in ids]
+            return results([encoder.encode(t) for t in texts])
         return run
 
     def pieces():
@@ -207,8 +212,7 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK
         encoder = shared_encoder(path, pattern)
 
         def run(rows):
-            ids = [stitch([(c["text"], c["ids"], c["left"], c["right"]) for c in row], step, encoder) for row in rows]
-            return ids, [len(i) // 4 for i in ids]
+            return results([stitch([(c["text"], c["ids"], c["left"], c["right"]) for c in row], step, encoder) for row in rows])
         return run
 
     short = add_columns(source.where(n_chunks == 1), [body], fields, whole, keep=keep)
@@ -229,13 +233,12 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, chunk: int = CHUNK
     return short.unionByName(add_columns(flat, [chunks], fields, joined, keep=keep))
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", keep: list = None) -> DataFrame:
-    """Adds `decoded` (binary): the raw bytes of the ids, concatenated.  Null ids decode to null."""
-    def start():
-        table = byte_table(path)
+def decoded(column: list, path: str) -> list:
+    """The bytes of packed ids, concatenated; None stays."""
+    table = byte_table(path)
+    return [None if raw is None else b"".join(map(table.__getitem__, unpack(raw).tolist())) for raw in column]
 
-        def run(column):
-            return [[None if raw is None else b"".join(map(table.__getitem__, unpack(raw).tolist())) for raw in column]]
-        return run
 
-    return add_columns(df, [ids], [("decoded", "binary")], start, keep)
+def decode(df: DataFrame, path: str, ids: str = "ids", keep: list = None) -> DataFrame:
+    """Adds `decoded` (binary): the raw bytes of the ids, concatenated.  Null ids decode to null."""
+    return add_columns(df, [ids], [("decoded", "binary")], lambda: lambda column: [decoded(column, path)], keep)
