@@ -206,8 +206,6 @@ def _bin(kind: int, at: int, points: int) -> int:
 
 
 BINS = _bin(len(ENCODINGS), 0, 0)
-#: Bins of decoys and, behind them, of candidates; counts of bins are carried as multiples of this.
-COUNT = 2 * BINS
 
 
 def decoys(texts: list) -> list:
@@ -269,12 +267,38 @@ def decoys(texts: list) -> list:
     return [np.concatenate(bins) if bins else np.zeros(0, dtype=np.int16) for bins in out]
 
 
-def _counted(bins):
-    """Each different bin with its count, as one number."""
+def packed_counts(bins) -> bytes:
+    """The different bins and their counts, compressed: decoys are many, and travel with their text's hash."""
     import numpy as np
 
+    if not len(bins):
+        return b""
     different, n = np.unique(bins, return_counts=True)
-    return n * COUNT + different
+    return zlib.compress(np.diff(different, prepend=0).astype("<i2").tobytes() + n.astype("<i4").tobytes(), 1)
+
+
+def unpacked_counts(raw: bytes) -> tuple:
+    """(different bins, their counts)"""
+    import numpy as np
+
+    data = zlib.decompress(raw)
+    size = len(data) // 6
+    return np.cumsum(np.frombuffer(data, "<i2", size)), np.frombuffer(data, "<i4", size, 2 * size)
+
+
+def _decoy_counts(batches):
+    """For each batch of packed counts one row a bin."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        total = np.zeros(BINS, dtype=np.int64)
+        for raw in batch.column(0).to_pylist():
+            if raw:
+                bins, n = unpacked_counts(raw)
+                total[bins] += n
+        (there,) = total.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there], pa.int64())], ["c", "n"])
 
 
 def _spans_of(text: str) -> tuple:
@@ -283,20 +307,20 @@ def _spans_of(text: str) -> tuple:
 
 
 def found(df: DataFrame, text: str = "text", keep: list = None) -> DataFrame:
-    """Adds `base`, `tokens`, `decoys` and `digest`: arrays of the spans, candidates and counted bins of decoys of each whole text, and its hash."""
+    """Adds `base`, `tokens`, `decoys` and `digest`: arrays of the spans and candidates, and packed counts of the decoys' bins, of each whole text, and its hash."""
     def start():
         from xxhash import xxh3_64_intdigest
 
         def run(texts):
             spans = [_spans_of(t or "") for t in texts]
             digests = [xxh3_64_intdigest((t or "").encode("utf-8")) - (1 << 63) for t in texts]
-            return [[b for b, _ in spans], [c for _, c in spans], list(map(_counted, decoys(texts))), digests]
+            return [[b for b, _ in spans], [c for _, c in spans], list(map(packed_counts, decoys(texts))), digests]
         return run
 
     return add_columns(df, [text], [
         ("base", "array<struct<start:int,kind:int,end:int>>"),
         ("tokens", "array<struct<start:int,end:int,encoding:int,band:int,score:int>>"),
-        ("decoys", "array<bigint>"), ("digest", "bigint")], start, keep)
+        ("decoys", "binary"), ("digest", "bigint")], start, keep)
 
 
 def cutoffs(rows: DataFrame, rate: float = RATE) -> list:
@@ -305,10 +329,11 @@ def cutoffs(rows: DataFrame, rate: float = RATE) -> list:
     Each different text counts once.  At most encodings x bands x grid counts reach the driver's
     plan, whatever the corpus.
     """
-    once = (rows.where((F.size("tokens") > 0) | (F.size("decoys") > 0)).groupBy("digest")
+    once = (rows.where((F.size("tokens") > 0) | (F.length("decoys") > 0)).groupBy("digest")
             .agg(F.first("tokens").alias("tokens"), F.first("decoys").alias("decoys")))
-    candidate = F.transform("tokens", lambda t: ((t["encoding"] * len(BANDS) + t["band"]) * (GRID + 1) + t["score"] + BINS + COUNT).cast("bigint"))
-    counted = once.select(F.explode(F.concat("decoys", candidate)).alias("x")).select((F.col("x") % COUNT).alias("c"), F.floor(F.col("x") / COUNT).alias("n"))
+    candidate = F.transform("tokens", lambda t: ((t["encoding"] * len(BANDS) + t["band"]) * (GRID + 1) + t["score"] + BINS).cast("int"))
+    counted = once.select("decoys").mapInArrow(_decoy_counts, "c int, n bigint").unionByName(
+        once.select(F.explode(candidate).alias("c"), F.lit(1).cast("bigint").alias("n")))
     counted = counted.groupBy("c").agg(F.sum("n").alias("_n"))
     bin, target = F.col("c") % BINS, F.col("c") >= BINS
     cell = F.floor(bin / (GRID + 1)).cast("int")
