@@ -16,6 +16,7 @@ text, so copies weigh nothing.  A band with too few decoys to certify anything a
 import math
 import re
 import zlib
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ BANDS = [16, 20, 24, 32, 40, 64, 128]
 #: Scores are compared on this grid; the share of false discoveries that is allowed in each band.
 GRID, RATE = 200, 0.01
 #: In each band a decoy begins every so many letters, the least length, so that no letter is passed over; so many
-#: letters are scored at a time; all lengths and STEP are multiples of BLOCK.
+#: letters, a multiple of STEP, are scored at a time; all lengths (at most 255, as counts are bytes) and STEP are multiples of BLOCK.
 STEP, SLAB, BLOCK = BANDS[0], 1 << 16, 4
 _CODES = [{c: i for i, c in enumerate(a)} for a in ALPHABETS.values()]
 _CODES[0].update({c.upper(): i for c, i in list(_CODES[0].items())})
@@ -123,39 +124,53 @@ def candidates(text: str, spans: list) -> list:
     return out
 
 
-def _log_tails(z):
-    """Logarithms of _tail(), of a whole array (Chebyshev fit of erfc, to 1.2e-7 of its value)."""
+def _log_tails(z, positive: bool = False):
+    """Logarithms of _tail(), of a whole array (Chebyshev fit of erfc, to 1.2e-7 of its value); positive: none is below 0."""
     import numpy as np
 
     far = np.abs(z) / math.sqrt(2)
     t = 1 / (1 + far / 2)
     fit = np.zeros_like(t)
     for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
-        fit = fit * t + c
+        fit *= t
+        fit += c
     upper = np.log(t / 2) - far * far + fit
-    return np.maximum(np.where(z >= 0, upper, np.log1p(-np.exp(upper))), math.log(1e-300))
+    return np.maximum(upper if positive else np.where(z >= 0, upper, np.log1p(-np.exp(upper))), math.log(1e-300))
 
 
-def _scores(n: int, size: int, squares, above, changes, products, total, ends, total_squares):
-    """The scores of battery() for many stretches of n symbols, from whole-number sums of each: squared
-    counts, symbols of the upper half, changes of half, products of neighbours, symbols, first and last, squared symbols."""
+@lru_cache(maxsize=None)
+def _tables(n: int, size: int) -> tuple:
+    """Logarithms of the first two p-values of battery() for n symbols: by the squared counts, and by
+    n * symbols of the upper half + changes of half.  Both are small whole numbers, so each value is worked out once."""
     import numpy as np
 
-    chi = size / n * squares - n
+    chi = size / n * np.arange(n * n + 1) - n
     mean, var = size - 1, 2 * (size - 1) * (1 - 1 / n)
     dof, scale = 2 * mean * mean / var, var / (2 * mean)
     z = (np.cbrt(np.maximum(chi, 1e-9) / scale / dof) - (1 - 2 / (9 * dof))) / math.sqrt(2 / (9 * dof))
+    above, changes = np.divmod(np.arange((n + 1) * n), n)
     both = 2 * above * (n - above)
     expected = both / n + 1
     spread = (expected - 1) * (expected - 2) / (n - 1)
     wide = spread > 0
     away = np.abs(1 + changes - expected) / np.sqrt(np.where(wide, spread, 1))
     second = np.where(both == 0, math.log(max(2.0 ** (1 - n), 1e-300)), np.where(wide, np.minimum(_log_tails(away) + math.log(2), 0), 0))
+    return _log_tails(z), second
+
+
+def _scores(n: int, size: int, squares, above, changes, products, total, ends, total_squares):
+    """The scores of battery() for many stretches of n symbols, from whole-number sums of each: squared
+    counts, symbols of the upper half, changes of half, products of neighbours, symbols, first and last, squared symbols."""
+    import numpy as np
+
+    first, second = _tables(n, size)
+    products, total, ends, total_squares = (x.astype(np.float64) for x in (products, total, ends, total_squares))  # whole numbers, so exact
     around = n * (n * total_squares - total * total)
     along = n * n * products - n * total * (2 * total - ends) + (n - 1) * total * total
-    serial = np.where(around > 0, along / np.where(around > 0, around, 1), 1.0)
-    third = np.minimum(_log_tails(np.abs(serial + 1 / n) * math.sqrt(n)) + math.log(2), 0)
-    half = np.maximum(-(_log_tails(z) + second + third), 0)
+    flat = around == 0  # then along is 0 too, and the correlation 1
+    serial = (along + flat) / (around + flat)
+    third = np.minimum(_log_tails(np.abs(serial + 1 / n) * math.sqrt(n), True) + math.log(2), 0)
+    half = np.maximum(-(first[squares] + second[above.astype(np.intp) * n + changes] + third), 0)
     log10 = (np.log(1 + half + half * half / 2) - half) / math.log(10)
     return (GRID * np.maximum(0, 1 + log10 / 12)).astype(np.int16)
 
@@ -172,40 +187,70 @@ def batteries(codes, size: int) -> list:
                    c.sum(1), c[:, 0] + c[:, -1], (c * c).sum(1)).tolist()
 
 
-def _stretch_scores(codes, size: int, starts: dict) -> dict:
-    """{length: scores of the stretches that begin at starts[length]} of one long row of symbols.
+def _bin(kind: int, at: int, points: int) -> int:
+    """Encoding, band and score as one small number."""
+    return (kind * len(BANDS) + at) * (GRID + 1) + points
+
 
-    Sums of a stretch are differences of running sums; places and lengths are multiples of BLOCK.
+BINS = _bin(len(ENCODINGS), 0, 0)
+
+
+def _stretch_sums(blocks):
+    """For each band its least length and the sums of the stretches of that length, one from each place on (last axis).
+
+    blocks: sums of the STEP // BLOCK blocks (first axis) that follow each place; the last places, which only end stretches, get none.
+    """
+    whole = blocks.sum(axis=0, dtype=blocks.dtype)
+    places = whole.shape[-1] - BANDS[-1] // STEP
+    run, steps = whole, 1  # sums of so many steps from each place on
+    for n in BANDS:
+        while steps < n // STEP:
+            run, steps = run[..., :-1] + whole[..., steps:], steps + 1
+        out = run[..., :places]
+        for block in blocks[:n % STEP // BLOCK]:
+            out = out + block[..., steps:steps + places]
+        yield n, out
+
+
+def _stretch_bins(letters, symbols):
+    """The bins of the stretches of each encoding and band (rows) that begin at each place, every STEP letters, but the last ones.
+
+    symbols: each letter's symbol in each encoding.  Places lie along the last axis of all arrays, so that
+    sums of stretches are sums of whole rows.
     """
     import numpy as np
 
-    c = codes.astype(np.int64)
-    cells = np.repeat(np.arange(len(c) // BLOCK) * size, BLOCK) + c
-    counts = np.bincount(cells, minlength=len(c) // BLOCK * size).reshape(-1, size).astype(np.uint16)
-    counted = np.zeros((len(counts) + 1, size), dtype=np.uint16)  # may run over: differences are small
-    np.cumsum(counts, axis=0, dtype=np.uint16, out=counted[1:])
-    high = 2 * c >= size
+    places = len(letters) // STEP - BANDS[-1] // STEP
+    out = np.empty((len(ENCODINGS) * len(BANDS), places), dtype=np.int16)
+    letters = np.ascontiguousarray(letters.reshape(-1, STEP).T)
 
-    def running(values):
-        return np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(values, dtype=np.int64)])
-
-    above, changes, products = running(high), running(high[1:] != high[:-1]), running(c[1:] * c[:-1])
-    total, squared = running(c), running(c * c)
-    out = {}
-    for n, at in starts.items():
-        end = at + n
-        of = counted[end // BLOCK] - counted[at // BLOCK]
-        out[n] = _scores(n, size, np.einsum("ij,ij->i", of, of).astype(np.int64), above[end] - above[at], changes[end - 1] - changes[at],
-                         products[end - 1] - products[at], total[end] - total[at], c[at] + c[end - 1], squared[end] - squared[at])
-    return out
+    def blocks(values, kind):
+        return values.reshape(STEP // BLOCK, BLOCK, -1).sum(axis=1, dtype=kind)
 
+    for kind, name in enumerate(ENCODINGS):
+        size = len(ALPHABETS[name])
+        c = symbols[kind][letters]
+        following = np.concatenate([c[1:], np.append(c[:1, 1:], c[:1, :1], axis=1)])
+        high = 2 * c.astype(np.int16) >= size
+        changes, products = high != np.append(high[1:], following[-1:] >= size / 2, axis=0), c.astype(np.int16) * following
+        used = np.unique(symbols[kind][list(map(ord, ALPHABETS["base64"][:52]))])
+        counts = np.stack([blocks((c == symbol).view(np.uint8), np.uint8) for symbol in used], axis=1)
+        sums = np.stack([blocks(v, np.int32) for v in (high, changes, products, c, c.astype(np.int16) ** 2)], axis=1)
+        for at, ((n, counted), (_, (above, changed, multiplied, total, squared))) in enumerate(zip(_stretch_sums(counts), _stretch_sums(sums))):
+            end, steps = (n - 1) % STEP, (n - 1) // STEP
+            last = slice(steps, steps + places)  # the last symbol's neighbour is outside
+            out[kind * len(BANDS) + at] = _scores(
+                n, size, np.square(counted, dtype=np.uint16).sum(axis=0, dtype=np.uint16), above, changed - changes[end, last],
+                multiplied - products[end, last], total, c[0, :places].astype(np.int16) + c[end, last], squared)
+            out[kind * len(BANDS) + at] += _bin(kind, at, 0)
+    return out
 
-def _bin(kind: int, at: int, points: int) -> int:
-    """Encoding, band and score as one small number."""
-    return (kind * len(BANDS) + at) * (GRID + 1) + points
 
+def _letters(text: str):
+    """The letters of the words of ordinary length, which touch no other symbol of a token."""
+    import numpy as np
 
-BINS = _bin(len(ENCODINGS), 0, 0)
+    return np.frombuffer("".join(WORD.findall(text)).encode("ascii"), dtype=np.uint8)
 
 
 def decoys(texts: list) -> list:
@@ -227,38 +272,30 @@ def decoys(texts: list) -> list:
     out, waiting, held = [[] for _ in texts], [], 0
 
     def flush():
-        """Score the waiting parts of texts together: (text's number, letters, places where stretches may begin)."""
-        starts, owners, origin = {n: [] for n in BANDS}, {n: [] for n in BANDS}, 0
-        for i, part, places in waiting:
-            for n in BANDS:
-                at = np.arange(0, min(places, len(part) - n + 1), STEP)
-                if len(at):
-                    starts[n].append(at + origin)
-                    owners[n].append((i, len(at)))
-            origin += -(-len(part) // BLOCK) * BLOCK
-        row = np.full(origin, ord("A"), dtype=np.uint8)
+        """Score the waiting parts of texts together: (text's number, letters); each begins at a place of its own."""
+        row = np.full(held + BANDS[-1], ord("A"), dtype=np.uint8)
         origin = 0
-        for _, part, _ in waiting:
+        for _, part in waiting:
             row[origin:origin + len(part)] = part
-            origin += -(-len(part) // BLOCK) * BLOCK
-        starts = {n: np.concatenate(at) for n, at in starts.items() if at}
-        for kind, name in enumerate(ENCODINGS):
-            for n, points in _stretch_scores(symbols[kind][row], len(ALPHABETS[name]), starts).items():
-                bins, at = points + np.int16(_bin(kind, BANDS.index(n), 0)), 0
-                for i, many in owners[n]:
-                    out[i].append(bins[at:at + many])
-                    at += many
+            origin += -(-len(part) // STEP) * STEP
+        bins, place = _stretch_bins(row, symbols), 0
+        for i, part in waiting:
+            ends = np.minimum(SLAB, len(part) - lengths + 1)  # where the part's stretches of each length must have begun
+            mine = bins[:, place:place + -(-len(part) // STEP)]
+            out[i].append(mine[np.arange(0, mine.shape[1] * STEP, STEP) < ends])
+            place += mine.shape[1]
         waiting.clear()
 
+    lengths = np.array(BANDS * len(ENCODINGS))[:, None]
     for i, text in enumerate(texts):
-        letters = np.frombuffer("".join(WORD.findall(text or "")).encode("ascii"), dtype=np.uint8)
+        letters = _letters(text or "")
         if len(letters) < BANDS[0]:
             continue
         letters = np.roll(letters, -(zlib.crc32(text.encode("utf-8")) % len(letters)))
         for place in range(0, len(letters) - BANDS[0] + 1, SLAB):
             part = letters[place:place + SLAB + BANDS[-1]]
-            waiting.append((i, part, SLAB))
-            held += len(part)
+            waiting.append((i, part))
+            held += -(-len(part) // STEP) * STEP
             if held >= SLAB:
                 flush()
                 held = 0
@@ -273,8 +310,9 @@ def packed_counts(bins) -> bytes:
 
     if not len(bins):
         return b""
-    different, n = np.unique(bins, return_counts=True)
-    return zlib.compress(np.diff(different, prepend=0).astype("<i2").tobytes() + n.astype("<i4").tobytes(), 1)
+    n = np.bincount(bins, minlength=BINS)
+    (different,) = n.nonzero()
+    return zlib.compress(np.diff(different, prepend=0).astype("<i2").tobytes() + n[different].astype("<i4").tobytes(), 1)
 
 
 def unpacked_counts(raw: bytes) -> tuple:

@@ -32,6 +32,32 @@ def test_every_letter_of_a_text_is_in_a_decoy_of_every_band(monkeypatch):
                 assert len(mine) == len(want) and all(abs(a - b) <= 1 for a, b in zip(mine, sorted(want)))
 
 
+def test_a_decoy_takes_one_approximated_tail_and_scores_as_its_symbols_do(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdeZY") for _ in range(rng.randrange(1, 9))) for _ in range(many)) for many in (0, 3, 5, 12, 40, 3000)]
+    out, taken, tails = secret_scan.decoys(texts), [], secret_scan._log_tails  # tables of whole numbers are made once a process
+
+    def counting(z, *more):
+        taken.append(len(z))
+        return tails(z, *more)
+
+    monkeypatch.setattr(secret_scan, "_log_tails", counting)
+    assert [sorted(b) for b in secret_scan.decoys(texts)] == [sorted(b) for b in out]
+    assert 0 < sum(taken) <= 1.1 * sum(map(len, out))
+    for text, bins in zip(texts, out):
+        letters = "".join(secret_scan.WORD.findall(text))
+        turn = zlib.crc32(text.encode()) % max(len(letters), 1)
+        letters, want = letters[turn:] + letters[:turn], []
+        for kind, name in enumerate(secret_scan.ENCODINGS):
+            size = len(secret_scan.ALPHABETS[name])
+            codes = np.array([secret_scan._CODES[kind].get(c if kind == 2 else c.upper(), ord(c) % size) for c in letters], dtype=np.uint8)
+            for at, n in enumerate(secret_scan.BANDS):
+                starts = range(0, len(codes) - n + 1, secret_scan.STEP)
+                if starts:
+                    want += [secret_scan._bin(kind, at, x) for x in secret_scan.batteries(np.stack([codes[s:s + n] for s in starts]), size)]
+        assert sorted(bins) == sorted(want)
+
+
 def test_counted_decoys_are_all_decoys():
     bins = np.array([5, 5, 4220, 7, 5], dtype=np.int16)
     assert [a.tolist() for a in secret_scan.unpacked_counts(secret_scan.packed_counts(bins))] == [[5, 7, 4220], [3, 1, 1]]
