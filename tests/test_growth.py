@@ -1,12 +1,15 @@
 """Repeated texts, hot keys and jobs that read their input once: what grows with the rows and what does not."""
 
+import hashlib
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fragloom.functions import tokens
 from fragloom.operators import dataset, lineage, randomize, ranking, tokenmodel, vocab
+from fragloom.plans import jobs
 from fragloom.sources import readers, writers
 
 
@@ -45,6 +48,67 @@ def test_ranked_rows_are_shuffled_once_and_written_without_what_only_orders_them
         assert all(got[k, epoch] == i // 10 for i, k in enumerate(order))
 
 
+def _in_order(keys, epoch, size):
+    """Keys of every whole batch, by the digests."""
+    def place(k):
+        return hashlib.md5("|".join(["7", "\\N" if k is None else k, str(epoch)]).encode()).digest(), k is not None, k or ""
+
+    order = sorted(keys, key=place)
+    return [Counter(order[i:i + size]) for i in range(0, len(order) // size * size, size)]
+
+
+def test_padded_batches_shuffle_their_rows_once_and_write_none(spark, monkeypatch):
+    data = [(None if i % 400 == 0 else f"k{i // 2 if i < 300 else i}", "C" * (i % 7) + "[*]", "[*]" + "NOC"[i % 3] * (i % 11)) for i in range(2005)]
+    data += [("odd", "C[*]", "F"), ("none", "C[*]", None)]
+    pairs = spark.createDataFrame(data, "key string, scaffold string, decoration string").repartition(3)
+    monkeypatch.setattr(dataset, "TASK_ROWS", 0)
+    words = vocab.build(pairs, {"scaffold": "scaffold", "decoration": "decoration"}).where("token != 'F'")
+    kinds = [dataset.narrowed(spark.createDataFrame([], "a array<bigint>"), ["a"], w).dtypes[0][1] for w in (127, 128, 1 << 15, 1 << 31)]
+    assert kinds == ["array<tinyint>", "array<smallint>", "array<int>", "array<bigint>"]
+    for far in (0, 40_000):
+        wide = lineage.materialise(words.withColumn("id", F.when(F.col("token") == "N", F.col("id") + far).otherwise(F.col("id"))))
+        number = {(r["side"], r["token"]): r["id"] for r in wide.collect()}
+        with monkeypatch.context() as m:
+            m.setattr(ranking, "materialise", lambda df: 1 / 0)
+            made = jobs.epoch_batches(pairs, wide, 2, 5, "key", 7)
+        assert dict(made.dtypes)["decoration_ids"] == "array<bigint>" and "_task" not in made.columns
+        # no row of the encoded table is shuffled but by its task, neither to be numbered nor to be padded
+        assert re.findall(r"Exchange (\w+)", _plan(made)) == ["shufflepartitionidpassthrough"]
+        rows = made.collect()
+        assert len(rows) == 2 * 2005
+        got = {}
+        for r in rows:
+            got.setdefault((r["epoch"], r["batch"]), []).append(r)
+        texts = Counter((k, d) for k, _, d in data[:2005])
+        for epoch in (1, 2):
+            want = _in_order([k for k, _, _ in data[:2005]], epoch, 5)
+            assert [Counter(r["key"] for r in got[epoch, i]) for i in range(len(want))] == want
+            names = {n: t for (side, t), n in number.items() if side == "decoration"}
+            back = Counter((r["key"], "".join(names[i] for i in r["decoration_ids"][1:r["decoration_ids_len"] - 1])) for r in rows if r["epoch"] == epoch)
+            assert back == texts
+        for batch in got.values():
+            for side in ("scaffold", "decoration"):
+                longest = max(r[f"{side}_ids_len"] for r in batch)
+                assert all(len(r[f"{side}_ids"]) == longest and set(r[f"{side}_ids"][r[f"{side}_ids_len"]:]) <= {0} for r in batch)
+
+
+def test_whole_batches_keep_the_rest_and_leave_hot_keys_to_the_ranks(spark, monkeypatch):
+    monkeypatch.setattr(dataset, "TASK_ROWS", 0)
+    even = lineage.materialise(spark.range(1003).selectExpr("cast(id as string) AS key", "id % 4 AS v"))
+    for drop in (True, False):
+        placed = dataset.batches(even, "key", 3, 5, 7, drop, rows=1003)
+        assert "_task" in placed.columns
+        assert placed.groupBy("epoch", "batch").agg(F.countDistinct("_task").alias("t")).agg(F.max("t")).first()[0] == 1
+        here = sorted(map(tuple, placed.drop("_task").collect()))
+        assert here == sorted(map(tuple, dataset.batches(even, "key", 3, 5, 7, drop).select(*placed.drop("_task").columns).collect()))
+        assert len(here) == 3 * (1000 if drop else 1003)
+    hot = lineage.materialise(spark.range(3000).selectExpr("IF(id < 2900, NULL, cast(id as string)) AS key", "id AS v"))
+    placed = dataset.batches(hot, "key", 2, 5, 7, rows=3000)
+    assert "_task" not in placed.columns
+    assert {r["count"] for r in placed.groupBy("epoch", "batch").count().collect()} == {5} and placed.select("epoch", "v").distinct().count() == 6000
+    assert dataset.batches(even.limit(0), "key", 2, 5, 7, rows=0).count() == 0
+
+
 def _counting(spark, rows):
     """The rows, and a counter of how often they were read."""
     seen = spark.sparkContext.accumulator(0)
